@@ -26,6 +26,7 @@ FRAME = 576
 HOP = 288
 FAN = 3
 REACH = 60
+LOUD = 2.5
 #: Frames transformed at once; bounds memory for any length of payload.
 BLOCK = 1024
 
@@ -65,18 +66,19 @@ def spectrogram(samples: bytes, frame: int = FRAME, hop: int = HOP):
     frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
     for start in range(0, len(frames), BLOCK):
         lo, hi = max(0, start - 1), min(len(frames), start + BLOCK + 1)
-        block = (frames[lo:hi].astype(np.float32) - 128.0) * _WINDOW
+        block = frames[lo:hi].astype(np.float32)
+        block = (block - block.mean(axis=1, keepdims=True)) * _WINDOW
         yield lo, start, min(len(frames), start + BLOCK), np.abs(np.fft.rfft(block, axis=1)).astype(np.float32)
 
 
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(frame, bin) of local maxima over the 3 x 3 neighbourhood that exceed three times their frame's mean, in time order."""
+    """(frame, bin) of local maxima over the 3 x 3 neighbourhood that exceed LOUD times their frame's mean, in time order."""
     times, bins = [], []
     for lo, start, stop, mag in spectrogram(samples):
         grid = np.pad(mag, ((1, 1), (0, 0)), constant_values=-1.0)
         mid = grid[1:-1, 1:-1]
         top = (mid > grid[1:-1, :-2]) & (mid > grid[1:-1, 2:]) & (mid >= grid[:-2, 1:-1]) & (mid > grid[2:, 1:-1])
-        top &= mid > 3.0 * mag.mean(axis=1, keepdims=True)
+        top &= mid > LOUD * mag.mean(axis=1, keepdims=True)
         t, f = np.nonzero(top)
         keep = (t + lo >= start) & (t + lo < stop)
         times.append(t[keep] + lo)
