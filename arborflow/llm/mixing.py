@@ -101,7 +101,8 @@ def fit_rates(members: DataFrame, n: int, weights: list[float] | None = None, to
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
-    """Whole copies: the rate rounded down, and one more for a hash of the id below the rest."""
+    """Whole copies: the rate rounded down, and one more for a hash of the id below the rest. Rates within 0.01 of a whole number count as that."""
+    rate = F.when(F.abs(rate - F.round(rate)) < 0.01, F.round(rate)).otherwise(rate)
     u = F.pmod(F.xxhash64(doc_id, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
