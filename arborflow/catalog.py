@@ -229,14 +229,14 @@ def scored(spark, d, classes: int = 1) -> DataFrame:
 M = "f0 / 4096 - 1.0::DOUBLE"
 
 
-def _gradient(spark, d, name: str, label: str, k: int = 0, classes: int = 1) -> DataFrame:
+def _gradient(spark, d, name: str, label: str, k: int = 0, classes: int = 1, places: int = 6) -> DataFrame:
     g, h = objectives.OBJECTIVES[name].gradient(F.col(label), F.col("margins"), k, 0.0)
-    return scored(spark, d, classes).select("row_id", F.round(g, 6).alias("g"), F.round(h, 6).alias("h"))
+    return scored(spark, d, classes).select("row_id", F.round(g, places).alias("g"), F.round(h, places).alias("h"))
 
 
-@query("obj_1_linear", f"{W} SELECT row_id, round({M} - y, 6) AS g, 1.0::DOUBLE AS h FROM feat")
+@query("obj_1_linear", f"{W} SELECT row_id, round({M} - y, 4) AS g, 1.0::DOUBLE AS h FROM feat")
 def obj_1(spark, d):
-    return _gradient(spark, d, "reg:linear", "y")
+    return _gradient(spark, d, "reg:linear", "y", places=4)
 
 
 LOGIT = f"{W} SELECT row_id, round(p - f1 % 2, 6) AS g, round(greatest(p * (1 - p), 1e-16), 6) AS h FROM (SELECT *, 1 / (1 + exp(-({M}))) AS p FROM feat)"
