@@ -40,21 +40,48 @@ def words_of(text: str | None) -> list[str]:
     return words if any(any(map(str.isalpha, w)) for w in words) else []
 
 
-def features(word: str, lexicon: frozenset[str] | dict) -> list[int]:
-    """Buckets of a word's features."""
-    w = f"^{word[:40]}$"
-    n = len(w)
-    names = [f"p{w[1:k]}" for k in (2, 3, 4, 5) if k < n] + [f"s{w[-k:-1]}" for k in (2, 3, 4, 5) if k < n]
-    names += [w[i : i + 2] for i in range(n - 1)] + [w[i : i + 3] for i in range(n - 2)]
-    if word in lexicon:
-        names.append(f"={word}")
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
-
-
-def _flat(words: list[str], lexicon) -> tuple[np.ndarray, np.ndarray]:
-    lists = [features(w, lexicon) for w in words]
-    lengths = np.array([len(x) for x in lists])
-    return np.fromiter((b for x in lists for b in x), np.int64, int(lengths.sum())), lengths
+def _mix(x: np.ndarray, kind: int) -> np.ndarray:
+    x = (x + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return ((x >> np.uint64(33)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, bucket) of every feature of the words: affixes of one to four letters, pairs and triples of letters with the word's ends, and the word if the lexicon has it."""
+    cut = [w[:40] for w in words]
+    length = np.array([len(w) + 2 for w in cut], np.int64)
+    code = np.frombuffer("".join([f"^{w}$" for w in cut]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    stop = np.cumsum(length)
+    start, of = stop - length, np.repeat(np.arange(len(words)), length)
+    index, bucket = [], []
+
+    def add(owner: np.ndarray, hashed: np.ndarray, kind: int) -> None:
+        index.append(owner)
+        bucket.append(_mix(hashed, kind))
+
+    prime = np.uint64(1_000_003)
+    gram, size = code, len(code)
+    for k in (2, 3):
+        gram = gram[: size - k + 1] * prime + code[k - 1 :]
+        same = of[: size - k + 1] == of[k - 1 :]
+        add(of[: size - k + 1][same], gram[same], k)
+    for side in (0, 1):
+        hashed, owner = np.zeros(len(words), np.uint64), np.arange(len(words))
+        for k in range(1, 5):
+            has = length[owner] - 2 >= k
+            owner = owner[has]
+            hashed = hashed[has] * prime + code[start[owner] + k if side == 0 else stop[owner] - 1 - k]
+            add(owner, hashed, 10 + 4 * side + k)
+    listed = [i for i, w in enumerate(words) if w in lexicon]
+    add(np.array(listed, np.int64), np.array([zlib.crc32(words[i].encode("utf-8", "surrogatepass")) for i in listed], np.uint64), 30)
+    return np.concatenate(index), np.concatenate(bucket)
+
+
+def _emission_scores(index: np.ndarray, bucket: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """exp of the words' summed weights, each row scaled by its largest."""
+    scores = np.stack([np.bincount(index, weights[:, k][bucket], minlength=n) for k in range(weights.shape[1])], axis=1)
+    return np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -30))
 
 
 def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, pairs: bool = False):
@@ -138,14 +165,11 @@ class ChainModel:
             self.rows, self.table = {}, self.table[:0]
         new = list(set().union(*docs).difference(self.rows))
         if new:
-            flat, lengths = _flat(new, self.lexicon)
-            ends = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            scores = np.add.reduceat(self.weights[flat], ends, axis=0)
-            scores = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -30))
+            scores = _emission_scores(*features(new, self.lexicon), self.weights, len(new))
             self.rows.update(zip(new, range(len(self.table), len(self.table) + len(new))))
             self.table = np.concatenate([self.table, scores.astype(np.float32)])
         rows = self.rows
-        return self.table[np.fromiter((rows[w] for d in docs for w in d), np.int64, sum(map(len, docs)))].astype(float)
+        return self.table[np.array([rows[w] for d in docs for w in d], np.int64)].astype(float)
 
     def label_words(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """(words, posteriors) of each text."""
@@ -198,9 +222,8 @@ def fit_chain(rows: list[tuple[str, str]], seed: int = 5) -> ChainModel | None:
     count = np.bincount(seq, minlength=len(distinct))
     common = np.argsort(-count, kind="stable")[:LEXICON]
     lexicon = frozenset(distinct[i] for i in common if count[i] > 1)
-    flat, sizes = _flat(distinct, lexicon)
-    word_of = np.repeat(np.arange(len(distinct)), sizes)
-    ends, n_lang = np.concatenate([[0], np.cumsum(sizes)[:-1]]), len(languages)
+    word_of, flat = features(distinct, lexicon)
+    n_lang = len(languages)
     lengths = np.full(-(-len(seq) // BLOCK), BLOCK)
     lengths[-1] = len(seq) - BLOCK * (len(lengths) - 1)
     hot = np.zeros((len(seq), n_lang))
@@ -210,8 +233,7 @@ def fit_chain(rows: list[tuple[str, str]], seed: int = 5) -> ChainModel | None:
     w, t = np.zeros((BUCKETS, n_lang)), np.zeros((n_lang, n_lang))
     state = [np.zeros_like(w), np.zeros_like(t)]
     for _ in range(STEPS):
-        scores = np.add.reduceat(w[flat], ends, axis=0)
-        scores = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -30))
+        scores = _emission_scores(word_of, flat, w, len(distinct))
         gamma, joint = forward_backward(scores[seq], lengths, np.exp(t), pairs=True)
         diff = hot - gamma
         by_word = np.stack([np.bincount(seq, diff[:, k], minlength=len(distinct)) for k in range(n_lang)], axis=1)
