@@ -32,6 +32,13 @@ def with_gain(hist: DataFrame, nodes: DataFrame, reg_lambda: float, min_child_we
     return full.withColumns({"gain_left": left, "gain_right": right}).withColumn("gain", F.when(c("gain_left") > c("gain_right"), c("gain_left")).otherwise(-c("gain_right"))).drop("gain_left", "gain_right")
 
 
+def with_left_gain(hist: DataFrame, nodes: DataFrame, reg_lambda: float, min_child_weight: float) -> DataFrame:
+    """hist with prefix and node sums, and the gain with missing rows on the left only."""
+    full = missing_sums(prefix_sums(hist), nodes)
+    c = F.col
+    return full.withColumn("gain", _gain(c("pg") - c("rg"), c("ph") - c("rh"), c("rg"), c("rh"), reg_lambda, min_child_weight))
+
+
 def best_splits(gains: DataFrame) -> DataFrame:
     """(nid, fid, bid, gain, default_right, rg, rh, mg, mh): the largest |gain| of each node, ties to the lowest fid, then the largest cut."""
     record = F.struct("fid", "bid", F.abs("gain").alias("gain"), (~(F.col("gain") > 0)).alias("default_right"), "rg", "rh", "mg", "mh")

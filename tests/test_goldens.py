@@ -51,6 +51,13 @@ def test_node_histogram_and_merge(spark):
     assert [tuple(r) for r in H.merge(two).collect()] == [(0, 0, 0, 210, 420)]
 
 
+@pytest.mark.parametrize("right", [200_000, 500_000])
+def test_left_gain_of_even_children_is_zero(spark, right):
+    hist = spark.createDataFrame([(0, 0, 0, right, right)], "nid int, fid int, bid int, g long, h long")
+    root = spark.createDataFrame([(0, 1_600_000, 2_000_000)], "nid int, g long, h long")
+    assert splits.with_left_gain(hist, root, 0.2, 0.0).first().gain == 0
+
+
 def test_range_cuts_tree(eight):
     forest = trainer.train(eight, RANGE)
     assert forest.cuts == [[8, 6.25, 4.5, 2.75], [9, 7, 5, 3]]
