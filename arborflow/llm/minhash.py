@@ -15,7 +15,8 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborflow.llm.common import map_columns, materialize
@@ -27,6 +28,8 @@ COORDINATES = BANDS * ROWS
 DARTS = math.log(COORDINATES) + 4
 #: Cells handled at once; bounds memory.
 CELLS = 1 << 20
+#: Members of a bucket that one task compares with its queries, and the size up to which ids are broadcast.
+BLOCK, BROADCAST_BYTES = 1024, 64 << 20
 
 _U = np.uint64
 _POISSON = [_U(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32)) for k in range(9)]
@@ -129,11 +132,11 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _band_rows():
-    def fn(ids, texts):
+    def fn(ids, digests, texts):
         doc, element = elements(texts)
         keys = bands(signatures(doc, element, len(texts)))
         has = np.bincount(doc, minlength=len(texts)) > 0
-        return ids, [k.tolist() if y else None for k, y in zip(keys, has)]
+        return ids, digests, [k.tolist() if y else None for k, y in zip(keys, has)]
 
     return fn
 
@@ -164,42 +167,62 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return common / max(1, len(x) + len(y) - common)
 
 
+def _cross_links(least: float, key, queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+    """Links from each query to one member of each other component among the items that is at least that similar."""
+    out = []
+    if len(queries) and len(items):
+        sets = [np.frombuffer(x, "<u4") for x in items["elements"]]
+        sizes = np.array([len(s) for s in sets])
+        words, place = np.unique(np.concatenate(sets), return_inverse=True)
+        starts, ids, of = np.concatenate([[0], np.cumsum(sizes)[:-1]]), items["id"].to_numpy(), items["component"].to_numpy()
+        for q, c, x in zip(queries["id"], queries["component"], queries["elements"]):
+            x = np.frombuffer(x, "<u4")
+            at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+            mark = np.bincount(at[words[at] == x], minlength=len(words)) > 0
+            common = np.add.reduceat(mark[place].astype(np.int64), starts)
+            near = np.flatnonzero((common >= (least - 1e-3) * (sizes + len(x) - common)) & (of != c))
+            for k in near[np.unique(of[near], return_index=True)[1]] if len(near) else ():
+                hits = near[of[near] == of[k]]
+                found = next((h for h in hits if _jaccard(x, sets[h]) >= least), None)
+                if found is not None:
+                    out.append((min(q, ids[found]), max(q, ids[found])))
+    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+
+
 def verified_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(texts, links): texts has doc_id, __digest, __class (least id of the equal texts); links (a, b) joins classes at least that similar.
 
-    Within a band's bucket every class is compared with the least one; those that
-    fail are compared with the next ones, four times as many each round, until
-    none is left, so a bucket with few different texts costs a few comparisons a
-    member and no limit applies.
+    First, within each band's bucket every class is compared with the least one.
+    Buckets whose members are by then one component are done. In the others, the
+    members outside the most frequent component are the queries, compared with
+    all members in blocks; they leave one link to each component they belong to.
+    So no link between components is missed, and no list of pairs is made.
     """
-    keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("__digest"))
-    texts = materialize(keyed.select("doc_id", F.unhex("__digest").alias("__digest")), "digests")
-    least = texts.groupBy("__digest").agg(F.min("doc_id").alias("__class"))
-    reps = materialize(least.where(F.col("__class").isNotNull()), "classes")
-    own = docs.select("doc_id", "text").join(reps.select(F.col("__class").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = map_columns(own, ["doc_id", "text"], _band_rows, "id long, keys array<long>").where(F.col("keys").isNotNull())
-    rows = materialize(banded.select("id", F.explode("keys").alias("key")), "bands")
-    again = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-    active = materialize(rows.join(again, "key", "left_semi"), "buckets")
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("__digest")
+    keyed = materialize(map_columns(docs, ["doc_id", digest, "text"], _band_rows, "doc_id long, __digest binary, keys array<long>"), "signatures")
+    reps = materialize(keyed.groupBy("__digest").agg(F.min("doc_id").alias("__class")).where(F.col("__class").isNotNull()), "classes")
+    own = keyed.where(F.col("keys").isNotNull()).join(reps, "__digest").where(F.col("doc_id") == F.col("__class")).dropDuplicates(["doc_id"])
+    rows = materialize(own.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "bands")
+    heads = rows.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
+    active = materialize(rows.join(heads, "key"), "buckets")
     some = active.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(map_columns(own.join(some, "doc_id", "left_semi"), ["doc_id", "text"], _element_rows, "id long, elements binary"), "shingles")
-    tested, leaders = None, 1
-    while not active.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))  # limited before the shuffle, so a hot bucket costs `leaders` rows a task
-        headed = active.withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("id").alias("head")) if leaders > 1 else active.groupBy("key").agg(F.min("id").alias("head"))
-        near = active.join(headed, "key").where("head < id").select("key", "id", "head")
-        pairs = near.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        both = pairs.join(sets.withColumnsRenamed({"id": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "elements": "y"}), "b")
-        said = materialize(map_columns(both, ["a", "b", "x", "y"], functools.partial(_similar, similarity), "a long, b long, near boolean"), "tested")
-        tested = said if tested is None else tested.unionByName(said)
-        linked = near.join(tested.where("near").select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_semi").select("key", "id").distinct()
-        rest = active.join(linked, ["key", "id"], "left_anti").join(headed.withColumnRenamed("head", "id"), ["key", "id"], "left_anti")
-        more = rest.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-        active, leaders = materialize(rest.join(more, "key", "left_semi"), "buckets"), leaders * 4
-    links = tested.where("near").select("a", "b") if tested is not None else docs.sparkSession.createDataFrame([], "a long, b long")
-    return texts.join(reps, "__digest", "left"), links
+    side = F.broadcast(some) if some.count() * 16 <= BROADCAST_BYTES else some
+    sets = materialize(map_columns(docs.join(side, "doc_id", "left_semi"), ["doc_id", "text"], _element_rows, "id long, elements binary").dropDuplicates(["id"]), "shingles")
+    pairs = active.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "elements": "y"}), "b")
+    tested = materialize(map_columns(both, ["a", "b", "x", "y"], functools.partial(_similar, similarity), "a long, b long, near boolean"), "tested")
+    links = tested.where("near").select("a", "b")
+    known = active.join(components(links).withColumnRenamed("component", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("component"))
+    shares = known.groupBy("key", "component").count()
+    per = shares.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n"), F.sum("count").alias("size")).where("n > 1")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    left = materialize(known.join(per.select("key", "main", blocks.alias("blocks")), "key"), "undecided")
+    full = left.join(sets, "id")
+    items = full.select(*[F.col(c).alias(c) for c in full.columns]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    queries = full.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cross = queries.groupBy("key", "block").cogroup(items.groupBy("key", "block")).applyInPandas(functools.partial(_cross_links, similarity), "a long, b long")
+    more = materialize(cross.distinct(), "cross-links")
+    return keyed.select("doc_id", "__digest").join(reps, "__digest", "left"), links.unionByName(more)
 
 
 def components(links: DataFrame) -> DataFrame:
