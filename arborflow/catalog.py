@@ -19,6 +19,7 @@ from arborflow.plans import predict as P
 from arborflow.plans import trainer
 from arborflow.plans.tree import by_bin, node_id
 from arborflow.sources import text
+from arborflow.workers import ensure_importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +49,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborflow.workers import ensure_importable
+
 
 @dataclasses.dataclass(frozen=True)
 class Budget:
@@ -177,6 +179,7 @@ def paillier_keys(bits: int = 512, rng=None) -> PrivateKey:
 def encrypt_columns(rows: DataFrame, key: PublicKey, columns: tuple[str, ...] = ("g", "h")) -> DataFrame:
     """rows with LONG columns replaced by ciphertexts as decimal strings."""
     n = str(key.n)
+    ensure_importable(rows.sparkSession)
 
     @F.pandas_udf("string")
     def encrypt(x: pd.Series) -> pd.Series:
@@ -208,6 +211,7 @@ def _products(n: int, by: list[str], columns: tuple[str, ...]):
 def sum_encrypted(rows: DataFrame, key: PublicKey, by: tuple[str, ...], columns: tuple[str, ...] = ("g", "h")) -> DataFrame:
     """Sums under encryption by group: products within each task first, then one exchange of a row a group and task."""
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), *(f"{c} string" for c in columns)])
+    ensure_importable(rows.sparkSession)
     run = _products(key.n, list(by), columns)
     return rows.select(*by, *columns).mapInPandas(run, schema).repartition(*by).mapInPandas(run, schema)
 
@@ -215,6 +219,7 @@ def sum_encrypted(rows: DataFrame, key: PublicKey, by: tuple[str, ...], columns:
 def decrypt_columns(rows: DataFrame, key: PrivateKey, columns: tuple[str, ...] = ("g", "h")) -> DataFrame:
     """rows (a histogram, so few) with ciphertexts replaced by LONG sums."""
     parts = (str(key.public.n), str(key.lam), str(key.mu))
+    ensure_importable(rows.sparkSession)
 
     @F.pandas_udf("long")
     def decrypt(x: pd.Series) -> pd.Series:

@@ -15,6 +15,7 @@ from arborflow.functions.objectives import OBJECTIVES, sigmoid, softmax
 from arborflow.operators import layout
 from arborflow.plans.trainer import Forest
 from arborflow.plans.tree import RT_EPS, by_value, node_id, node_weight
+from arborflow.workers import ensure_importable
 
 #: Leaves beyond which generated code would be too long.
 CASE_LEAVES = 400
@@ -75,6 +76,7 @@ def margins(rows: DataFrame, forest: Forest) -> DataFrame:
             return out
 
         return base.withColumn("margins", F.array(*[total(k) for k in range(forest.params.classes)]))
+    ensure_importable(rows.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "x") + ", margins array<double>"
     return base.mapInPandas(functools.partial(_score, _arrays(forest), rate, forest.n_features), schema)
 
