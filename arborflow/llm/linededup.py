@@ -95,8 +95,13 @@ def _merge(key, group):
     return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(twice).tobytes()]})
 
 
+def in_filter(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether all places of each row are set in packed bits."""
+    return ((bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=-1)
+
+
 def _suspects(filters, segments: int):
-    table = {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for s, b in filters.value.items()}
+    table = {s: np.frombuffer(b, np.uint8) for s, b in filters.value.items()}
 
     def fn(ids, texts):
         out_id, out_key = [], []
@@ -108,7 +113,7 @@ def _suspects(filters, segments: int):
             seg = ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
             places = _places(h & np.uint64(0xFFFFFFFF))
             for k, s, p in zip(keys, seg.tolist(), places):
-                if (t := table.get(s)) is not None and t[p].all():
+                if (t := table.get(s)) is not None and in_filter(t, p):
                     out_id.append(doc)
                     out_key.append(k)
         return out_id, [_digest(k) for k in out_key], out_key
