@@ -114,7 +114,7 @@ def _buffers(segments: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def _suspects(filters, segments: int):
-    table = {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for s, b in filters.value.items()} if filters else None
+    table = {s: np.frombuffer(b, np.uint8) for s, b in filters.value.items()} if filters else None
 
     def fn(rids, texts):
         out = [[], [], [], [], []]
@@ -127,9 +127,16 @@ def _suspects(filters, segments: int):
                 keep = np.zeros(len(at), bool)
                 for s in np.unique(seg):
                     if s in table:
-                        keep[seg == s] = table[s][places[seg == s]].all(axis=1)
+                        keep[seg == s] = bloom.in_filter(table[s], places[seg == s])
                 at, core, around = at[keep], core[keep], around[keep]
-            for col, v in zip(out, ([rid] * len(at), core.view(np.int64).tolist(), around.view(np.int64).tolist(), at.tolist(), np.minimum(at + LENGTH, len(data)).tolist())):
+            if not len(at):
+                continue
+            order = np.lexsort((at, around, core))
+            at, core, around = at[order], core[order], around[order]
+            cuts = np.flatnonzero((np.diff(core) != 0) | (np.diff(around) != 0)) + 1
+            first = np.concatenate([[0], cuts])
+            rows = [rid] * len(first), core[first].view(np.int64).tolist(), around[first].view(np.int64).tolist(), [p.tolist() for p in np.split(at, cuts)], np.minimum(LENGTH, len(data) - at[first]).tolist()
+            for col, v in zip(out, rows):
                 col.extend(v)
         return out
 
@@ -335,13 +342,13 @@ def repeated_cover(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
     if segments * bloom.SEGMENT_BITS // 8 <= broadcast_bytes:
         built = texts.select("text").mapInArrow(functools.partial(_buffers, segments), "segment int, seen binary, again binary")
         filters = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in built.groupBy("segment").applyInPandas(bloom._merge, "segment int, bits binary").collect()})  # at most broadcast_bytes
-    found = map_columns(texts, ["__rid", "text"], functools.partial(_suspects, filters, segments), "__rid long, core long, around long, at long, stop long")
-    found = materialize(found, "anchors")
-    cores = found.groupBy("core").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").select("core", "mixed")
+    found = map_columns(texts, ["__rid", "text"], functools.partial(_suspects, filters, segments), "__rid long, core long, around long, places array<long>, after long")
+    found = materialize(found, "anchors")  # places of equal surroundings in one text share a row
+    cores = found.groupBy("core").agg(F.sum(F.size("places")).alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").select("core", "mixed")
     found = materialize(found.join(cores, "core"), "repeats")
-    whole = found.where("not mixed").select("__rid", F.greatest(F.col("at") - REACH, F.lit(0)).alias("lo"), F.col("stop").alias("hi"))
+    whole = found.where("not mixed").select("__rid", "after", F.explode("places").alias("at")).select("__rid", F.greatest(F.col("at") - REACH, F.lit(0)).alias("lo"), (F.col("at") + F.col("after")).alias("hi"))
     mixed = found.where("mixed")
-    one = mixed.groupBy("core", "around").agg(F.min(F.struct("__rid", "at")).alias("one"), (F.count("*") > 1).alias("many"))
+    one = mixed.groupBy("core", "around").agg(F.min(F.struct("__rid", F.col("places")[0].alias("at"))).alias("one"), (F.sum(F.size("places")) > 1).alias("many"))
     wanted = one.groupBy(F.col("one.__rid").alias("__want")).agg(F.collect_list(F.struct("core", "around", "many", F.col("one.at").alias("at"))).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     n = wanted.select(F.sum(F.size("wanted"))).first()[0] or 0
@@ -351,7 +358,7 @@ def repeated_cover(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
     parts = max(1, -(-n * (REACH + LENGTH) // SORT_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     part = contexts.repartition(parts, "core").mapInPandas(_sort_partition, "core long, around long, lo long, hi long")
     ranges = part.groupBy("core", "around").agg(F.max("lo").alias("l"), F.max("hi").alias("h"))
-    partly = mixed.join(ranges, ["core", "around"]).select("__rid", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("h")).alias("hi"))
+    partly = mixed.join(ranges, ["core", "around"]).select("__rid", F.explode("places").alias("at"), "l", "h").select("__rid", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("h")).alias("hi"))
     return whole.unionByName(partly).distinct().groupBy("__rid").agg(F.collect_list(F.struct("lo", "hi")).alias("__cover"))
 
 
