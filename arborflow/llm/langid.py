@@ -4,7 +4,9 @@ A word's features are its affixes, the n-grams of its letters and, if the
 learned lexicon has it, itself; each is a row of weights by language. Learned
 transitions link neighbouring words. Forward-backward gives each word's
 posterior, so code-switched text is labelled word by word; a text's language is
-the one with the most expected words and its score that share.
+the one with the most expected words and its score that share. Scripts without
+blanks have long runs of letters; such a run is cut into several words, so that
+all of it is read and it counts by its length.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ STEPS = 25
 #: Words that form one step of the blocked recursions.
 BLOCK = 64
 MEMORY = 250_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Longer runs of letters, as in scripts without blanks, are consecutive words of this many letters.
+LETTERS = 40
+WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case; none if the text has no letter."""
+    """Runs of letters in lower case, long ones in pieces of at most LETTERS; none if the text has no letter."""
     words = WORD.findall((text or "").lower())
     return words if any(any(map(str.isalpha, w)) for w in words) else []
 
@@ -49,9 +53,8 @@ def _mix(x: np.ndarray, kind: int) -> np.ndarray:
 
 def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word index, bucket) of every feature of the words: affixes of one to four letters, pairs and triples of letters with the word's ends, and the word if the lexicon has it."""
-    cut = [w[:40] for w in words]
-    length = np.array([len(w) + 2 for w in cut], np.int64)
-    code = np.frombuffer("".join([f"^{w}$" for w in cut]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    length = np.array([len(w) + 2 for w in words], np.int64)
+    code = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     stop = np.cumsum(length)
     start, of = stop - length, np.repeat(np.arange(len(words)), length)
     index, bucket = [], []

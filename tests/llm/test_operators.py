@@ -404,6 +404,18 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict_language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_reads_whole_runs_of_letters():
+    rng = random.Random(15)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kana, han = "あいうえおかきくけこ", "天地玄黄宇宙洪荒日月"
+    model = langid.fit_chain([("ja", text(kana, 300)) for _ in range(20)] + [("zh", text(han, 300)) for _ in range(20)])
+    mixed = text(kana, 40) + text(han, 400)
+    words, gamma = model.label_words([mixed])[0]
+    assert "".join(words) == mixed and len(gamma) == len(words) == 11 and langid.words_of("a" * 41 + " b") == ["a" * 40, "a", "b"]
+    assert [model.languages[k] for k in gamma.argmax(axis=1)] == ["ja"] + ["zh"] * 10
+    assert [lang for lang, _ in model.predict([mixed, text(han, 40) + text(kana, 400), text(kana, 90) + " " + text(han, 20)])] == ["zh", "ja", "ja"]
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(2)
     t = rng.random((3, 3)) + 0.1
