@@ -17,13 +17,15 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborflow.llm.common import crc_mod, map_columns
+from arborflow.llm.common import crc_mod, map_columns, materialize
 
-#: Rows used for fitting at most, those of least hash, and words of them at most, in that order.
-FIT_ROWS, FIT_WORDS = 1_200, 500_000
+#: Rows used for fitting, shared evenly by the languages, those of least hash of each; LANGUAGE_ROWS is the least share.
+FIT_ROWS, LANGUAGE_ROWS = 1_200, 100
+#: Words used for fitting at most: in all, shared evenly by the languages and then by the texts of each, and of a text.
+FIT_WORDS, TEXT_WORDS = 500_000, 5_000
 #: Weight rows; features share them by hash.
 BUCKETS = 1 << 16
 LEXICON = 20_000
@@ -31,6 +33,8 @@ SPAN = (6, 40)
 STEPS = 25
 #: Words that form one step of the blocked recursions.
 BLOCK = 64
+#: Numbers in the expected transitions held at once in fitting.
+CELLS = 1 << 23
 MEMORY = 250_000
 #: Longer runs of letters, as in scripts without blanks, are consecutive words of this many letters.
 LETTERS = 40
@@ -197,24 +201,49 @@ class ChainModel:
         return out
 
 
+def fair_cap(sizes: list[int], total: int) -> int:
+    """The largest cap with which the sizes add up to at most total; at least 1."""
+    left, cap = total, 0
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left, cap = left - size, size
+    return max(1, cap)
+
+
+def spread(spans: list[list[str]], words: int) -> list[list[str]]:
+    """Spans of about `words` words in all, at least one, from all over the list."""
+    total = sum(map(len, spans))
+    if total <= words:
+        return spans
+    n = max(1, len(spans) * words // total)
+    return [spans[i] for i in np.linspace(0, len(spans) - 1, n).astype(int)]
+
+
+def _spans(words: list[str], rng: np.random.Generator) -> list[list[str]]:
+    out, i = [], 0
+    while i < len(words):
+        k = int(rng.integers(*SPAN))
+        out.append(words[i : i + k])
+        i += k
+    return out
+
+
 def fit_chain(rows: list[tuple[str, str]], seed: int = 5) -> ChainModel | None:
     """Model of (language, text) rows; None without any word.
 
     Texts carry one language each, so training sequences are spliced: spans of
     random length, dealt in random order, let the transitions learn switching.
+    Beyond FIT_WORDS each language keeps an even share of words, and within it
+    each text, so no language is lost to others or to long texts.
     """
-    languages = sorted({lang for lang, _ in rows})
-    spans, rng, total = [], np.random.default_rng(seed), 0
+    languages, rng = sorted({lang for lang, _ in rows}), np.random.default_rng(seed)
+    texts: list[list[list[list[str]]]] = [[] for _ in languages]
     for lang, text in rows:
-        words = words_of(text)
-        if total >= FIT_WORDS:
-            break
-        total += len(words)
-        i = 0
-        while i < len(words):
-            k = int(rng.integers(*SPAN))
-            spans.append((languages.index(lang), words[i : i + k]))
-            i += k
+        texts[languages.index(lang)].append(_spans(words_of(text), rng))
+    sizes = [[sum(map(len, t)) for t in of] for of in texts]
+    cap = fair_cap([sum(n) for n in sizes], FIT_WORDS)
+    spans = [(k, s) for k, of in enumerate(texts) for t in of for s in spread(t, fair_cap(sizes[k], cap))]
     if not spans:
         return None
     spans = [spans[i] for i in rng.permutation(len(spans))]
@@ -229,16 +258,20 @@ def fit_chain(rows: list[tuple[str, str]], seed: int = 5) -> ChainModel | None:
     n_lang = len(languages)
     lengths = np.full(-(-len(seq) // BLOCK), BLOCK)
     lengths[-1] = len(seq) - BLOCK * (len(lengths) - 1)
-    hot = np.zeros((len(seq), n_lang))
-    hot[np.arange(len(seq)), labels] = 1
+    size = max(1, CELLS // (BLOCK * n_lang * n_lang))  # sequences at once
     inside = np.arange(1, len(seq)) % BLOCK != 0
     seen = np.bincount(labels[:-1][inside] * n_lang + labels[1:][inside], minlength=n_lang * n_lang).reshape(n_lang, n_lang)
     w, t = np.zeros((BUCKETS, n_lang)), np.zeros((n_lang, n_lang))
     state = [np.zeros_like(w), np.zeros_like(t)]
     for _ in range(STEPS):
         scores = _emission_scores(word_of, flat, w, len(distinct))
-        gamma, joint = forward_backward(scores[seq], lengths, np.exp(t), pairs=True)
-        diff = hot - gamma
+        diff, joint = np.empty((len(seq), n_lang)), np.zeros((n_lang, n_lang))
+        for i in range(0, len(lengths), size):
+            part = slice(i * BLOCK, (i + size) * BLOCK)
+            gamma, some = forward_backward(scores[seq[part]], lengths[i : i + size], np.exp(t), pairs=True)
+            diff[part] = -gamma
+            joint += some
+        diff[np.arange(len(seq)), labels] += 1
         by_word = np.stack([np.bincount(seq, diff[:, k], minlength=len(distinct)) for k in range(n_lang)], axis=1)
         grad = np.stack([np.bincount(flat, by_word[word_of, k], minlength=BUCKETS) for k in range(n_lang)], axis=1) - 0.5 * w
         gt = seen - joint - 0.5 * t
@@ -248,15 +281,34 @@ def fit_chain(rows: list[tuple[str, str]], seed: int = 5) -> ChainModel | None:
     return ChainModel(languages, w.astype(np.float32), np.exp(t), lexicon)
 
 
+def _training_words():
+    """Texts of more than TEXT_WORDS words reduced to spans from all over them."""
+
+    def fn(langs, ids, digests, texts):
+        out = []
+        for digest, text in zip(digests, texts):
+            words = words_of(text)
+            if len(words) > TEXT_WORDS:
+                text = " ".join(w for s in spread(_spans(words, np.random.default_rng(int(digest, 16))), TEXT_WORDS) for w in s)
+            out.append(text)
+        return langs, ids, digests, out
+
+    return fn
+
+
 def fit_languages(docs: DataFrame, rows: int = FIT_ROWS) -> ChainModel | None:
-    """Model from lang of at most `rows` documents outside the held-out fold (crc32(doc_id) mod 3 = 1)."""
+    """Model from lang of documents outside the held-out fold (crc32(doc_id) mod 3 = 1): of each language rows / languages, at least LANGUAGE_ROWS."""
     some = (
         docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
-        .select("lang", "text", F.xxhash64("doc_id").alias("__h"), F.substring(F.sha2("text", 256), 1, 16).alias("__s"))
+        .select("lang", F.xxhash64("doc_id").alias("__h"), F.substring(F.sha2("text", 256), 1, 16).alias("__s"), "text")
     )
-    ids = some.select("__h", "__s").orderBy("__h", "__s").limit(rows)
-    got = some.join(F.broadcast(ids.distinct()), ["__h", "__s"], "left_semi").select("lang", "text", "__h", "__s").collect()  # ids: at most `rows`
-    return fit_chain([(r.lang, r.text) for r in sorted(got, key=lambda r: (r["__h"], r["__s"], r.lang))])
+    each = materialize(some.select("lang", "__h", "__s").distinct(), "language-rows")
+    share = max(LANGUAGE_ROWS, rows // max(1, each.select("lang").distinct().count()))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__s"))  # limited before the shuffle
+    ids = each.withColumn("__k", place).where(F.col("__k") <= share).drop("__k")
+    taken = some.join(F.broadcast(ids), ["lang", "__h", "__s"], "left_semi")  # `share` ids a language
+    got = map_columns(taken, ["lang", "__h", "__s", "text"], _training_words, "lang string, h long, s string, text string").dropDuplicates(["lang", "h", "s"]).collect()
+    return fit_chain([(r.lang, r.text) for r in sorted(got, key=lambda r: (r.h, r.s, r.lang))])
 
 
 def _predict(model: ChainModel | None):

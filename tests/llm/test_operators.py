@@ -416,6 +416,27 @@ def test_language_reads_whole_runs_of_letters():
     assert [lang for lang, _ in model.predict([mixed, text(han, 40) + text(kana, 400), text(kana, 90) + " " + text(han, 20)])] == ["zh", "ja", "ja"]
 
 
+def test_language_learns_rare_languages_beside_long_texts(spark, monkeypatch):
+    rng = random.Random(16)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    monkeypatch.setattr(langid, "FIT_WORDS", 3_000)
+    model = langid.fit_chain([("aa", text("abcd", 4_000)) for _ in range(3)] + [("bb", text("klmn", 30))])
+    assert model.languages == ["aa", "bb"] and [x for x, _ in model.predict([text("abcd", 9), text("klmn", 9)])] == ["aa", "bb"]
+    monkeypatch.setattr(langid, "LANGUAGE_ROWS", 5)
+    monkeypatch.setattr(langid, "TEXT_WORDS", 50)
+    texts = [text("abcd", 60) for _ in range(290)] + [text("klmn", 60) for _ in range(10)]
+    df = frame(spark, texts, ["aa"] * 290 + ["bb"] * 10, extra=True)
+    assert langid.fit_languages(df, 8).languages == ["aa", "bb"]
+    assert all(r.lang_pred == ("aa" if r.doc_id < 290 else "bb") for r in langid.predict_language(df, 8).collect())
+
+
+def test_words_are_shared_fairly():
+    assert langid.fair_cap([5, 100, 100], 105) == 50 and langid.fair_cap([5, 6], 100) == 6 and langid.fair_cap([9] * 20, 10) == 1
+    spans = [[str(i)] * 10 for i in range(100)]
+    got = langid.spread(spans, 200)
+    assert len(got) == 20 and got[0] == spans[0] and got[-1] == spans[-1] and langid.spread(spans, 1_000) == spans
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(2)
     t = rng.random((3, 3)) + 0.1
