@@ -1,11 +1,13 @@
 """Toxicity from a learned lexicon, matched through Levenshtein automata, weighed by context.
 
 Terms and stems that mark toxic rows are learned from labelled rows. The
-lexicon is a trie; the automaton that accepts every string within one edit of a
-term is intersected with it and made deterministic as words ask for it, so a
-word costs a dictionary lookup a character and most words die early. Hits are
-weighed by term, by distance and by their window: quotation marks around a hit
-and other hits near it. A logistic model over these turns them into a score.
+lexicon is a trie; the automaton that accepts every string within some edits of
+a term is intersected with it and made deterministic as words ask for it, so a
+word costs a dictionary lookup a character and most words die early. Every term
+may be misspelt: short ones by one other letter, middle ones by one edit, long
+ones by two. Hits are weighed by term, by distance and by their window:
+quotation marks around a hit and other hits near it. Misspellings that may well
+be another word have numbers of their own. A logistic model over these turns them into a score.
 """
 
 from __future__ import annotations
@@ -24,27 +26,29 @@ from arborflow.llm.quality import labelled_sample
 
 #: Labelled rows used for fitting at most, those of least hash.
 FIT_ROWS = 30_000
-#: Terms and stems kept at most, the most telling first; of these the first FUZZY may be misspelt.
-TERMS, FUZZY = 4_000, 400
-#: Terms of fewer letters are matched exactly only.
-FUZZY_LETTERS = 5
+#: Terms and stems kept at most, the most telling first.
+TERMS = 4_000
+#: Terms of fewer than EDIT_LETTERS letters may have one letter replaced, terms of LONG_LETTERS or more two edits, the others one.
+EDIT_LETTERS, LONG_LETTERS = 5, 10
 STEMS = (4, 5, 6)
 WINDOW = 8
 THRESHOLD = 0.7
 WORD = re.compile(r"[\w@$*]+")
 QUOTES = frozenset("\"“”„«»‘’‹›")
 MEMORY = 300_000
+#: Trie nodes that an automaton's states may hold.
+NODES = 500_000
 
 
 class LevenshteinTrie:
-    """Trie of terms, and its intersection with the automata of one edit, determinised on demand.
+    """Trie of terms, and its intersection with the automata of `edits` edits (or replaced letters only), determinised on demand.
 
     A state is a set of (trie node, edits so far), held by number. Node 0 is the
     root; ends[node] is the term that ends there.
     """
 
-    def __init__(self, terms: list[str], edits: int = 1):
-        self.edits, self.children, self.ends = edits, [{}], [None]
+    def __init__(self, terms: list[str], edits: int = 1, replace_only: bool = False):
+        self.edits, self.replace_only, self.children, self.ends = edits, replace_only, [{}], [None]
         for term in terms:
             node = 0
             for c in term:
@@ -63,6 +67,7 @@ class LevenshteinTrie:
         self.sets: list[dict[int, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
         self.moves: list[dict[str, int]] = []
+        self.held = 0
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -70,7 +75,7 @@ class LevenshteinTrie:
         todo = list(nodes.items())
         while todo:
             node, e = todo.pop()
-            if e < self.edits:
+            if e < self.edits and not self.replace_only:
                 for kid in self.children[node].values():
                     if nodes.get(kid, self.edits + 1) > e + 1:
                         nodes[kid] = e + 1
@@ -81,6 +86,7 @@ class LevenshteinTrie:
         if key not in self.number:
             self.number[key] = len(self.sets)
             self.sets.append(nodes)
+            self.held += len(nodes)
             self.moves.append({})
             found = [(e, self.ends[n]) for n, e in nodes.items() if self.ends[n] is not None]
             self.accepts.append((lambda b: (b[1], b[0]))(min(found)) if found else None)
@@ -93,13 +99,15 @@ class LevenshteinTrie:
             if kid is not None:
                 after[kid] = min(e, after.get(kid, e))
             if e < self.edits:
-                for other in (*self.children[node].values(), node):
+                for other in (*self.children[node].values(), *(() if self.replace_only else (node,))):
                     after[other] = min(e + 1, after.get(other, e + 1))
         to = self.moves[state][c] = self._state(after)
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term within reach, ties to the first in order of letters."""
+        if self.held > NODES:
+            self.reset()
         state, moves, alphabet = self.start, self.moves, self.alphabet
         for c in word:
             if c not in alphabet:
@@ -117,35 +125,42 @@ class LevenshteinTrie:
 class Lexicon:
     terms: dict[str, float]  # term -> weight
     stems: dict[str, float]
-    fuzzy: list[str]
 
     def __post_init__(self):
-        self.automaton = None
+        self.automata: list[LevenshteinTrie] | None = None
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[float, int]] = {}
 
     def __getstate__(self):
-        return self.terms, self.stems, self.fuzzy
+        return self.terms, self.stems
 
     def __setstate__(self, x):
-        self.terms, self.stems, self.fuzzy = x
+        self.terms, self.stems = x
         self.__post_init__()
 
+    def misspelt(self, word: str) -> tuple[str, int] | None:
+        """(term, edits) of the nearest term that the word may be, ties to the longest."""
+        if self.automata is None:
+            size = lambda least, stop: [t for t in self.terms if least <= len(t) < stop]
+            self.automata = [LevenshteinTrie(size(LONG_LETTERS, 1 << 30), 2), LevenshteinTrie(size(EDIT_LETTERS, LONG_LETTERS)), LevenshteinTrie(size(1, EDIT_LETTERS), replace_only=True)]
+        found = [x for a in self.automata if (x := a.match(word))]
+        return min(found, key=lambda x: x[1], default=None)
+
     def look(self, word: str) -> tuple[float, int] | None:
-        """(weight, kind) of a word: kind 0 a term, 1 a stem, 2 misspelt."""
+        """(weight, kind) of a word: kind 0 a term, 1 a stem, 2 misspelt, 3 misspelt so that it may be another word."""
         if (w := self.terms.get(word)) is not None:
             return w, 0
-        near = self.automaton.match(word) if len(word) >= FUZZY_LETTERS else None
-        if near and near[1] == 0:
-            return self.terms[near[0]], 0
         stem = max((self.stems[word[:k]] for k in STEMS if word[:k] in self.stems), default=None)
         if stem is not None:
             return stem, 1
-        return (self.terms[near[0]], 2) if near else None
+        near = self.misspelt(word)
+        if not near:
+            return None
+        term, edits = near
+        sure = term.isalpha() and not word.isalpha() or edits == 1 and min(len(term), len(word)) >= EDIT_LETTERS
+        return self.terms[term], 2 if sure else 3
 
     def find(self, words: list[str]) -> dict[str, tuple[float, int]]:
-        if self.automaton is None:
-            self.automaton = LevenshteinTrie(self.fuzzy)
         distinct = set(words)
         for w in distinct - self.clean:
             if w not in self.hits:
@@ -157,8 +172,6 @@ class Lexicon:
         if len(self.clean) > MEMORY:
             self.clean.clear()
             self.hits.clear()
-        if len(self.automaton.sets) > MEMORY:
-            self.automaton.reset()
         return found
 
 
@@ -168,7 +181,12 @@ def context(text: str | None, lexicon: Lexicon) -> list[float]:
     words = WORD.findall(low)
     found = lexicon.find(words)
     if not found:
-        return [0.0] * 10
+        return [0.0] * 12
+    doubtful = {w: x[0] for w, x in found.items() if x[1] == 3}
+    weak = [max(doubtful.values(), default=0.0), math.log1p(len(doubtful))]
+    found = {w: x for w, x in found.items() if w not in doubtful}
+    if not found:
+        return [0.0] * 10 + weak
     at = [(i, m, *found[m.group()]) for i, m in enumerate(WORD.finditer(low)) if m.group() in found]
     place = [a[0] for a in at]
     quoted = 0
@@ -178,7 +196,7 @@ def context(text: str | None, lexicon: Lexicon) -> list[float]:
     near = max(sum(abs(p - q) <= WINDOW for q in place[max(0, k - WINDOW) : k + WINDOW + 1]) - 1 for k, p in enumerate(place))
     kinds = [{m.group() for _, m, _, kind in at if kind == k} for k in range(3)]
     best = [max((w for _, _, w, kind in at if kind == k), default=0.0) for k in range(3)]
-    return [best[0], best[1], best[2], *(math.log1p(len(k)) for k in kinds), math.log1p(len(at)), quoted / len(at), math.log1p(near), math.log(len(at) / len(words))]
+    return [best[0], best[1], best[2], *(math.log1p(len(k)) for k in kinds), math.log1p(len(at)), quoted / len(at), math.log1p(near), math.log(len(at) / len(words)), *weak]
 
 
 @dataclasses.dataclass
@@ -207,20 +225,19 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     counts = sample.groupBy().agg(F.sum("__label").alias("t"), F.count("*").alias("n")).first()
     toxic, rest = int(counts.t or 0), int(counts.n - (counts.t or 0))
     if not toxic or not rest:
-        return Lexicon({}, {}, [])
+        return Lexicon({}, {})
     t, o = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     odds = F.log(t / (toxic + 1)) - F.log(o / (rest + 1))
     rows = (
         map_columns(sample, ["__label", "text"], lambda: _terms, "y int, words array<string>")
         .select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
         .where(F.col("t") >= 4)
-        .select("w", "t", odds.alias("odds"), (odds - 2 * F.sqrt(1 / t + 1 / o)).alias("sure"))
+        .select("w", odds.alias("odds"), (odds - 2 * F.sqrt(1 / t + 1 / o)).alias("sure"))
         .where("sure > 1.5").orderBy(F.desc("sure"), "w").limit(TERMS).collect()
     )
     terms = {r.w: r.odds for r in rows if not r.w.endswith(" ")}
     stems = {r.w[:-1]: r.odds for r in rows if r.w.endswith(" ")}
-    strong = sorted(((-r.t, r.w) for r in rows if not r.w.endswith(" ") and len(r.w) >= FUZZY_LETTERS and r.t >= 0.005 * toxic))
-    return Lexicon(terms, stems, [w for _, w in strong[:FUZZY]])
+    return Lexicon(terms, stems)
 
 
 def _features(lexicon: Lexicon):

@@ -360,6 +360,34 @@ def test_levenshtein_trie_equals_distance():
         assert trie.match(w) == ((best[1], best[0]) if best[0] <= 1 else None)
 
 
+def test_every_term_may_be_misspelt():
+    rng = random.Random(17)
+    terms = {"".join(rng.choice("bcdfg") for _ in range(7)): 2.0 for _ in range(900)} | {"fuk": 3.0, "scum": 3.0, "loathsomely": 2.5}
+    lexicon = toxicity.Lexicon(terms, {})
+    assert all((x := lexicon.look(t[:3] + "z" + t[4:])) and x[1] == (0 if t[:3] + "z" + t[4:] in terms else 2) for t in terms if len(t) == 7)
+    assert lexicon.look("f*k") == (3.0, 2) and lexicon.look("scam") == (3.0, 3) and lexicon.look("scums") is None and lexicon.look("scu") is None
+    assert lexicon.look("lothsomly") == (2.5, 3) and lexicon.look("loathsomly") == (2.5, 2)
+    assert toxicity.context("he is scam", lexicon)[:10] == [0.0] * 10 and toxicity.context("he is scam", lexicon)[10] == 3.0
+
+
+def test_rare_and_short_terms_count_when_misspelt(spark):
+    rng = random.Random(18)
+    bad = ["scum", "fuk", "moron", "worthless"]
+    bent = {"scum": "sc*m", "fuk": "f*k", "moron": "mor0n", "worthless": "worthles"}
+    texts = []
+    for i in range(600):
+        w = prose(rng, 40).split()
+        if i % 5 == 0:
+            for _ in range(3):
+                b = rng.choice(bad)
+                w[rng.randrange(40)] = bent[b] if i % 2 else b
+        texts.append(" ".join(w))
+    texts += [prose(rng, 30) + " sc*m " + prose(rng, 3) + " f*k", prose(rng, 35)]
+    labels = labels_frame(spark, [(i, 1, int(i % 5 == 0)) for i in range(600)])
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, texts), labels).collect()}
+    assert rows[600].predicted == 1 and rows[601].predicted == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(13)
     bad = ["stupid", "idiot", "worthless", "disgusting"]
