@@ -2,7 +2,7 @@
 
 A table of word counts by domain, from a bounded sample of labelled rows, is a
 multinomial classifier; its tempered posteriors give every document a share in
-each domain. Rates r >= 0 of documents are fitted by projected gradient so that
+each domain. Rates of documents, 0 or another least rate at least, are fitted by projected gradient so that
 the expected tokens of each domain, sum of r x tokens x share, match the targets:
 least squares, weighted by target, with a small pull to rate 1. A document's
 rate follows from its shares and the steps' few numbers, so a step is one scan
@@ -11,13 +11,13 @@ with partial sums of as many numbers as domains, and no state is kept by row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborflow.llm.common import materialize
 
-#: Labelled rows used for counting words at most, those of least hash; words kept of them at most, the most frequent.
-FIT_ROWS, WORDS = 4_000, 3_000
+#: Labelled rows used for counting words, shared evenly by the domains, those of least hash of each; DOMAIN_ROWS is the least share. Words kept of them at most, those of most weight in some domain.
+FIT_ROWS, DOMAIN_ROWS, WORDS = 4_000, 100, 3_000
 #: Words' worth of evidence that a text's posterior counts at most: long texts stay soft.
 EVIDENCE = 40.0
 STEPS, PULL, TEMPERATURE = 25, 0.002, 0.7
@@ -28,14 +28,22 @@ def _words(text: Column) -> Column:
 
 
 def domain_table(docs: DataFrame, domain: str = "lang", rows: int = FIT_ROWS, words: int = WORDS) -> tuple[DataFrame, list[str]]:
-    """(table, domains): word and its log-likelihoods by domain, less their mean, in the order of domains."""
-    labelled = docs.where(F.col(domain).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = labelled.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `rows` ids
-    counts = materialize(some.select(F.col(domain).cast("string").alias("d"), F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).where("w <> ''").groupBy("d", "w").count(), "word-counts")
+    """(table, domains): word and its log-likelihoods by domain, less their mean, in the order of domains.
+
+    Every domain of a labelled text with a word is in it, however rare.
+    """
+    labelled = docs.where(F.col(domain).isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull()).select(F.col(domain).cast("string").alias("d"), "doc_id", "text")
+    each = materialize(labelled.select("d", "doc_id").distinct(), "labelled-ids")
+    share = max(DOMAIN_ROWS, rows // max(1, each.select("d").distinct().count()))
+    place = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = each.withColumn("k", place).where(F.col("k") <= share).select("d", "doc_id")
+    some = labelled.join(F.broadcast(ids), ["d", "doc_id"], "left_semi")  # `share` ids a domain
+    counts = materialize(some.select("d", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).where("w <> ''").groupBy("d", "w").count(), "word-counts")
     totals = {r.d: r.n for r in counts.groupBy("d").agg(F.sum("count").alias("n")).collect()}
     domains = sorted(totals)
-    top = counts.groupBy("w").agg(F.sum("count").alias("n"), *[F.sum(F.when(F.col("d") == d, F.col("count")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)]).orderBy(F.desc("n"), "w").limit(words)
+    top = counts.groupBy("w").agg(F.sum("count").alias("n"), *[F.sum(F.when(F.col("d") == d, F.col("count")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)])
+    weight = F.array_max(F.array(*[F.col(f"n{k}") / F.lit(float(totals[d])) for k, d in enumerate(domains)])) if domains else F.col("n")
+    top = top.orderBy(F.desc(weight), F.desc("n"), "w").limit(words)
     logs = [F.log((F.col(f"n{k}") + 0.5) / F.lit(float(totals[d] + words))) for k, d in enumerate(domains)]
     mean = sum(logs[1:], logs[0]) / len(logs) if logs else F.lit(0.0)
     return top.select("w", F.array(*[x - mean for x in logs]).alias("l")), domains
@@ -58,21 +66,21 @@ def soft_membership(docs: DataFrame, table: DataFrame, n: int) -> DataFrame:
     return tokens.join(shares, "doc_id").select("doc_id", F.greatest("tokens", F.lit(0)).cast("double").alias("tokens"), "shares")
 
 
-def _rate(moves: list[list[float]]) -> Column:
-    """The rate after projected steps: r <- max(0, r - (shares . move + PULL (r - 1)))."""
+def _rate(moves: list[list[float]], least: float = 0.0) -> Column:
+    """The rate after projected steps: r <- max(least, r - (shares . move + PULL (r - 1)))."""
     r = F.lit(1.0)
     if not moves:
         return r
     steps = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in moves])
-    return F.aggregate(steps, r, lambda r, m: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("shares", m, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) - F.lit(PULL) * (r - 1.0)))
+    return F.aggregate(steps, r, lambda r, m: F.greatest(F.lit(float(least)), r - F.aggregate(F.zip_with("shares", m, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y) - F.lit(PULL) * (r - 1.0)))
 
 
-def fit_rates(members: DataFrame, n: int, weights: list[float] | None = None, total: float | None = None, steps: int = STEPS) -> tuple[Column, list[float], list[float]]:
+def fit_rates(members: DataFrame, n: int, weights: list[float] | None = None, total: float | None = None, steps: int = STEPS, least: float = 0.0) -> tuple[Column, list[float], list[float]]:
     """(rate expression, targets, reached) over members (tokens, shares).
 
     weights: the domains' target shares of `total` tokens. Without weights, each
     domain's present share to the power TEMPERATURE; without total, the least
-    one at which no domain has to shrink.
+    one at which no domain has to shrink. No rate is below `least`, at most 1.
     """
     sums = [F.coalesce(F.sum(F.col("tokens") * F.col("shares")[k]), F.lit(0.0)).alias(f"a{k}") for k in range(n)]
     have = [float(x) for x in members.agg(*sums).first()]
@@ -93,11 +101,11 @@ def fit_rates(members: DataFrame, n: int, weights: list[float] | None = None, to
     reached = have
     for _ in range(steps):
         moves.append([(x - t) / s / max(bound, 1e-12) for x, t, s in zip(reached, targets, scale)])
-        rate = _rate(moves)
+        rate = _rate(moves, least)
         reached = [float(x) for x in members.select("tokens", "shares", rate.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("shares")[k] * F.col("r")).alias(f"a{k}") for k in range(n)]).first()]
         if max(abs(x - t) / s for x, t, s in zip(reached, targets, scale)) < 0.005:
             break
-    return _rate(moves), targets, reached
+    return _rate(moves, least), targets, reached
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
@@ -107,26 +115,29 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mixing_rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, total: float | None = None, least: float = 0.0) -> DataFrame:
     """doc_id, tokens, domain, share, rate, copies for each distinct doc_id: domain is the likeliest and share its posterior.
 
     Rows without doc_id are left out. Without any labelled word every rate is 1
-    and domain is null.
+    and domain is null. Weights of domains that no labelled text has are refused.
+    No rate is below `least`.
     """
     table, domains = domain_table(docs, domain)
     n = len(domains)
+    if n and (unknown := set(weights or ()) - set(domains)):
+        raise ValueError(f"no labelled text of the weighted domains {sorted(unknown)}")
     if not n:
         return docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.lit(0.0).alias("tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("share"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     members = materialize(soft_membership(docs, materialize(table, "domain-table"), n), "membership")
     wanted = None if weights is None else [weights.get(d, 0.0) for d in domains]
-    rate, _, _ = fit_rates(members, n, wanted, total)
+    rate, _, _ = fit_rates(members, n, wanted, total, least=least)
     best = F.array_position("shares", F.array_max("shares"))
     out = members.withColumn("rate", rate).select("doc_id", "tokens", F.element_at(F.array(*map(F.lit, domains)), best.cast("int")).alias("domain"), F.array_max("shares").alias("share"), "rate")
     return out.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
 
-def mix(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None) -> DataFrame:
-    """docs, all columns, each row as often as its copies say (0 drops it). Rows without doc_id stay once."""
-    take = mixing_rates(docs, domain, weights).select(F.col("doc_id").alias("__doc"), F.col("copies").alias("__copies"))
+def mix(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
+    """docs, all columns, each row as often as its copies say (0 drops it; with least 1 none is dropped). Rows without doc_id stay once."""
+    take = mixing_rates(docs, domain, weights, least=least).select(F.col("doc_id").alias("__doc"), F.col("copies").alias("__copies"))
     joined = docs.join(take, docs["doc_id"] == take["__doc"], "left")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1))))).where(F.col("__copy") > 0).select(*[joined[c] for c in docs.columns])

@@ -26,7 +26,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rare languages repeated so that shares follow tempered targets; no document is dropped."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, least=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -307,6 +307,36 @@ def test_rates_against_projected_gradient(spark):
     assert np.allclose(got, r) and np.allclose(reached, (r * n) @ p)
 
 
+def test_mixing_drops_nothing_with_least_one(spark):
+    p = [[1.0, 0.0]] * 90 + [[0.5, 0.5]] * 6 + [[0.0, 1.0]]
+    members = spark.createDataFrame([(i, 10.0, s) for i, s in enumerate(p)], "doc_id long, tokens double, shares array<double>")
+    got = {}
+    for least in (0.0, 1.0):
+        rate, _, _ = mixing.fit_rates(members, 2, least=least)
+        got[least] = {r.doc_id: r for r in members.select("doc_id", rate.alias("r")).withColumn("copies", mixing.copies_of(F.col("r"), F.col("doc_id"))).collect()}
+    assert got[0.0][0].r < 0.97
+    assert all(r.r >= 1 and r.copies >= 1 for r in got[1.0].values()) and got[1.0][96].r > 2
+
+
+def test_pipeline_mixing_keeps_mixed_texts(spark):
+    from corpus_pipeline import mix_languages
+
+    rng = random.Random(19)
+    text = lambda letters, n: " ".join(f"{rng.choice(letters)}{rng.choice('abcdefghij')}" for _ in range(n))
+    texts = [text("x", 40) for _ in range(360)] + [text("x", 20) + " " + text("y", 20) for _ in range(40)] + [text("y", 40) for _ in range(4)]
+    docs = frame(spark, texts, ["a"] * 360 + ["a", "b"] * 20 + ["b"] * 4)
+    assert mix_languages(spark, docs, "").select("doc_id").distinct().count() == len(texts)
+
+
+def test_mixing_knows_rare_domains(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DOMAIN_ROWS", 3)
+    df = frame(spark, [f"x{i % 9} x y{'abcd'[i % 4]} same words" for i in range(200)] + ["rare zz"] * 2, ["a"] * 200 + ["r"] * 2)
+    table, domains = mixing.domain_table(df, rows=4, words=20)
+    assert domains == ["a", "r"] and {"zz", "rare", "same"} <= {r.w for r in table.collect()}
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mixing_rates(df, weights={"a": 0.5, "nowhere": 0.5})
+
+
 # classifiers
 
 
