@@ -27,8 +27,8 @@ SUBSPACES, CODES = 16, 256
 PROBE_SHARE, PROBE_LEAST, RERANK = 0.6, 16, 24
 #: Distances held at once in one task.
 CELLS = 1 << 21
-#: Vectors of one list that one task holds; longer lists are cut by hash into blocks.
-BLOCK = 20_000
+#: Vectors of one list, and queries that probe it, that one task holds; more are cut by hash into blocks.
+BLOCK, QUERIES = 20_000, 4_096
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = 12, seed: int = 11) -> np.ndarray:
@@ -174,8 +174,12 @@ def nearest_neighbours(vectors: DataFrame, query_modulus: int = 50, top: int = 5
     sizes = {r.list: -(-r["count"] // BLOCK) for r in coded.groupBy("list").count().collect()}  # a row for each of at most 256 lists
     blocks = F.coalesce(*[F.when(F.col("list") == k, F.lit(n)) for k, n in sizes.items() if n > 1], F.lit(1))
     items = coded.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    queries = good.where(F.col("vec_id") % query_modulus == 0).mapInPandas(functools.partial(_probe, index), "list int, query_id long, x array<double>")
+    asked = good.where(F.col("vec_id") % query_modulus == 0)
+    asks = max(1, -(-asked.count() // QUERIES))  # no list is probed by more than all queries
+    queries = asked.mapInPandas(functools.partial(_probe, index), "list int, query_id long, x array<double>").withColumn("ask", F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    found = queries.groupBy("list", "block").cogroup(items.groupBy("list", "block")).applyInPandas(functools.partial(_search, index, top), "query_id long, vec_id long, score double")
+    items = items.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    cell = ["list", "block", "ask"]
+    found = queries.groupBy(*cell).cogroup(items.groupBy(*cell)).applyInPandas(functools.partial(_search, index, top), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -17,14 +18,16 @@ from arborflow.workers import ensure_importable
 
 #: Rows that cross to Python at once; long texts make larger batches costly.
 ROWS_PER_BATCH = 512
+#: Rows of one key beyond which the key is hot: such keys are few, at most one for each HOT rows.
+HOT = 100_000
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine that has none (`local` master) gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="arborflow-")
         spark.sparkContext.setCheckpointDir(where)
@@ -67,6 +70,15 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Inner join of rows with table, which has each key once. hot: the keys with very many rows, at most one for each HOT rows; their part of the table is broadcast, so they gather nowhere."""
+    on = list(on)
+    tagged = rows.join(F.broadcast(hot.select(*on, F.lit(True).alias("__hot"))), on, "left")
+    few = table.join(F.broadcast(hot.select(*on)), on, "left_semi")
+    spread = tagged.where("__hot").drop("__hot").join(F.broadcast(few), on)
+    return spread.unionByName(tagged.where("__hot is null").drop("__hot").join(table, on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,12 +89,17 @@ def crc_mod(col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(-1))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let at most ROWS_PER_BATCH rows cross to Python at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def map_columns(df: DataFrame, cols: Sequence[str | Column], make: Callable[[], Callable], schema: str) -> DataFrame:
     """Map Arrow batches through make()(*column lists) -> output column lists; make() runs once a task."""
     spark = df.sparkSession
     ensure_importable(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    bound_batches(spark)
     struct = T._parse_datatype_string(schema)
     target = to_arrow_schema(struct)
 

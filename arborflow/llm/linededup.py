@@ -1,13 +1,10 @@
 """Exact line dedup in which only lines that two Bloom filters suspect are shuffled.
 
-Scan 1 ships 32 bits for each key that is new to a task's buffer, by segment of the
-filter; each segment inserts them into a once-seen filter and, where all bits
-were set already, into a twice-seen filter. Scan 2 tests every line against the
-twice-seen filter and emits the suspects, whose whole keys are then grouped:
-keys that two documents hold are confirmed and their least doc_id keeps them.
-The twice-seen filter is broadcast while its proven size, BITS bits for each
-line, is below BROADCAST_BYTES; beyond that, suspects come from counting 8-byte
-hashes with a shuffle, and everything after that is the same.
+Scan 1 builds the filters from hashes of the lines' keys (see bloom). Scan 2 tests
+every line against the twice-seen filter and emits the suspects, whose whole
+keys are then grouped: keys that two documents hold are confirmed and their
+least doc_id keeps them. The filter is broadcast while its size, BITS bits for
+each line, is small; beyond that the lines are tested at the filter's segments.
 """
 
 from __future__ import annotations
@@ -23,14 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborflow.llm.common import ROWS_PER_BATCH, map_columns, materialize
+from arborflow.llm import bloom
+from arborflow.llm.common import HOT, bound_batches, join_hot, map_columns, materialize
 
 LEAST = 10
 BLANK = " \t\n\x0b\x0c\r"
-BITS, HASHES = 16, 4
-SEGMENT_BITS = 1 << 20
-BROADCAST_BYTES = 64 << 20
-BUFFER = 1 << 18
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLD = str.maketrans(UPPER, UPPER.lower())
 
@@ -50,105 +44,45 @@ def _hashes(keys: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
 
 
-def _places(residual: np.ndarray) -> np.ndarray:
-    """Bit positions in a segment: HASHES for each 32-bit residual, by double hashing."""
-    x = residual.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return ((a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) % np.uint64(SEGMENT_BITS)).astype(np.int64)
+def _line_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    for text in texts:
+        if keys := keys_of(text):
+            yield np.unique(_hashes(keys))
 
 
-def _build(segments: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buffers of hashes, as sorted residuals by segment: those seen, and those of them seen in two documents of the buffer."""
-
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        seg = ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.int32)
-        order = np.argsort(seg, kind="stable")
-        h, n, seg = h[order], n[order], seg[order]
-        cuts = np.flatnonzero(np.diff(seg)) + 1
-        low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-        return pa.RecordBatch.from_arrays([pa.array([s[0] for s in np.split(seg, cuts)], pa.int32()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary()), pa.array([x[c > 1].tobytes() for x, c in zip(np.split(low, cuts), np.split(n, cuts))], pa.binary())], ["segment", "seen", "again"])
-
-    parts, held = [], 0
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            if keys := keys_of(text):
-                parts.append(np.unique(_hashes(keys)))
-                held += len(parts[-1])
-        if held >= BUFFER:
-            yield flush(parts)
-            parts, held = [], 0
-    if parts:
-        yield flush(parts)
-
-
-def _merge(key, group):
-    """Insert the buffers of one segment in turn: once-seen, then twice-seen."""
-    once, twice = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-    for seen, again in zip(group["seen"], group["again"]):
-        p = _places(np.frombuffer(seen, "<u4"))
-        twice[p[once[p].all(axis=1)].ravel()] = True
-        once[p.ravel()] = True
-        twice[_places(np.frombuffer(again, "<u4")).ravel()] = True
-    return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(twice).tobytes()]})
-
-
-def in_filter(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Whether all places of each row are set in packed bits."""
-    return ((bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=-1)
-
+def _digest(key: str) -> bytes:
+    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-def _suspects(filters, segments: int):
-    table = {s: np.frombuffer(b, np.uint8) for s, b in filters.value.items()}
 
+def _suspects(filters):
     def fn(ids, texts):
-        out_id, out_key = [], []
-        for doc, text in zip(ids, texts):
-            keys = keys_of(text)
-            if not keys:
-                continue
-            h = _hashes(keys)
-            seg = ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-            places = _places(h & np.uint64(0xFFFFFFFF))
-            for k, s, p in zip(keys, seg.tolist(), places):
-                if (t := table.get(s)) is not None and in_filter(t, p):
-                    out_id.append(doc)
-                    out_key.append(k)
-        return out_id, [_digest(k) for k in out_key], out_key
+        rows = [(doc, k) for doc, text in zip(ids, texts) for k in keys_of(text)]
+        rows = [r for r, may in zip(rows, bloom.seen_twice(filters.value, _hashes([k for _, k in rows])).tolist()) if may]
+        return [d for d, _ in rows], [_digest(k) for _, k in rows], [k for _, k in rows]
 
     return fn
 
 
-def _digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-def _all_keys():
+def _all_keys(segments: int):
     def fn(ids, texts):
         rows = [(doc, k) for doc, text in zip(ids, texts) for k in keys_of(text)]
-        h = _hashes([k for _, k in rows]).astype(np.int64)
-        return [d for d, _ in rows], h.tolist(), [_digest(k) for _, k in rows], [k for _, k in rows]
+        segment, low = bloom.parts(_hashes([k for _, k in rows]), segments)
+        return [d for d, _ in rows], [_digest(k) for _, k in rows], [k for _, k in rows], pa.array(segment), pa.array(low.view(np.int32))
 
     return fn
 
 
-def suspected_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def suspected_lines(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES) -> DataFrame:
     """(doc_id, digest, key) of every line key that may be in two documents; none that is goes missing."""
-    spark = docs.sparkSession
     known = docs.where(F.col("doc_id").isNotNull())
     lines = known.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    segments = max(1, -(-lines * BITS // SEGMENT_BITS))
-    if segments * SEGMENT_BITS // 8 <= broadcast_bytes:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ROWS_PER_BATCH, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
-        built = known.select("text").mapInArrow(functools.partial(_build, segments), "segment int, seen binary, again binary")
-        merged = built.groupBy("segment").applyInPandas(_merge, "segment int, bits binary").collect()  # at most broadcast_bytes
-        filters = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in merged})
-        return map_columns(known, ["doc_id", "text"], functools.partial(_suspects, filters, segments), "doc_id long, digest binary, key string")
-    rows = map_columns(known, ["doc_id", "text"], _all_keys, "doc_id long, h long, digest binary, key string")
-    again = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    return rows.join(again, "h", "left_semi").drop("h")
+    segments = bloom.segments_for(lines)
+    bound_batches(docs.sparkSession)
+    filters = bloom.twice_seen(known.select("text"), _line_hashes, segments)
+    if bloom.filter_bytes(segments) <= broadcast_bytes:
+        return map_columns(known, ["doc_id", "text"], functools.partial(_suspects, bloom.broadcast(filters, segments)), "doc_id long, digest binary, key string")
+    rows = map_columns(known, ["doc_id", "text"], functools.partial(_all_keys, segments), "doc_id long, digest binary, key string, segment int, residual int")
+    return bloom.at_segments(rows, filters)
 
 
 def _apply():
@@ -175,21 +109,22 @@ def _apply_digest():
     return fn
 
 
-def with_drops(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with the column __drops: digests of the keys whose lines this document loses (null: none)."""
+def with_drops(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
+    """docs with the column __drops: digests of the keys whose lines this document loses (null: none). Lines of more than `hot` documents are joined by broadcast."""
     suspects = materialize(suspected_lines(docs, broadcast_bytes), "suspected-lines")
     kept = (
-        suspects.groupBy("key").agg(F.min("doc_id").alias("__least"), F.max("doc_id").alias("__most"), F.min("digest").alias("digest"))
-        .where("__least < __most").select("digest", "__least")
+        suspects.groupBy("key").agg(F.min("doc_id").alias("__least"), F.max("doc_id").alias("__most"), F.min("digest").alias("digest"), F.count("*").alias("__n"))
+        .where("__least < __most").select("digest", "__least", "__n")
     )
+    kept = materialize(kept, "repeated-lines")
     drops = (
-        suspects.select("doc_id", "digest").join(kept, "digest").where(F.col("doc_id") != F.col("__least"))
+        join_hot(suspects.select("doc_id", "digest"), kept.drop("__n"), ["digest"], kept.where(F.col("__n") > hot)).where(F.col("doc_id") != F.col("__least"))
         .groupBy("doc_id").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("doc_id", "__doc")
     )
     return docs.join(drops, docs["doc_id"] == drops["__doc"], "left").drop("__doc")
 
 
-def dedup_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept for each row of docs.
 
     A null or empty text is one empty line. Rows that repeat a doc_id count as

@@ -16,10 +16,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborflow.llm.common import map_columns, materialize
+from arborflow.llm.common import HOT, join_hot, map_columns, materialize
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -28,7 +28,7 @@ COORDINATES = BANDS * ROWS
 DARTS = math.log(COORDINATES) + 4
 #: Cells handled at once; bounds memory.
 CELLS = 1 << 20
-#: Members of a bucket that one task compares with its queries, and the size up to which ids are broadcast.
+#: Members of a bucket, and queries, that one task compares, and the size up to which ids are broadcast.
 BLOCK, BROADCAST_BYTES = 1024, 64 << 20
 
 _U = np.uint64
@@ -144,22 +144,22 @@ def _band_rows():
 def _element_rows():
     def fn(ids, texts):
         doc, element = elements(texts)
-        low = (element & _U(0xFFFFFFFF)).astype("<u4")
         cuts = np.searchsorted(doc, np.arange(1, len(texts)))
-        return ids, [np.sort(x).tobytes() for x in np.split(low, cuts)]
+        sets = [np.sort(x) for x in np.split(element.astype("<u8"), cuts)]
+        return ids, [len(x) for x in sets], [x.tobytes() for x in sets]
 
     return fn
 
 
 def _similar(least: float):
     def fn(a, b, xs, ys):
-        return a, b, [_jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in zip(xs, ys)]
+        return a, b, [_jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least for x, y in zip(xs, ys)]
 
     return fn
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sets of numbered copies."""
+    """Weighted Jaccard similarity of two sorted sets of numbered copies, each copy once in a set."""
     if len(x) + len(y) == 0:
         return 1.0
     z = np.sort(np.concatenate([x, y]), kind="stable")
@@ -171,12 +171,12 @@ def _cross_links(least: float, key, queries: pd.DataFrame, items: pd.DataFrame)
     """Links from each query to one member of each other component among the items that is at least that similar."""
     out = []
     if len(queries) and len(items):
-        sets = [np.frombuffer(x, "<u4") for x in items["elements"]]
+        sets = [np.frombuffer(x, "<u8") for x in items["elements"]]
         sizes = np.array([len(s) for s in sets])
         words, place = np.unique(np.concatenate(sets), return_inverse=True)
         starts, ids, of = np.concatenate([[0], np.cumsum(sizes)[:-1]]), items["id"].to_numpy(), items["component"].to_numpy()
         for q, c, x in zip(queries["id"], queries["component"], queries["elements"]):
-            x = np.frombuffer(x, "<u4")
+            x = np.frombuffer(x, "<u8")
             at = np.minimum(np.searchsorted(words, x), len(words) - 1)
             mark = np.bincount(at[words[at] == x], minlength=len(words)) > 0
             common = np.add.reduceat(mark[place].astype(np.int64), starts)
@@ -189,14 +189,20 @@ def _cross_links(least: float, key, queries: pd.DataFrame, items: pd.DataFrame)
     return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
 
 
-def verified_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def size_class(size: Column, similarity: float) -> Column:
+    """Sets at least that similar are of the same class of size or of neighbouring ones."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / -math.log(similarity) + 1e-9).cast("int")
+
+
+def verified_links(docs: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(texts, links): texts has doc_id, __digest, __class (least id of the equal texts); links (a, b) joins classes at least that similar.
 
     First, within each band's bucket every class is compared with the least one.
     Buckets whose members are by then one component are done. In the others, the
     members outside the most frequent component are the queries, compared with
-    all members in blocks; they leave one link to each component they belong to.
-    So no link between components is missed, and no list of pairs is made.
+    all members whose size allows the similarity; a task gets BLOCK queries and
+    BLOCK members or so. They leave one link to each component they belong to,
+    so no link between components is missed, and no list of pairs is made.
     """
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("__digest")
     keyed = materialize(map_columns(docs, ["doc_id", digest, "text"], _band_rows, "doc_id long, __digest binary, keys array<long>"), "signatures")
@@ -207,30 +213,38 @@ def verified_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     active = materialize(rows.join(heads, "key"), "buckets")
     some = active.select(F.col("id").alias("doc_id")).distinct()
     side = F.broadcast(some) if some.count() * 16 <= BROADCAST_BYTES else some
-    sets = materialize(map_columns(docs.join(side, "doc_id", "left_semi"), ["doc_id", "text"], _element_rows, "id long, elements binary").dropDuplicates(["id"]), "shingles")
+    sets = materialize(map_columns(docs.join(side, "doc_id", "left_semi"), ["doc_id", "text"], _element_rows, "id long, size long, elements binary").dropDuplicates(["id"]), "shingles")
     pairs = active.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "elements": "y"}), "b")
+    plain = sets.drop("size")
+    stars = materialize(pairs.groupBy("a").count().where(F.col("count") > hot), "stars")
+    both = join_hot(pairs, plain.withColumnsRenamed({"id": "a", "elements": "x"}), ["a"], stars).join(plain.withColumnsRenamed({"id": "b", "elements": "y"}), "b")
     tested = materialize(map_columns(both, ["a", "b", "x", "y"], functools.partial(_similar, similarity), "a long, b long, near boolean"), "tested")
     links = tested.where("near").select("a", "b")
     known = active.join(components(links).withColumnRenamed("component", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("component"))
     shares = known.groupBy("key", "component").count()
-    per = shares.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n"), F.sum("count").alias("size")).where("n > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = materialize(known.join(per.select("key", "main", blocks.alias("blocks")), "key"), "undecided")
-    full = left.join(sets, "id")
-    items = full.select(*[F.col(c).alias(c) for c in full.columns]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    queries = full.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cross = queries.groupBy("key", "block").cogroup(items.groupBy("key", "block")).applyInPandas(functools.partial(_cross_links, similarity), "a long, b long")
+    per = shares.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1")
+    full = materialize(known.join(per.select("key", "main"), "key").join(sets.drop("elements"), "id").withColumn("class", size_class(F.col("size"), similarity)), "undecided")
+    count = lambda df, name: df.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    ask = full.where("component <> main").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    parts = materialize(count(full, "blocks").join(count(ask, "asks"), ["key", "class"]), "blocks")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    items = full.join(parts, ["key", "class"]).withColumn("block", block("blocks")).withColumn("ask", every("asks")).join(sets.drop("size"), "id")
+    queries = ask.join(parts, ["key", "class"]).withColumn("ask", block("asks")).withColumn("block", every("blocks")).join(sets.drop("size"), "id")
+    items = items.select(*[F.col(c).alias(c) for c in items.columns])  # columns of its own, as a cogroup asks
+    cell = ["key", "class", "block", "ask"]
+    cross = queries.groupBy(*cell).cogroup(items.groupBy(*cell)).applyInPandas(functools.partial(_cross_links, similarity), "a long, b long")
     more = materialize(cross.distinct(), "cross-links")
     return keyed.select("doc_id", "__digest").join(reps, "__digest", "left"), links.unionByName(more)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over links; ids without links are not in it."""
+def components(links: DataFrame, hot: int = HOT) -> DataFrame:
+    """(id, component): the least id reachable over links; ids without links are not in it. Ids with more than `hot` links are joined by broadcast."""
     both = materialize(links.union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
+    centres = materialize(both.groupBy("v").count().where(F.col("count") > hot), "centres")
     state = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")), "labels")
     while True:
-        heard = both.join(state.withColumnsRenamed({"u": "v", "c": "near"}), "v").groupBy("u").agg(F.min("near").alias("near"))
+        heard = join_hot(both, state.withColumnsRenamed({"u": "v", "c": "near"}), ["v"], centres).groupBy("u").agg(F.min("near").alias("near"))
         nxt = state.join(heard, "u").select("u", F.least("c", "near").alias("c"), F.col("c").alias("was"))
         root = state.select(F.col("u").alias("c"), F.col("c").alias("up"))
         jumped = nxt.join(root, "c", "left").select("u", F.least("c", F.coalesce("up", "c")).alias("c"), "was")

@@ -108,14 +108,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `rows` pairs of numbers
 
 
+def one_of_each(rows: DataFrame) -> list[tuple[list[float], int]]:
+    """Sorted (x, y) of rows (id, y, x), one for each id, so that repeated ids in documents can't add to what is collected."""
+    return sorted((r.r.x, r.r.y) for r in rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).collect())
+
+
 def _statistics():
-    return lambda label, texts: (label, [statistics(t) for t in texts])
+    return lambda ids, label, texts: (ids, label, [statistics(t) for t in texts])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> BradleyTerry | None:
     """Model from labels.quality; rows with crc32(doc_id) mod 5 = 0 are held out."""
-    got = map_columns(labelled_sample(docs, labels, "quality", rows, 5, 0), ["__label", "text"], _statistics, "y int, x array<double>").collect()
-    order = sorted((r.x, r.y) for r in got)  # the order of rows must not matter
+    order = one_of_each(map_columns(labelled_sample(docs, labels, "quality", rows, 5, 0), ["doc_id", "__label", "text"], _statistics, "id long, y int, x array<double>"))
     if not order:
         return None
     return fit(np.array([x for x, _ in order]), np.array([y for _, y in order]))

@@ -2,13 +2,15 @@
 
 Every string of LENGTH bytes holds an anchor: the place of the least 16-byte
 hash among its first REACH + 1 places. Equal strings have equal anchors, so only
-suffixes at anchors need order. Two Bloom filters drop anchors whose next
-CORE bytes (which all strings with this anchor share) are nowhere else. Anchors
-whose whole surroundings (REACH bytes before, LENGTH after) repeat are covered
-outright. The others, one for each different surrounding, are sorted: multikey
-quicksort over eight-byte words down to SHALLOW bytes, then a blind trie for
-each group that is still equal. Common prefixes of neighbours, and hashes of
-the bytes before the anchor, tell which strings around it repeat.
+suffixes at anchors need order. Two Bloom filters (see bloom) drop anchors whose
+next CORE bytes (which all strings with this anchor share) are nowhere else.
+Anchors whose whole surroundings (REACH bytes before, LENGTH after) repeat are
+covered outright. The others, one for each different surrounding, are sorted:
+multikey quicksort over eight-byte words down to SHALLOW bytes, then a blind
+trie for each group that is still equal. Common prefixes of neighbours, and
+hashes of the bytes before the anchor, tell which strings around it repeat. A
+core with more than SORT_ROWS places would be too much for one sort; the strings
+around its anchors are counted by hash, for each offset, with a shuffle.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborflow.llm import linededup as bloom
-from arborflow.llm.common import map_columns, materialize
+from arborflow.llm import bloom
+from arborflow.llm.common import HOT, bound_batches, join_hot, map_columns, materialize
 from arborflow.llm.minhash import _B, _B_INV, _powers, mix
 
 LENGTH, GRAM, REACH = 400, 16, 127
 CORE = LENGTH - REACH
 SHALLOW = 24
-#: Bytes of surroundings that one sorting task should hold, and of a table that may be broadcast.
-SORT_BYTES, BROADCAST_BYTES = 24 << 20, 64 << 20
+#: Bytes of surroundings that one sorting task should hold, places of a core that are sorted, and bytes of a table that may be broadcast.
+SORT_BYTES, SORT_ROWS, BROADCAST_BYTES = 24 << 20, 4096, 64 << 20
+#: Bytes of texts hashed at once.
+CHUNK = 1 << 22
 _U = np.uint64
 
 
@@ -70,88 +74,113 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash of the core, hash of the surroundings) of a text's anchors."""
-    n = len(data)
-    if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
-    sums = _sums(data)
-    places = np.arange(n - LENGTH + 1 + REACH)
-    grams = _hash(sums, places, places + GRAM)
-    least = _window_min((grams & _U(0xFFFFFFFF00000000)) | places.astype(_U), REACH + 1)
-    at = np.unique(least & _U(0xFFFFFFFF)).astype(np.int64)
-    lo, hi = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, n)
-    return at, _hash(sums, at, at + CORE), mix(_hash(sums, lo, hi) + (at - lo).astype(_U))
+def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in it, hash of the core, hash of the surroundings) of the texts' anchors, in order."""
+    size = np.array([len(t) for t in texts], np.int64)
+    long = np.flatnonzero(size >= LENGTH)
+    if not len(long):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
+    size = size[long]
+    stop = np.cumsum(size)
+    start, n = stop - size, size - LENGTH + 1
+    sums = _sums(np.concatenate([texts[i] for i in long]))
+    places = np.arange(stop[-1] - GRAM + 1)
+    least = _window_min((_hash(sums, places, places + GRAM) & _U(0xFFFFFFFF00000000)) | places.astype(_U), REACH + 1)
+    windows = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)  # within one text each; their minima don't go back
+    at = (least[windows] & _U(0xFFFFFFFF)).astype(np.int64)
+    at = at[np.concatenate([[True], np.diff(at) != 0])]
+    of = np.searchsorted(stop, at, side="right")
+    lo, hi = np.maximum(at - REACH, start[of]), np.minimum(at + LENGTH, stop[of])
+    return long[of], at - start[of], _hash(sums, at, at + CORE), mix(_hash(sums, lo, hi) + (at - lo).astype(_U))
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _buffers(segments: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Core hashes in the form that the line filters take; a text may hold a core twice."""
-    parts, held = [], 0
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number of the first, texts as bytes), about CHUNK bytes at a time."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(_bytes(text))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
 
-    def flush():
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        seg = ((h >> _U(32)) % _U(segments)).astype(np.int32)
-        order = np.argsort(seg, kind="stable")
-        h, n, seg = h[order], n[order], seg[order]
-        cuts, low = np.flatnonzero(np.diff(seg)) + 1, (h & _U(0xFFFFFFFF)).astype("<u4")
-        return pa.RecordBatch.from_arrays([pa.array([s[0] for s in np.split(seg, cuts)], pa.int32()), pa.array([x.tobytes() for x in np.split(low, cuts)], pa.binary()), pa.array([x[c > 1].tobytes() for x, c in zip(np.split(low, cuts), np.split(n, cuts))], pa.binary())], ["segment", "seen", "again"])
 
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            _, core, _ = anchors(_bytes(text))
-            if len(core):
-                parts.append(core)
-                held += len(core)
-            if held >= bloom.BUFFER:
-                yield flush()
-                parts, held = [], 0
-    if parts:
-        yield flush()
+def _core_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    for _, some in _chunks(texts):
+        yield anchors(some)[2]
 
 
 def _suspects(filters, segments: int):
-    table = {s: np.frombuffer(b, np.uint8) for s, b in filters.value.items()} if filters else None
+    """Rows of equal core and surroundings in one text; without filters all of them, with the core's segment and residual."""
 
     def fn(rids, texts):
+        rids, found = np.array(rids, np.int64), []
+        for first, some in _chunks(texts):
+            of, at, core, around = anchors(some)
+            if filters is not None and len(at):
+                keep = bloom.seen_twice(filters.value, core)
+                of, at, core, around = of[keep], at[keep], core[keep], around[keep]
+            after = np.minimum(LENGTH, np.array([len(t) for t in some], np.int64)[of] - at)
+            order = np.lexsort((at, around, core, of))
+            found.append([x[order] for x in (of + first, at, core, around, after)])
+        of, at, core, around, after = (np.concatenate(x) for x in zip(*found))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(core) != 0) | (np.diff(around) != 0)])[: len(at)])
+        places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)), pa.int32()), pa.array(at))
+        out = pa.array(rids[of[new]]), pa.array(core[new].view(np.int64)), pa.array(around[new].view(np.int64)), places, pa.array(after[new])
+        if filters is not None:
+            return out
+        segment, low = bloom.parts(core[new], segments)
+        return *out, pa.array(segment), pa.array(low.view(np.int32))
+
+    return fn
+
+
+def _wanted_places(texts, wanted):
+    """(bytes, places, whether each surrounding occurs more than once) of each text."""
+    for text, codes in zip(texts, wanted):
+        codes = np.sort(np.array(codes, np.int64))
+        yield _bytes(text), codes >> 1, codes & 1
+
+
+def _surroundings():
+    def fn(texts, wanted):
         out = [[], [], [], [], []]
-        for rid, text in zip(rids, texts):
-            data = _bytes(text)
-            at, core, around = anchors(data)
-            if table is not None and len(at):
-                seg = ((core >> _U(32)) % _U(segments)).astype(np.int64)
-                places = bloom._places(core & _U(0xFFFFFFFF))
-                keep = np.zeros(len(at), bool)
-                for s in np.unique(seg):
-                    if s in table:
-                        keep[seg == s] = bloom.in_filter(table[s], places[seg == s])
-                at, core, around = at[keep], core[keep], around[keep]
-            if not len(at):
-                continue
-            order = np.lexsort((at, around, core))
-            at, core, around = at[order], core[order], around[order]
-            cuts = np.flatnonzero((np.diff(core) != 0) | (np.diff(around) != 0)) + 1
-            first = np.concatenate([[0], cuts])
-            rows = [rid] * len(first), core[first].view(np.int64).tolist(), around[first].view(np.int64).tolist(), [p.tolist() for p in np.split(at, cuts)], np.minimum(LENGTH, len(data) - at[first]).tolist()
-            for col, v in zip(out, rows):
+        for data, at, many in _wanted_places(texts, wanted):
+            sums, raw = _sums(data), data.tobytes()
+            lo, hi = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, len(data))
+            around = mix(_hash(sums, lo, hi) + (at - lo).astype(_U))
+            columns = _hash(sums, at, at + CORE).view(np.int64), around.view(np.int64), many.astype(bool), at - lo
+            for col, v in zip(out, (*(c.tolist() for c in columns), [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())])):
                 col.extend(v)
         return out
 
     return fn
 
 
-def _surroundings():
+def _strings_around():
+    """For each wanted place: core, surroundings, whether those occur more than once, and the offsets and hashes of the strings around it."""
+
     def fn(texts, wanted):
         out = [[], [], [], [], []]
-        for text, rows in zip(texts, wanted):
-            raw = _bytes(text).tobytes()
-            for r in rows:
-                lo = max(0, r["at"] - REACH)
-                for col, v in zip(out, (r["core"], r["around"], r["many"], r["at"] - lo, raw[lo : r["at"] + LENGTH])):
-                    col.append(v)
+        back = np.arange(REACH + 1)
+        for data, at, many in _wanted_places(texts, wanted):
+            sums = _sums(data)
+            lo, hi = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, len(data))
+            around = mix(_hash(sums, lo, hi) + (at - lo).astype(_U))
+            start = at[:, None] - back
+            ok = (start >= 0) & (start + LENGTH <= len(data))
+            h = np.zeros(start.shape, _U)
+            h[ok] = _hash(sums, start[ok], start[ok] + LENGTH)
+            columns = _hash(sums, at, at + CORE).view(np.int64), around.view(np.int64), many.astype(bool)
+            rows = *(c.tolist() for c in columns), [back[k].tolist() for k in ok], [x[k].view(np.int64).tolist() for x, k in zip(h, ok)]
+            for col, v in zip(out, rows):
+                col.extend(v)
         return out
 
     return fn
@@ -289,6 +318,14 @@ def _sort_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"core": f["core"].astype("int64"), "around": f["around"].astype("int64"), "lo": lo, "hi": hi})[hi > 0]
 
 
+def _counted(strings: DataFrame, hot: int) -> DataFrame:
+    """(core, around, lo, hi) for rows (core, around, many, back, h): bytes before and after the anchor that strings cover which another row has too, or the row's own repetition."""
+    each = materialize(strings.select("core", "around", "many", F.inline(F.arrays_zip("back", "h"))), "strings")
+    repeated = materialize(each.groupBy("core", "back", "h").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 or any").drop("any"), "repeated-strings")
+    hits = join_hot(each, repeated.drop("n"), ["core", "back", "h"], repeated.where(F.col("n") > hot))
+    return hits.groupBy("core", "around").agg(F.max("back").cast("long").alias("lo"), (LENGTH - F.min("back")).cast("long").alias("hi"))
+
+
 # removal
 
 
@@ -332,33 +369,44 @@ def _row_id() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__rid")
 
 
-def repeated_cover(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _texts_with(texts: DataFrame, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(text, wanted) of the texts in which something is wanted, each once where rows repeat; wanted: __rid, codes."""
+    packed = materialize(wanted.groupBy(F.col("__rid").alias("__want")).agg(F.collect_list("code").alias("wanted")), "wanted")
+    size = packed.select(F.sum(8 * F.size("wanted") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return texts.join(F.broadcast(packed), texts["__rid"] == packed["__want"])
+    return texts.join(packed, texts["__rid"] == packed["__want"]).dropDuplicates(["__rid"])
+
+
+def repeated_cover(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, sort_rows: int = SORT_ROWS, hot: int = HOT) -> DataFrame:
     """(__rid, __cover array<struct<lo,hi>>): bytes of each row of docs that repeated strings cover."""
     spark = docs.sparkSession
     texts = docs.where(F.octet_length("text") >= LENGTH).select(_row_id(), "text")
     size = texts.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    segments = max(1, -(-(size * 2 // (REACH + 2)) * bloom.BITS // bloom.SEGMENT_BITS))
-    filters = None
-    if segments * bloom.SEGMENT_BITS // 8 <= broadcast_bytes:
-        built = texts.select("text").mapInArrow(functools.partial(_buffers, segments), "segment int, seen binary, again binary")
-        filters = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in built.groupBy("segment").applyInPandas(bloom._merge, "segment int, bits binary").collect()})  # at most broadcast_bytes
-    found = map_columns(texts, ["__rid", "text"], functools.partial(_suspects, filters, segments), "__rid long, core long, around long, places array<long>, after long")
+    segments = bloom.segments_for(size * 2 // (REACH + 2))
+    bound_batches(spark)
+    filters = bloom.twice_seen(texts.select("text"), _core_hashes, segments)
+    schema = "__rid long, core long, around long, places array<long>, after long"
+    if bloom.filter_bytes(segments) <= broadcast_bytes:
+        found = map_columns(texts, ["__rid", "text"], functools.partial(_suspects, bloom.broadcast(filters, segments), segments), schema)
+    else:
+        found = bloom.at_segments(map_columns(texts, ["__rid", "text"], functools.partial(_suspects, None, segments), schema + ", segment int, residual int"), filters)
     found = materialize(found, "anchors")  # places of equal surroundings in one text share a row
-    cores = found.groupBy("core").agg(F.sum(F.size("places")).alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").select("core", "mixed")
-    found = materialize(found.join(cores, "core"), "repeats")
+    cores = found.groupBy("core").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("rows"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").select("core", "mixed", "rows")
+    cores = materialize(cores, "cores")
+    found = materialize(join_hot(found, cores, ["core"], cores.where(F.col("rows") > hot)), "repeats")
     whole = found.where("not mixed").select("__rid", "after", F.explode("places").alias("at")).select("__rid", F.greatest(F.col("at") - REACH, F.lit(0)).alias("lo"), (F.col("at") + F.col("after")).alias("hi"))
-    mixed = found.where("mixed")
-    one = mixed.groupBy("core", "around").agg(F.min(F.struct("__rid", F.col("places")[0].alias("at"))).alias("one"), (F.sum(F.size("places")) > 1).alias("many"))
-    wanted = one.groupBy(F.col("one.__rid").alias("__want")).agg(F.collect_list(F.struct("core", "around", "many", F.col("one.at").alias("at"))).alias("wanted"))
-    wanted = materialize(wanted, "wanted")
-    n = wanted.select(F.sum(F.size("wanted"))).first()[0] or 0
-    side = F.broadcast(wanted) if n * 40 <= broadcast_bytes else wanted
-    once = texts.join(side, texts["__rid"] == side["__want"]).dropDuplicates(["__rid"]) if n * 40 > broadcast_bytes else texts.join(side, texts["__rid"] == side["__want"])
-    contexts = map_columns(once, ["text", "wanted"], _surroundings, "core long, around long, many boolean, before int, context binary")
-    parts = max(1, -(-n * (REACH + LENGTH) // SORT_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = contexts.repartition(parts, "core").mapInPandas(_sort_partition, "core long, around long, lo long, hi long")
-    ranges = part.groupBy("core", "around").agg(F.max("lo").alias("l"), F.max("hi").alias("h"))
-    partly = mixed.join(ranges, ["core", "around"]).select("__rid", F.explode("places").alias("at"), "l", "h").select("__rid", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("h")).alias("hi"))
+    mixed = found.where("mixed").drop("mixed", "after")
+    one = mixed.groupBy("core", "around").agg(F.min(F.struct("__rid", F.col("places")[0].alias("at"))).alias("one"), F.sum(F.size("places")).alias("n"), F.count("*").alias("same"), F.first("rows").alias("rows"))
+    one = materialize(one.select("core", "around", "one.__rid", (2 * F.col("one.at") + (F.col("n") > 1).cast("int")).alias("code"), "n", "same", "rows"), "surroundings")
+    small, large = one.where(F.col("rows") <= sort_rows), one.where(F.col("rows") > sort_rows)
+    contexts = map_columns(_texts_with(texts, small, broadcast_bytes), ["text", "wanted"], _surroundings, "core long, around long, many boolean, before int, context binary")
+    tasks = max(1, -(-small.count() * (REACH + LENGTH) // SORT_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = contexts.repartition(tasks, "core").mapInPandas(_sort_partition, "core long, around long, lo long, hi long")
+    if not large.isEmpty():
+        ranges = ranges.unionByName(_counted(map_columns(_texts_with(texts, large, broadcast_bytes), ["text", "wanted"], _strings_around, "core long, around long, many boolean, back array<int>, h array<long>"), hot))
+    ranges = ranges.groupBy("core", "around").agg(F.max("lo").alias("l"), F.max("hi").alias("h"))
+    partly = join_hot(mixed, ranges, ["core", "around"], one.where(F.col("same") > hot)).select("__rid", F.explode("places").alias("at"), "l", "h").select("__rid", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("h")).alias("hi"))
     return whole.unionByName(partly).distinct().groupBy("__rid").agg(F.collect_list(F.struct("lo", "hi")).alias("__cover"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborflow.llm.common import crc_mod, map_columns
-from arborflow.llm.quality import labelled_sample
+from arborflow.llm.quality import labelled_sample, one_of_each
 
 #: Labelled rows used for fitting at most, those of least hash.
 FIT_ROWS = 30_000
@@ -35,6 +35,8 @@ WINDOW = 8
 THRESHOLD = 0.7
 WORD = re.compile(r"[\w@$*]+")
 QUOTES = frozenset("\"“”„«»‘’‹›")
+#: Quotations: what stands in them is reported speech and teaches no terms.
+QUOTED = re.compile(r"[\"“”„«»][^\"“”„«»\n]{1,200}[\"“”„«»]")
 MEMORY = 300_000
 #: Trie nodes that an automaton's states may hold.
 NODES = 500_000
@@ -212,10 +214,10 @@ class ToxicityModel:
 
 
 def _terms(ids, texts):
-    """Distinct words, and stems marked by a trailing blank."""
+    """Distinct words outside quotations, and stems marked by a trailing blank."""
     out = []
     for t in texts:
-        words = {w for w in WORD.findall((t or "").lower()) if 3 <= len(w) <= 30}
+        words = {w for w in WORD.findall(QUOTED.sub(" ", (t or "").lower())) if 3 <= len(w) <= 30}
         out.append([*words, *{w[:k] + " " for w in words for k in STEMS if len(w) >= k}])
     return ids, out
 
@@ -241,7 +243,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def _features(lexicon: Lexicon):
-    return lambda label, texts: (label, [context(t, lexicon) for t in texts])
+    return lambda ids, label, texts: (ids, label, [context(t, lexicon) for t in texts])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel | None:
@@ -251,7 +253,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> To
     """
     sample = labelled_sample(docs, labels, "toxic", rows, 3, 1).withColumn("__third", F.pmod(F.xxhash64(F.col("text"), F.lit(3)), F.lit(3)) == 0)
     lexicon = learn_lexicon(sample.where(~F.col("__third")))
-    got = sorted((r.x, r.y) for r in map_columns(sample.where("__third"), ["__label", "text"], functools.partial(_features, lexicon), "y int, x array<double>").collect())
+    got = one_of_each(map_columns(sample.where("__third"), ["doc_id", "__label", "text"], functools.partial(_features, lexicon), "id long, y int, x array<double>"))
     y = np.array([r[1] for r in got], float)
     if not len(y) or y.min() == y.max():
         return None

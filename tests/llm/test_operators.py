@@ -1,15 +1,19 @@
 """Each operator against a brute-force version, and on nulls, empty and repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import io
+import os
 import random
+import wave
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from arborflow.llm import ann, bpe, langid, linededup, media, minhash, mixing, quality, suffix, toxicity
+from arborflow.llm import ann, bloom, bpe, langid, linededup, media, minhash, mixing, quality, suffix, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,6 +59,38 @@ def test_media_blocks_do_not_change_peaks(monkeypatch):
     assert len(whole[0]) > 100 and all((a == b).all() for a, b in zip(whole, cut))
 
 
+def test_media_digest_against_brute_force(spark):
+    """Stored form, hashes and fingerprint worked out anew: frames one by one, peaks and pairs by plain loops."""
+    texts = ["hello media columns " * 90, "Zürich " * 300, None]
+    got = {r.doc_id: r for r in media.media_digest(frame(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, len(payload), "NONE", ""))
+            w.writeframes(payload)
+        x = np.frombuffer(payload, np.uint8).astype(np.float32)
+        mags = []
+        for a in range(0, len(x) - 575, 288):
+            f = x[a : a + 576]
+            mags.append(np.abs(np.fft.rfft((f - f.mean()) * np.hanning(576).astype(np.float32))).astype(np.float32))
+        found = []
+        for t, m in enumerate(mags):
+            for b in range(1, len(m) - 1):
+                before, after = (mags[t - 1][b] if t else -1.0), (mags[t + 1][b] if t + 1 < len(mags) else -1.0)
+                if m[b] > m[b - 1] and m[b] > m[b + 1] and m[b] >= before and m[b] > after and m[b] > 2.5 * m.mean():
+                    found.append((t, b))
+        pairs = sorted((t, (f << 20) | (g << 10) | (u - t)) for k in (1, 2, 3) for (t, f), (u, g) in zip(found, found[k:]) if u - t <= 60)
+        r = got[i]
+        assert r.media_sha256 == hashlib.sha256(out.getvalue()).hexdigest() and r.media_bytes == len(out.getvalue())
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.feature == f"{len(pairs)}:" + hashlib.sha256(np.array(pairs, "<i8").reshape(-1, 2).T.copy().tobytes()).hexdigest()
+    assert media.media_digest(frame(spark, [])).count() == 0
+    one = frame(spark, ["x"]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert media.media_digest(one).first().n_bytes == 1 and media.media_digest(one).first().doc_id is None
+
+
 # BPE
 
 
@@ -97,7 +133,7 @@ def dedup_brute(texts):
     return out
 
 
-@pytest.mark.parametrize("limit", [linededup.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [bloom.BROADCAST_BYTES, 0])
 def test_line_dedup(spark, limit):
     rng = random.Random(2)
     pool = [f"Line number {i} of the POOL É" for i in range(30)] + ["short", "", "  \t", "Éa line with accents É"]
@@ -106,6 +142,33 @@ def test_line_dedup(spark, limit):
     assert got == dedup_brute(texts)
 
 
+def test_hot_lines_and_segments(spark, monkeypatch):
+    """With every key hot, filters at their segments in several tasks, and a very long text, results stay the same."""
+    rng = random.Random(31)
+    texts = ["\n".join(["the one very common line", *(f"own line number {i} {rng.random()}" for _ in range(3))]) for i in range(80)]
+    texts.append("\n".join(f"line {k % 700} of a very long text" for k in range(40_000)))
+    texts.append("line 5 of a very long text\nThe one very COMMON line ")
+    want = dedup_brute(texts)
+    monkeypatch.setattr(bloom, "HOT", 2)
+    at_segments = bloom.at_segments
+    used = []
+    monkeypatch.setattr(bloom, "at_segments", lambda rows, filters: used.append(1) or at_segments(rows, filters, 2))
+    out = linededup.with_drops(frame(spark, texts), broadcast_bytes=0, hot=1)
+    got = {r.doc_id: len(r["__drops"] or ()) for r in out.collect()}
+    assert used and got == {i: len({linededup.key_of(x) for x in texts[i].split("\n")} - {linededup.key_of(x) for x in want[i][2].split("\n")}) for i in want}
+
+
+def test_twice_seen_filter_never_misses(spark):
+    texts = [f"key {i}" for i in range(3000)] + [f"key {i}" for i in range(0, 3000, 3)]
+    hashes = lambda ts: iter([np.array([xxhash.xxh64_intdigest(t) for t in ts], np.uint64)])
+    segments = 5
+    filters = bloom.twice_seen(spark.createDataFrame([(t,) for t in texts], "t string"), hashes, segments)
+    bits = bloom.broadcast(filters, segments).value
+    said = bloom.seen_twice(bits, next(hashes(texts[:3000])))
+    assert said[::3].all() and said.mean() < 0.36
+    assert filters.agg(F.sum("n")).first()[0] == len(texts)
+
+
 def test_line_dedup_repeated_ids_and_in_place(spark):
     df = frame(spark, ["one long line here\nand another one", "one long line here"])
     both = df.unionByName(df)
@@ -167,6 +230,30 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes_brute(texts).values())) and kept.columns == frame(spark, []).columns
 
 
+def test_near_duplicates_of_templates_and_hot_ids(spark, monkeypatch):
+    """A bucket of texts that are alike but seldom near, in many small blocks, and with every id hot."""
+    rng = random.Random(41)
+    base = prose(rng, 120).split()
+    texts = []
+    for i in range(60):
+        w = list(base) if i % 5 else list(base)[:100]
+        for k in rng.sample(range(len(w)), i % 7):
+            w[k] = f"e{i % 9}x{k}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    texts, links = minhash.verified_links(frame(spark, raw := texts), hot=1)
+    label = {r.id: r.component for r in minhash.components(links, hot=1).collect()}
+    cls = {r.doc_id: r["__class"] for r in texts.collect()}
+    got = {i: label.get(cls[i], cls[i]) for i in cls}
+    assert {i: min(j for j in got if got[j] == got[i]) for i in got} == classes_brute(raw)
+
+
+def test_size_classes_of_similar_sets_are_neighbours(spark):
+    sizes = [(n, m) for n in range(1, 400) for m in (n, -(-n * 5 // 4), n * 5 // 4) if n >= 0.8 * m]
+    rows = spark.createDataFrame(sizes, "n long, m long").select((minhash.size_class(F.col("m"), 0.8) - minhash.size_class(F.col("n"), 0.8)).alias("d"))
+    assert {r.d for r in rows.distinct().collect()} <= {0, 1}
+
+
 def test_near_duplicates_empty_and_repeated(spark):
     df = frame(spark, ["a b c d e f g", "a b c d e f h"])
     assert minhash.near_duplicates(df.limit(0)).count() == 0
@@ -222,6 +309,29 @@ def test_repeats(spark, limit):
     assert got == covered_brute(texts, suffix.LENGTH)
 
 
+def test_hot_core_is_counted_exactly(spark):
+    """One passage in unlike surroundings: more places than one sort takes, all keys hot, and one very long text."""
+    rng = random.Random(33)
+    passage = prose(rng, 400)[:330]
+    near = [prose(rng, 40)[:60] for _ in range(6)]
+    texts = [prose(rng, 8) + rng.choice(near)[rng.randrange(50) :] + passage + rng.choice(near)[: rng.randrange(60)] + prose(rng, 8) for _ in range(50)]
+    texts += ["x" * 90 + passage + "y" * 20, "z" * 10 + passage + "y" * 80, prose(rng, 30_000, 9000) + passage + near[0], texts[3]]
+    docs = frame(spark, texts)
+    cover = {r["__rid"]: r["__cover"] for r in suffix.repeated_cover(docs, sort_rows=2, hot=1).collect()}
+    want = covered_brute(texts, suffix.LENGTH)
+    for r in docs.select("doc_id", "text", suffix._row_id()).collect():
+        runs, kept = suffix._cut(r.text.encode(), cover.get(r["__rid"]))
+        assert (len(r.text.encode()), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) == want[r.doc_id]
+
+
+def test_anchors_do_not_hang_on_neighbouring_texts():
+    rng = random.Random(34)
+    raw = [np.frombuffer(prose(rng, n).encode(), np.uint8) for n in (300, 10, 120, 900, 60)]
+    together = list(zip(*(x.tolist() for x in suffix.anchors(raw))))
+    alone = [(i, *row[1:]) for i, t in enumerate(raw) for row in zip(*(x.tolist() for x in suffix.anchors([t])))]
+    assert together == alone and len(alone) > 30
+
+
 def test_repeats_of_repeated_rows(spark):
     df = frame(spark, ["k" + prose(random.Random(8), 200), "short"])
     rows = suffix.remove_repeats(df.unionByName(df)).collect()
@@ -267,6 +377,30 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.where("vec_id in (0, 3)")).count() == 1
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_recall_on_the_given_table(spark, sf, monkeypatch):
+    path = f"/root/testdata/sf{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table here")
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    rows = sorted((r.vec_id, r.embedding) for r in ann.valid_vectors(spark.read.parquet(path)).withColumnRenamed("x", "embedding").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = {}
+    for r in ann.nearest_neighbours(spark.read.parquet(path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in got:
+        s = ann.cosines(x[ids == q][0], x)
+        hits += len(got[q] & {ids[k] for k in [k for k in np.lexsort((ids, -s)) if ids[k] != q][:5]})
+    assert set(got) == {i for i in ids if i % 50 == 0} and hits >= 0.9 * 5 * len(got)
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(6)] + [(50, [1.0, 2.0, 3.0]), (100, [2.0, 1.0])]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.query_id for r in got} == {0, 100} and all(r.vec_id != 50 for r in got)
+
+
 # mixing
 
 
@@ -371,6 +505,40 @@ def test_quality(spark):
     assert {r.score for r in quality.score_quality(df, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_statistics(text):
+    """The numbers of quality.NAMES by plain loops."""
+    words, lines, raw = text.split(), text.split("\n"), text.encode()
+    n, count = len(words), lambda keep: sum(keep(chr(b)) for b in raw)
+    up, low = count(lambda c: "A" <= c <= "Z"), count(lambda c: "a" <= c <= "z")
+    stops = text.count(",") + text.count(".")
+    return [
+        np.log(n + 1), len(text) / n, up / (up + low + 1), count(lambda c: c in "0123456789") / len(raw), (count(lambda c: c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") - stops) / len(raw), stops / n,
+        np.log(len(set(words)) + 1) / np.log(n + 2), sum(words[i] == words[i + 1] for i in range(n - 1)) / n, len(zlib.compress(raw, 1)) / (len(raw) + 20),
+        1 - len(set(lines)) / len(lines), text.count("|") / n, text.count("!") / n, max(text.count(c) for c in "#$%&*@^~") / n, np.log(len(text) / len(lines) + 1),
+        sum(len(w) > 15 for w in words) / n, (max(sum(words[i] == words[i + k] for i in range(n - k)) for k in (2, 3, 4, 5)) if n > 5 else 0) / n,
+    ]
+
+
+def test_quality_statistics_and_scores_against_plain_code(spark):
+    rng = random.Random(61)
+    texts = [prose(rng, rng.randrange(1, 80)) + rng.choice([".", "!!", " | a | b", "\n\nÉtat #1 ~~ 99%", " xx xx xx"]) for _ in range(80)] + ["WORD " * 20_000]
+    assert all(np.allclose(quality.statistics(t), plain_statistics(t)) for t in texts)
+    y = [int(i % 3 > 0) for i in range(80)]
+    df, labels = frame(spark, texts), labels_frame(spark, [(i, y[i], 0) for i in range(80)])
+    model = quality.fit_quality(df, labels)
+    train = sorted((plain_statistics(texts[i]), y[i]) for i in range(80) if zlib.crc32(str(i).encode()) % 5)
+    x, label = np.array([t[0] for t in train]), np.array([t[1] for t in train])
+    rank = lambda t: sum(w / s * v for w, s, v in zip(model.weights, model.scale, [*t, *(max(v - k, 0) for v, ks in zip(t, model.knots) for k in ks)]))
+    ranks = sorted(map(rank, x))
+    bad = int((label == 0).sum())
+    assert model.cut == pytest.approx((ranks[bad - 1] + ranks[bad]) / 2, rel=1e-4)
+    loss = np.mean([np.log1p(np.exp(rank(b) - rank(a))) for a in x[label == 1] for b in x[label == 0]])
+    assert loss < np.log(2)
+    for r in quality.score_quality(df, labels).collect():
+        z = rank(plain_statistics(texts[r.doc_id])) - model.cut + np.log(0.3 / 0.7)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-6)
+
+
 def test_levenshtein_trie_equals_distance():
     rng = random.Random(12)
     terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 7))) for _ in range(20)})
@@ -418,6 +586,37 @@ def test_rare_and_short_terms_count_when_misspelt(spark):
     assert rows[600].predicted == 1 and rows[601].predicted == 0
 
 
+def test_the_same_insult_quoted_is_no_abuse(spark):
+    rng = random.Random(51)
+    bad = ["stupid", "idiot", "worthless"]
+    texts, y = [], []
+    for i in range(600):
+        w = prose(rng, 40).split()
+        if i % 3 < 2:  # abused, or quoted
+            k = rng.randrange(5, 35)
+            insult = f"you {rng.choice(bad)} {rng.choice(bad)}"
+            w[k] = insult if i % 3 == 0 else f'he said "{insult}" and left'
+        texts.append(" ".join(w))
+        y.append(int(i % 3 == 0))
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, texts), labels_frame(spark, [(i, 1, y[i]) for i in range(600)])).collect()}
+    held = [i for i in rows if rows[i].held_out]
+    assert np.mean([rows[i].predicted == y[i] for i in held]) > 0.97
+    plain, quoted = "well you stupid idiot go", 'well "you stupid idiot" he said'
+    model = toxicity.fit_toxicity(frame(spark, texts), labels_frame(spark, [(i, 1, y[i]) for i in range(600)]))
+    s = model.score([plain + " " + prose(rng, 30), quoted + " " + prose(rng, 30)])
+    assert s[0] > 0.7 > s[1]
+
+
+def test_toxicity_of_very_long_texts_and_repeated_ids(spark):
+    rng = random.Random(52)
+    texts = [prose(rng, 30) + (" idiot" if i % 4 == 0 else "") for i in range(300)] + [prose(rng, 60_000), prose(rng, 60_000) + " idiot"]
+    df, labels = frame(spark, texts), labels_frame(spark, [(i, 1, int(i % 4 == 0)) for i in range(300)])
+    once = {r.doc_id: r.score for r in toxicity.score_toxicity(df, labels).collect()}
+    assert once[301] > once[300]
+    twice = toxicity.score_toxicity(df.unionByName(df), labels).collect()
+    assert len(twice) == 2 * len(texts) and len({(r.doc_id, r.score) for r in twice}) == len(texts)
+
+
 def test_toxicity(spark):
     rng = random.Random(13)
     bad = ["stupid", "idiot", "worthless", "disgusting"]
