@@ -217,7 +217,7 @@ def _terms(ids, texts):
     """Distinct words outside quotations, and stems marked by a trailing blank."""
     out = []
     for t in texts:
-        words = {w for w in WORD.findall(QUOTED.sub(" ", (t or "").lower())) if 3 <= len(w) <= 30}
+        words = {w for w in WORD.findall(QUOTED.sub(" ", (t or "").lower())) if len(w) >= 3}
         out.append([*words, *{w[:k] + " " for w in words for k in STEMS if len(w) >= k}])
     return ids, out
 
