@@ -55,7 +55,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     """An order with its customer: row_id, y, f0..f5, o_custkey."""
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    o, c = layout.spread(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderdate", "o_orderpriority")), table(spark, d, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1000).alias("y"), "o_custkey", F.col("c_acctbal").alias("f0"), F.col("c_nationkey").cast("double").alias("f1"),
         F.month("o_orderdate").cast("double").alias("f2"), F.dayofmonth("o_orderdate").cast("double").alias("f3"), F.substring("o_orderpriority", 1, 1).cast("double").alias("f4"), F.nullif(F.col("c_nationkey") % 5, F.lit(0)).cast("double").alias("f5"),

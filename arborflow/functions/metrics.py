@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborflow.functions.objectives import argmax
+from arborflow.operators.ranks import running_sum
 
 
 def rmse(rows: DataFrame) -> DataFrame:
@@ -17,16 +18,12 @@ def rmse(rows: DataFrame) -> DataFrame:
 def auc(rows: DataFrame) -> DataFrame:
     """One row: auc with ties at their average rank; -1 if one class only.
 
-    Scores are counted by value before they are ranked, and ranks come from
-    counts by range of score, so no task sorts all rows.
+    Scores are counted by value before they are ranked, and ranks are running
+    sums over ranges of scores, so no task sorts all rows.
     """
     by_score = rows.groupBy("margin").agg(F.count("*").alias("n"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p"))
-    cell = F.floor(F.col("margin") * 64)
-    below = by_score.groupBy(cell.alias("cell")).agg(F.sum("n").alias("m"))
-    before = below.select("cell", (F.sum("m").over(Window.orderBy("cell")) - F.col("m")).alias("before"))  # a row for each cell of scores
-    inside = F.sum("n").over(Window.partitionBy("cell").orderBy("margin")) - F.col("n")
-    ranked = by_score.withColumn("cell", cell).withColumn("inside", inside).join(before, "cell")
-    rank_sum = F.sum(F.col("p") * (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2))
+    ranked = running_sum(by_score, "margin", "n")
+    rank_sum = F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2))
     p, n = F.sum("p"), F.sum("n")
     one = ranked.agg(rank_sum.alias("r"), p.alias("p"), n.alias("n"))
     pos, neg = F.col("p"), F.col("n") - F.col("p")
@@ -59,8 +56,7 @@ def ndcg(rows: DataFrame) -> DataFrame:
 def group_offsets(rows: DataFrame) -> DataFrame:
     """(group_id, start, stop): prefix sums of group sizes."""
     sizes = rows.groupBy("group_id").agg(F.count("*").alias("n"))
-    stop = F.sum("n").over(Window.orderBy("group_id"))  # a row for each group
-    return sizes.select("group_id", (stop - F.col("n")).alias("start"), stop.alias("stop"))
+    return running_sum(sizes, "group_id", "n").select("group_id", F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("stop"))
 
 
 def mean_over_parties(scores: DataFrame, value: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborflow.operators.layout import hash_number
+
 LEAST_H = 1e-16
 
 
@@ -92,13 +94,13 @@ def rank_gradients(rows: DataFrame, ndcg: bool = False, seed: int = 0) -> DataFr
     gain = lambda y: F.pow(F.lit(2.0), y) - 1
     discount = lambda r: F.log2(r + 2.0)
     ranked = ranked.withColumn("idcg", F.sum(gain(F.col("y")) / discount(ideal)).over(by)) if ndcg else ranked.withColumn("idcg", F.lit(1.0))
-    chain = by.orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id")
+    chain = by.orderBy(hash_number(seed, F.col("row_id")), "row_id")
     me = F.struct("row_id", "y", "margin", "rank")
     following = chain.rowsBetween(1, Window.unboundedFollowing)
     runs = ranked.withColumn("me", me).withColumn("next", F.lead("me").over(chain))
     jump = F.first(F.when(F.col("next.y") != F.col("y"), F.col("next")), ignorenulls=True)
     partner = F.coalesce(F.when(F.col("next.y") != F.col("y"), F.col("next")), jump.over(following))
-    start = F.first(F.when(F.col("next.y") != F.col("y"), F.col("me")), ignorenulls=True).over(by.orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    start = F.first(F.when(F.col("next.y") != F.col("y"), F.col("me")), ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     pairs = runs.withColumn("other", F.coalesce(partner, F.when(start["y"] != F.col("y"), start))).where(F.col("other").isNotNull())
     hi, lo = F.when(F.col("y") > F.col("other.y"), F.col("me")).otherwise(F.col("other")), F.when(F.col("y") > F.col("other.y"), F.col("other")).otherwise(F.col("me"))
     pairs = pairs.select("idcg", hi.alias("hi"), lo.alias("lo"))

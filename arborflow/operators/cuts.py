@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from arborflow.operators.layout import hash_number
+from arborflow.operators.ranks import cells_of
+from arborflow.workers import ensure_importable
 
 SLACK = 1e-6
 
@@ -36,12 +45,21 @@ def range_cuts(ranges: DataFrame, max_bins: int) -> DataFrame:
 
 
 def distinct_cuts(long: DataFrame, max_bins: int, by: tuple[str, ...] = ("fid",)) -> DataFrame:
-    """(fid[, party_id], bid, cut): every floor(distinct / max_bins)-th distinct value from the largest; all if there are fewer."""
+    """(fid[, party_id], bid, cut): every floor(distinct / max_bins)-th distinct value from the largest; all if there are fewer.
+
+    Values are placed by cells of approximate quantiles, of which the driver
+    reads a few for each feature, so no task ranks all values of a feature.
+    """
     values = long.select(*by, "val").distinct()
-    n = values.groupBy(*by).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("val"))) - 1
-    gap = F.greatest(F.floor(F.col("n") / max_bins), F.lit(1))
-    ranked = values.withColumn("place", place).join(n, list(by)).withColumn("gap", gap)
+    cells = cells_of(long)
+    bounds = values.groupBy(*by).agg(F.percentile_approx("val", [k / cells for k in range(1, cells)] or [0.5], 10 * cells).alias("bounds"), F.count("*").alias("n")).where("n > 0")
+    bounds = long.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+    tagged = values.join(F.broadcast(bounds), list(by)).withColumn("cell", F.size(F.filter("bounds", lambda b: b > F.col("val")))).drop("bounds")
+    inside = F.row_number().over(Window.partitionBy(*by, "cell").orderBy(F.desc("val"))) - 1
+    sizes = tagged.groupBy(*by, "cell").count()
+    start = sizes.select(*by, "cell", (F.sum("count").over(Window.partitionBy(*by).orderBy("cell")) - F.col("count")).alias("start"))  # a row for each cell
+    ranked = tagged.withColumn("inside", inside).join(F.broadcast(start), [*by, "cell"]).withColumn("place", F.col("start") + F.col("inside"))
+    ranked = ranked.withColumn("gap", F.greatest(F.floor(F.col("n") / max_bins), F.lit(1)))
     kept = ranked.where((F.col("place") % F.col("gap") == 0) & ((F.col("place") / F.col("gap") < max_bins) | (F.col("n") < max_bins)))
     return kept.select(*by, (F.col("place") / F.col("gap")).cast("int").alias("bid"), F.col("val").alias("cut"))
 
@@ -57,7 +75,7 @@ def sample_party_cuts(party_cuts: DataFrame, max_bins: int, seed: int = 0) -> Da
     """(fid, bid, cut): the pooled distinct cuts of parties; the largest and, in hash order, others until max_bins."""
     pooled = party_cuts.select("fid", "cut").distinct()
     top = F.max("cut").over(Window.partitionBy("fid"))
-    order = Window.partitionBy("fid").orderBy(F.desc("top"), F.xxhash64(F.lit(seed), "fid", "cut"), "cut")
+    order = Window.partitionBy("fid").orderBy(F.desc("top"), hash_number(seed, F.col("fid"), F.round(F.col("cut") * 1000).cast("long")), "cut")
     kept = pooled.withColumn("top", F.col("cut") == top).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_bins)
     bid = F.row_number().over(Window.partitionBy("fid").orderBy(F.desc("cut"))) - 1
     return kept.select("fid", bid.cast("int").alias("bid"), "cut")
@@ -83,7 +101,35 @@ def bin_long(long: DataFrame, cuts: DataFrame) -> DataFrame:
     return long.join(arrays, "fid").select("row_id", "fid", bin_of(F.col("val"), F.col("cuts")).alias("bid"))
 
 
-def bin_dense(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
-    """rows (with x) with bins ARRAY<INT>, null where missing; no shuffle."""
-    table = F.array(*[F.array(*[F.lit(float(c)) for c in f]).cast("array<double>") for f in cuts])
-    return rows.withColumn("bins", F.zip_with("x", table, lambda v, c: bin_of(v, c)))
+def _bin_batches(cuts: list[list[float]], keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bounds = [np.array(c[::-1], float) - SLACK for c in cuts]
+    for b in batches:
+        column = b.column("features")
+        flat = column.flatten()
+        fid, value = flat.field("fid").to_numpy(zero_copy_only=False), flat.field("val")
+        row = np.repeat(np.arange(b.num_rows), np.diff(column.offsets.to_numpy()))
+        known = np.asarray(value.is_valid()) & (fid >= 0) & (fid < len(cuts))
+        fid, value, row = fid[known].astype(np.int64), value.to_numpy(zero_copy_only=False)[known], row[known]
+        bins = np.full((b.num_rows, len(cuts)), -1, np.int32)
+        order = np.argsort(fid, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(fid[order])) + 1) if len(order) else ():
+            f = fid[part[0]]
+            n = len(bounds[f])
+            if n:
+                bins[row[part], f] = np.minimum(n - np.searchsorted(bounds[f], value[part], side="right"), n - 1)
+        cells = pa.array(bins.reshape(-1), mask=bins.reshape(-1) < 0)
+        offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(cuts))
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.ListArray.from_arrays(offsets, cells)], [*keep, "bins"])
+
+
+def bin_rows(rows: DataFrame, cuts: list[list[float]], keep: list[str]) -> DataFrame:
+    """keep columns of rows and bins ARRAY<INT>, null where missing; no shuffle.
+
+    Features of an Arrow batch are looked up together by binary search, so the
+    cost follows the values present and not width x bins; the same as generated
+    comparisons took twice the time at 6 features and 16 bins.
+    """
+    ensure_importable(rows.sparkSession)
+    given = rows.select(*keep, F.coalesce("features", F.array().cast(rows.schema["features"].dataType)).alias("features"))
+    schema = T.StructType([*(given.schema[k] for k in keep), T.StructField("bins", T.ArrayType(T.IntegerType()))])
+    return given.mapInArrow(functools.partial(_bin_batches, cuts, keep), schema)

@@ -19,10 +19,25 @@ def node_sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("nid").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
 
 
-def level_histogram(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., nid, fid, bid, g, h) of rows (nid, g, h, bins): one exchange, after partial sums in each task. Missing values are left out."""
-    cells = rows.select(*by, "nid", "g", "h", F.posexplode("bins").alias("fid", "bid")).where(F.col("bid").isNotNull())
-    return cells.groupBy(*by, "nid", "fid", "bid").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+def level_histogram(rows: DataFrame, by: tuple[str, ...] = (), bins: str = "bins", count: bool = False) -> DataFrame:
+    """(by..., nid, fid, bid, g, h[, n]) of rows (nid, g, h, bins): one exchange, after partial sums in each task. Missing values are left out."""
+    cells = rows.select(*by, "nid", "g", "h", F.posexplode(bins).alias("fid", "bid")).where(F.col("bid").isNotNull())
+    return cells.groupBy(*by, "nid", "fid", "bid").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), *[F.count("*").alias("n")] * count)
+
+
+def with_siblings(small: DataFrame, parents: DataFrame, family: list[tuple[int, int, int]]) -> DataFrame:
+    """Histograms (nid, fid, bid, g, h, n) of both children from those of the smaller ones and of the parents; exact.
+
+    family: (parent, smaller child, other child). A cell travels twice, under its
+    own node and subtracted under its sibling, so no join is needed.
+    """
+    sibling = F.create_map(*[F.lit(x) for _, a, b in family for x in (a, b)])
+    other = F.create_map(*[F.lit(x) for p, _, b in family for x in (p, b)])
+    less = F.struct(sibling[F.col("nid")].alias("nid"), *[(-F.col(c)).alias(c) for c in ("g", "h", "n")])
+    both = small.select("fid", "bid", F.inline(F.array(F.struct("nid", "g", "h", "n"), less)))
+    up = parents.where(F.col("nid").isin([p for p, _, _ in family])).select("fid", "bid", other[F.col("nid")].alias("nid"), "g", "h", "n")
+    cells = both.unionByName(up).repartition("nid", "fid").groupBy("nid", "fid", "bid")
+    return cells.agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).where("n > 0")
 
 
 def structured_histogram(rows: DataFrame, wanted: DataFrame) -> DataFrame:

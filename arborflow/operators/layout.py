@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def to_rows(long: DataFrame) -> DataFrame:
     return long.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("fid", "val"))).alias("features"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few files dealt to all cores, one of many as it is; only for plans without an exchange."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def width(rows: DataFrame) -> int:
     """Largest feature id plus one."""
     top = rows.select(F.max(F.array_max(F.transform("features", lambda c: c["fid"])))).first()[0]
@@ -24,8 +32,15 @@ def width(rows: DataFrame) -> int:
 
 def dense(features: Column, n: int) -> Column:
     """ARRAY<DOUBLE> of n values, null where absent."""
+    return values_of(features, range(n))
+
+
+def values_of(features: Column, fids: Sequence[int]) -> Column:
+    """ARRAY<DOUBLE> of the values of some features, in the order given, null where absent."""
+    if not len(fids):
+        return F.array().cast("array<double>")
     as_map = F.map_from_entries(features)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: F.try_element_at(as_map, f)) if n else F.array().cast("array<double>")
+    return F.array(*[F.try_element_at(as_map, F.lit(f)) for f in fids])
 
 
 def with_values(rows: DataFrame, n: int) -> DataFrame:
@@ -60,14 +75,19 @@ def check_labels(rows: DataFrame, classes: int | None = None) -> None:
 
 
 def sort_columns(long: DataFrame) -> DataFrame:
-    """Columns in descending order of value, without a global sort."""
-    return long.repartition("fid").sortWithinPartitions("fid", F.desc("val"), "row_id")
+    """Columns one after the other, each in descending order of value; a long column is cut into ranges, one for each task."""
+    return long.repartitionByRange("fid", F.desc("val"), "row_id").sortWithinPartitions("fid", F.desc("val"), "row_id")
 
 
 def hash_rank(seed: int, key: str = "row_id") -> Column:
     return F.xxhash64(F.lit(seed), F.col(key))
 
 
+def hash_number(seed: int, *key: Column) -> Column:
+    """A number of 48 bits from the MD5 of seed and key, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *key)), 1, 12), 16, 10).cast("long")
+
+
 def train_test_split(rows: DataFrame, portion: float = 0.75, seed: int = 42) -> DataFrame:
     """rows with is_train: the first floor(n * portion) in hash order, found by a threshold on the hash and not by a sort of all rows."""
     n = rows.count()

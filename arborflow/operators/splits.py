@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborflow.operators.layout import hash_number
 from arborflow.operators.histogram import UNIT, missing_sums, prefix_sums
 
 
@@ -47,8 +48,8 @@ def best_splits(gains: DataFrame) -> DataFrame:
 
 
 def private_splits(gains: DataFrame, epsilon: float, delta_g: float, seed: int) -> DataFrame:
-    """best_splits by the exponential mechanism: exponents epsilon |gain| / (2 delta_g) plus Gumbel noise, which samples in proportion to exp(exponent)."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "nid", "fid", "bid"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """best_splits by the exponential mechanism: exponents epsilon |gain| / (2 delta_g) plus Gumbel noise, which samples in proportion to exp(exponent). Who knows the seed knows the noise: training draws a secret one for each level."""
+    u = (hash_number(seed, F.col("nid"), F.col("fid"), F.col("bid")) + 0.5) / float(1 << 48)
     noisy = F.abs("gain") * (epsilon / (2 * delta_g)) - F.log(-F.log(u))
     record = F.struct("fid", "bid", F.abs("gain").alias("gain"), (~(F.col("gain") > 0)).alias("default_right"), "rg", "rh", "mg", "mh")
     return gains.groupBy("nid").agg(F.max_by(record, F.struct(noisy, -F.col("fid"), -F.col("bid"))).alias("s")).select("nid", "s.*")

@@ -42,7 +42,12 @@ class BoostedModel:
             raise ValueError("fit or load a model first")
         return self.forest[0] if isinstance(self.forest, list) else self.forest
 
+    def party_scores(self, rows: DataFrame, metric: str | None = None) -> list[float]:
+        """The metric of every forest on rows: one for each party after a solo training, else one."""
+        return [P.score(rows, f, metric) for f in (self.forest if isinstance(self.forest, list) else [self._one()])]
+
     def predict(self, rows: DataFrame) -> DataFrame:
+        """By the one forest; after a solo training by that of party 0 (party_scores has all)."""
         return P.predict(rows, self._one())
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
@@ -88,32 +93,41 @@ class BoostedRanker(BoostedModel):
     defaults = {"objective": "rank:ndcg"}
 
 
-def _load(spark: SparkSession, params: Params, where: str) -> DataFrame:
+def _load(spark: SparkSession, params: Params, where: str, widths: list[int] | None = None) -> tuple[DataFrame, list[int] | None]:
+    """(rows, features of each file in a vertical run) of one file, or of one for each party."""
     paths = [p.strip() for p in where.split(",") if p.strip()]
     reader = text.read_csv if paths[0].endswith(".csv") else text.read_libsvm
-    rows = reader(spark, paths[0]) if len(paths) == 1 else text.read_parties(spark, paths, reader)
-    if needs_groups(params.objective):
-        rows = text.assign_groups(rows, text.read_groups(spark, paths[0] + ".group"))
-    return rows
+    groups = needs_groups(params.objective)
+    if params.mode == "vertical" and len(paths) > 1:
+        rows, widths = text.read_vertical(spark, paths, reader, widths)
+        return (text.assign_groups(rows, text.read_groups(spark, paths[0] + ".group")) if groups else rows), widths
+    rows = text.read_parties(spark, paths, reader, groups)
+    return (rows if len(paths) > 1 else rows.drop("party_id")), None
 
 
 def train_from_config(spark: SparkSession, config: str, rows: DataFrame | None = None, **overrides) -> tuple[Forest | list[Forest], DataFrame]:
-    """(forest, metric log) of a configuration; the model goes to model_path."""
+    """(forest, metric log) of a configuration; the model goes to model_path, those of a solo run to model_path-0 and on.
+
+    In a vertical run several files are parts of the same rows; otherwise each file is a party's rows.
+    """
     params = parse_config(config, **overrides)
-    rows = rows if rows is not None else _load(spark, params, params.data)
+    widths = None
+    if rows is None:
+        rows, widths = _load(spark, params, params.data)
     if params.partition and "party_id" not in rows.columns and params.mode not in ("centralized", "vertical"):
         rows = partition.horizontal(rows, params.n_parties, params.seed)
     forest = train(rows, params, watch=True)
     for k, f in enumerate(forest if isinstance(forest, list) else [forest]):
+        f.widths = widths
         model.save_model(spark, f, params.model_path + (f"-{k}" if isinstance(forest, list) else ""))
-    return forest, model.metric_log(spark, forest[0] if isinstance(forest, list) else forest)
+    return forest, model.metric_log(spark, forest)
 
 
 def predict_from_config(spark: SparkSession, config: str, rows: DataFrame | None = None, **overrides) -> tuple[DataFrame, float | None]:
     """(predictions, metric if labelled) of the saved model; predictions go to pred_output if that is set."""
     params = parse_config(config, **overrides)
     forest = model.load_model(spark, params.model_path)
-    rows = rows if rows is not None else _load(spark, forest.params, params.test_data or params.data)
+    rows = rows if rows is not None else _load(spark, forest.params, params.test_data or params.data, forest.widths)[0]
     out = P.predict(rows, forest)
     if params.pred_output:
         model.write_predictions(out, params.pred_output, "label" if OBJECTIVES[forest.params.objective].metric in ("error", "macc") else "prediction")

@@ -14,6 +14,7 @@ from arborflow.functions.metrics import evaluate
 from arborflow.functions.objectives import OBJECTIVES, sigmoid, softmax
 from arborflow.operators import layout
 from arborflow.plans.trainer import Forest
+from arborflow.sources.text import join_parties
 from arborflow.plans.tree import RT_EPS, by_value, node_id, node_weight
 from arborflow.workers import ensure_importable
 
@@ -63,19 +64,29 @@ def _score(arrays, rate: float, n: int, frames: Iterator[pd.DataFrame]) -> Itera
         yield f
 
 
+def _with_used(rows: DataFrame, forest: Forest):
+    """(rows with what scoring reads, condition on values): x where rows have it, else the values of the features that splits use."""
+    if "x" in rows.columns:
+        return rows, by_value()
+    used = sorted({x.fid for trees in forest.trees for t in trees for x in t.nodes.values() if not x.is_leaf})
+    return rows.withColumn("__used", layout.values_of(F.col("features"), used)), by_value("__used", {f: k for k, f in enumerate(used)})
+
+
 def margins(rows: DataFrame, forest: Forest) -> DataFrame:
     """rows (with features or x) with margins ARRAY<DOUBLE>: sums of rate x weight over rounds, by class."""
-    base = rows if "x" in rows.columns else layout.with_values(rows, forest.n_features)
     leaves = sum(len(t.leaves()) for trees in forest.trees for t in trees)
     rate = forest.rate
     if leaves <= CASE_LEAVES:
+        base, values = _with_used(rows, forest)
+
         def total(k):
             out = F.lit(0.0)
             for trees in forest.trees:
-                out = out + node_weight(trees[k], by_value(), rate)
+                out = out + node_weight(trees[k], values, rate)
             return out
 
-        return base.withColumn("margins", F.array(*[total(k) for k in range(forest.params.classes)]))
+        return base.withColumn("margins", F.array(*[total(k) for k in range(forest.params.classes)])).drop("__used")
+    base = rows if "x" in rows.columns else layout.with_values(rows, forest.n_features)
     ensure_importable(rows.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "x") + ", margins array<double>"
     return base.mapInPandas(functools.partial(_score, _arrays(forest), rate, forest.n_features), schema)
@@ -96,19 +107,13 @@ def predict_probabilities(rows: DataFrame, forest: Forest) -> DataFrame:
 
 def predict_leaves(rows: DataFrame, forest: Forest) -> DataFrame:
     """rows with leaves ARRAY<ARRAY<INT>>: the leaf of each round, by class."""
-    base = rows if "x" in rows.columns else layout.with_values(rows, forest.n_features)
-    return base.withColumn("leaves", F.array(*[F.array(*[node_id(t, by_value()) for t in trees]) for trees in forest.trees]))
+    base, values = _with_used(rows, forest)
+    return base.withColumn("leaves", F.array(*[F.array(*[node_id(t, values) for t in trees]) for trees in forest.trees])).drop("__used")
 
 
 def predict_vertical(parts: list[DataFrame], forest: Forest, widths: list[int]) -> DataFrame:
     """Scores of features that parties hold apart: rows are joined by row_id, features shifted to their global numbers."""
-    out, offset = None, 0
-    for k, (part, n) in enumerate(zip(parts, widths)):
-        shifted = part.select("row_id", F.transform("features", lambda c: F.struct((c["fid"] + F.lit(offset)).alias("fid"), c["val"].alias("val"))).alias(f"f{k}"))
-        out = shifted if out is None else out.join(shifted, "row_id")
-        offset += n
-    whole = out.select("row_id", F.concat(*[f"f{k}" for k in range(len(parts))]).alias("features"))
-    return predict(whole, forest)
+    return predict(join_parties(parts, widths), forest)
 
 
 def score(rows: DataFrame, forest: Forest, metric: str | None = None) -> float:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-import random
+import secrets
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -16,6 +16,7 @@ from arborflow.functions.objectives import OBJECTIVES, rank_gradients
 from arborflow.operators import cuts as C
 from arborflow.operators import histogram as H
 from arborflow.operators import layout, splits
+from arborflow.operators.layout import hash_number
 from arborflow.operators.partition import vertical_owner
 from arborflow.params import Params
 from arborflow.plans.tree import Tree, by_bin, node_id, node_weight
@@ -33,6 +34,7 @@ class Forest:
     n_features: int
     cuts: list[list[float]] | None = None
     scores: list[float] = dataclasses.field(default_factory=list)
+    widths: list[int] | None = None  # features of each party's file, in vertical runs
 
     @property
     def rate(self) -> float:
@@ -48,7 +50,7 @@ def propose_cuts(rows: DataFrame, n_features: int, params: Params) -> list[list[
     """Cuts as the mode proposes them; on the driver, at most features x bins numbers."""
     long = rows.select("party_id", "row_id", F.inline("features"))
     if params.mode == "horizontal":
-        if params.propose_split == "party":
+        if params.propose_split != "server":
             found = C.sample_party_cuts(C.distinct_cuts(long, params.max_bins, ("party_id", "fid")), params.max_bins, params.seed)
         else:
             found = C.range_cuts(C.merge_ranges(C.feature_range(long, ("party_id", "fid"))), params.max_bins)
@@ -60,13 +62,13 @@ def propose_cuts(rows: DataFrame, n_features: int, params: Params) -> list[list[
 def binned(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
     """(row_id, party_id, y[, group_id], bins)."""
     keep = [c for c in ("row_id", "party_id", "y", "group_id") if c in rows.columns]
-    return C.bin_dense(layout.with_values(rows, len(cuts)), cuts).select(*keep, "bins")
+    return C.bin_rows(rows, cuts, keep)
 
 
-def gradients(frame: DataFrame, params: Params, k: int) -> DataFrame:
-    """frame with g and h in millionths, for class k."""
+def gradients(frame: DataFrame, params: Params, k: int, t: int = 0) -> DataFrame:
+    """frame with g and h in millionths, for class k in round t; ranked rows meet another partner every round."""
     if params.objective.startswith("rank:"):
-        ranked = rank_gradients(frame.select("row_id", "group_id", "y", F.col("margins")[0].alias("margin")), params.objective == "rank:ndcg", params.seed)
+        ranked = rank_gradients(frame.select("row_id", "group_id", "y", F.col("margins")[0].alias("margin")), params.objective == "rank:ndcg", params.seed + t)
         frame = frame.join(ranked.withColumnsRenamed({"g": "__g", "h": "__h"}), "row_id")
         g, h = F.col("__g"), F.col("__h")
     else:
@@ -77,50 +79,93 @@ def gradients(frame: DataFrame, params: Params, k: int) -> DataFrame:
 
 
 class Grower:
-    """Grows one tree over rows (party_id, bins, g, h), level by level."""
+    """Grows one tree over rows (party_id, bins, g, h), level by level.
 
-    def __init__(self, rows: DataFrame, params: Params, cuts: list[list[float]], round_seed: int, n_parties: int = 1, keys=None):
+    rng draws the noise of differential privacy, from the system's source unless
+    a test gives one. own_cuts: parties' cuts (party_id, fid, bid, cut) of the
+    rows' column own_bins, whose histograms are moved to `cuts` when merged.
+    """
+
+    def __init__(self, rows: DataFrame, params: Params, cuts: list[list[float]], round_seed: int, n_parties: int = 1, keys=None, rng=None, own_cuts: DataFrame | None = None):
         self.rows, self.params, self.cuts, self.seed, self.n_parties = rows, params, cuts, round_seed, n_parties
-        self.keys = keys
+        self.keys, self.rng, self.own_cuts = keys, rng or secrets.SystemRandom(), own_cuts
         self.budget = privacy.split_budget(params.privacy_budget, params.n_trees, params.depth, params.reg_lambda, params.constant_h or 1.0, bagging_fraction=params.bagging_fraction) if params.privacy == "dp" else None
-        self.rng = random.Random(round_seed)
-
-    def histogram(self, tree: Tree, level: int) -> DataFrame:
-        """The level's histogram: parties' own, protected as asked, then merged."""
-        p = self.params
-        active = [x.nid for x in tree.level(level) if x.is_leaf]
-        at = self.rows.withColumn("nid", node_id(tree, by_bin())).where(F.col("nid").isin(active))
-        if p.privacy == "he" and p.mode == "vertical":
-            cells = at.select("nid", "g", "h", F.posexplode("bins").alias("fid", "bid")).where(F.col("bid").isNotNull())
-            return privacy.decrypt_columns(privacy.sum_encrypted(privacy.encrypt_columns(cells, self.keys.public), self.keys.public, ("nid", "fid", "bid")), self.keys)
+        self.sealed = None
+        self.last: DataFrame | None = None
+        if params.privacy == "he" and params.mode == "vertical":  # a row is encrypted once a tree, not once a feature and level
+            sealed = privacy.encrypt_columns(rows.select("bins", F.col("g").alias("eg"), F.col("h").alias("eh")), keys.public, ("eg", "eh"))
+            self.sealed = sealed.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def histogram(self, tree: Tree, active: list[int]) -> DataFrame:
+        """The nodes' histogram: parties' own, protected as asked, then merged."""
+        p, by = self.params, ("nid", "fid", "bid")
+        at = self.rows if self.sealed is None else self.sealed
+        at = at.withColumn("nid", node_id(tree, by_bin())).where(F.col("nid").isin(active))
+        if self.sealed is not None:
+            cells = at.select("nid", F.col("eg").alias("g"), F.col("eh").alias("h"), F.posexplode("bins").alias("fid", "bid")).where(F.col("bid").isNotNull())
+            return privacy.decrypt_columns(privacy.sum_encrypted(cells, self.keys.public, by), self.keys)
+        if self.own_cuts is not None:
+            return self._moved(H.level_histogram(at, ("party_id",), "own_bins"))
         if p.mode == "horizontal" and p.privacy in ("sa", "he"):
             own = H.level_histogram(at, ("party_id",))
             if p.privacy == "sa":
-                return H.merge(privacy.mask_histogram(privacy.complete_cells(own, self.n_parties), self.keys, f"{self.seed}:{level}"))
-            return privacy.decrypt_columns(privacy.sum_encrypted(privacy.encrypt_columns(own, self.keys.public), self.keys.public, ("nid", "fid", "bid")), self.keys)
-        return H.level_histogram(at)  # the merge of parties' sums is the same sum
-
-    def grow_level(self, tree: Tree, level: int, only: dict[int, int] | None = None) -> bool:
-        """Split the level's leaves; only: the feature that a predefined structure gives each node. Whether any node split."""
+                return H.merge(privacy.mask_histogram(privacy.complete_cells(own, self.n_parties), self.keys, f"{self.seed}:{active[0]}"))
+            return privacy.decrypt_columns(privacy.sum_encrypted(privacy.encrypt_columns(own, self.keys.public), self.keys.public, by), self.keys)
+        return H.level_histogram(at, count=True)  # the merge of parties' sums is the same sum
+
+    def _moved(self, own: DataFrame) -> DataFrame:
+        """Parties' histograms over their own cuts, merged over the common ones, in whole millionths."""
+        spark = own.sparkSession
+        common = spark.createDataFrame([(f, b, c) for f, cs in enumerate(self.cuts) for b, c in enumerate(cs)], "fid int, bid int, cut double")
+        edges = self.own_cuts.groupBy("fid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        moved = H.merge_interpolated(own, self.own_cuts.drop("lo", "hi"), common, edges)
+        return moved.select("nid", "fid", "bid", F.round("g").cast("long").alias("g"), F.round("h").cast("long").alias("h"))
+
+    def level_histogram(self, tree: Tree, level: int, active: list[int]) -> DataFrame:
+        """As histogram(), but of two children only the lighter one is summed over rows; the other is the parent's rest."""
+        if self.last is None or self.params.privacy in ("sa", "he") or self.own_cuts is not None:
+            hist = self.histogram(tree, active)
+        else:
+            family = []
+            for left in active:
+                if left % 2 and left + 1 in active:
+                    light, other = (left, left + 1) if tree.nodes[left].h <= tree.nodes[left + 1].h else (left + 1, left)
+                    family.append(((left - 1) // 2, light, other))
+            hist = H.with_siblings(self.histogram(tree, [a for _, a, _ in family]), self.last, family)
+        return hist
+
+    def grow_level(self, tree: Tree, level: int, only: dict[int, int] | None = None, more: bool = True) -> bool:
+        """Split the level's leaves; only: the feature that a predefined structure gives each node; more: whether levels follow. Whether any node split."""
         p, spark = self.params, self.rows.sparkSession
         nodes = [(x.nid, x.g, x.h) for x in tree.level(level) if x.is_leaf and (only is None or x.nid in only)]
         if not nodes:
             return False
-        hist = self.histogram(tree, level)
-        if only is not None:
-            hist = hist.join(F.broadcast(spark.createDataFrame([(n, f) for n, f in only.items()], "nid int, fid int")), ["nid", "fid"])
-        sums = spark.createDataFrame(nodes, "nid int, g long, h long")
-        gains = splits.with_gain(hist, sums, p.reg_lambda, p.min_child_weight)
-        best = splits.private_splits(gains, self.budget.level, self.budget.delta_g, self.seed * 1000 + level) if self.budget else splits.best_splits(gains)
+        active = [n[0] for n in nodes]
+        if only is None:
+            hist = self.level_histogram(tree, level, active)
+        else:
+            wanted = spark.createDataFrame([(n, only[n]) for n in active], "nid int, fid int")
+            hist = self.histogram(tree, active).join(F.broadcast(wanted), ["nid", "fid"])
+        before, self.last = self.last, None
+        if more and only is None and "n" in hist.columns:
+            self.last = hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
+        gains = splits.with_gain(hist, spark.createDataFrame(nodes, "nid int, g long, h long"), p.reg_lambda, p.min_child_weight)
+        best = splits.private_splits(gains, self.budget.level, self.budget.delta_g, self.rng.getrandbits(62)) if self.budget else splits.best_splits(gains)
         done = [tree.split(r.nid, r.fid, r.bid, self.cuts[r.fid][r.bid], r.gain, r.default_right, r.rg, r.rh, r.mg, r.mh) for r in sorted(best.collect(), key=lambda r: r.nid)]
+        if before is not None:
+            before.unpersist()
         return any(done)
 
     def grow(self, levels: int | None = None, prune: bool = True, structure: dict[int, int] | None = None) -> Tree:
         total = self.rows.agg(F.sum("g"), F.sum("h"), F.count("*")).first()
         tree = Tree(int(total[0] or 0), int(total[1] or 0), self.params.reg_lambda, total[2])
-        for level in range(levels or self.params.depth):
-            if not self.grow_level(tree, level, structure):
+        depth = levels or self.params.depth
+        for level in range(depth):
+            if not self.grow_level(tree, level, structure, level + 1 < depth):
                 break
+        for held in (self.last, self.sealed):
+            if held is not None:
+                held.unpersist()
         if prune:
             tree.prune(self.params.gamma)
         if self.budget:
@@ -132,12 +177,26 @@ class Grower:
 def _bag(row_id: str, params: Params, round_number: int) -> Column:
     """Disjoint slices of the hash order, dealt anew when all are used."""
     k = max(1, int(1 / params.bagging_fraction))
-    return F.pmod(F.xxhash64(F.lit(params.seed + round_number // k), row_id), F.lit(k)) == round_number % k
+    return F.pmod(hash_number(params.seed + round_number // k, F.col(row_id)), F.lit(k)) == round_number % k
+
 
+def _next(frame: DataFrame, margins: Column, t: int) -> DataFrame:
+    """frame with new margins, computed and kept: by a checkpoint every few rounds, which cuts the plan, else in executors' memory and disks."""
+    sc, out = frame.sparkSession.sparkContext, frame.withColumn("margins", margins)
+    if (t + 1) % CHECKPOINT_ROUNDS == 0:
+        if not (sc.getCheckpointDir() or frame.sparkSession.conf.get("spark.checkpoint.dir", None)):
+            raise ValueError(f"{CHECKPOINT_ROUNDS} rounds or more need spark.checkpoint.dir, a folder that all executors share")
+        out = out.checkpoint()
+    else:
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    frame.unpersist()
+    return out
 
-def boost(frame: DataFrame, params: Params, cuts: list[list[float]], rounds: int | None = None, n_parties: int = 1, watch: bool = False, update: bool = True) -> tuple[Forest, DataFrame]:
+
+def boost(frame: DataFrame, params: Params, cuts: list[list[float]], rounds: int | None = None, n_parties: int = 1, watch: bool = False, update: bool = True, own_cuts: DataFrame | None = None) -> tuple[Forest, DataFrame]:
     """(forest, frame with final margins) of a binned frame. watch: score every round; update=False leaves the margins as they are."""
-    classes, spark = params.classes, frame.sparkSession
+    classes = params.classes
     start = frame if "margins" in frame.columns else frame.withColumn("margins", F.array(*[F.lit(0.0)] * classes))
     current = start.persist(StorageLevel.MEMORY_AND_DISK)
     forest = Forest(params, [], len(cuts), cuts)
@@ -147,33 +206,27 @@ def boost(frame: DataFrame, params: Params, cuts: list[list[float]], rounds: int
             keys = privacy.paillier_keys(params.key_length)
         trees = []
         for k in range(classes):
-            rows = gradients(current, params, k)
+            rows = gradients(current, params, k, t)
             if params.bagging and params.bagging_fraction < 1:
                 rows = rows.where(_bag("row_id", params, t))
-            trees.append(Grower(rows.select("party_id", "bins", "g", "h"), params, cuts, params.seed + t * classes + k, n_parties, keys).grow())
+            rows = rows.select("party_id", "bins", "g", "h", *(["own_bins"] if own_cuts is not None else []))
+            trees.append(Grower(rows, params, cuts, params.seed + t * classes + k, n_parties, keys, own_cuts=own_cuts).grow())
         forest.trees.append(trees)
         if not update:
             continue
         moved = F.array(*[F.col("margins")[k] + node_weight(tree, by_bin(), params.learning_rate) for k, tree in enumerate(trees)])
-        nxt = current.withColumn("margins", moved)
-        if (t + 1) % CHECKPOINT_ROUNDS == 0 and (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-            nxt = nxt.checkpoint()
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        nxt.count()
-        current.unpersist()
-        current = nxt
+        current = _next(current, moved, t)
         if watch:
             forest.scores.append(evaluate(current, params.metric or OBJECTIVES[params.objective].metric))
     return forest, current
 
 
 def _check(rows: DataFrame, params: Params) -> Params:
-    if params.objective.startswith("multi:"):
-        if params.num_class < 2:
-            top = rows.agg(F.max("y")).first()[0]
-            params = params.replace(num_class=int(top or 0) + 1)
-        layout.check_labels(rows, params.num_class)
+    if params.objective.startswith("multi:") and params.num_class < 2:
+        top = rows.agg(F.max("y")).first()[0]
+        params = params.replace(num_class=int(top or 0) + 1)
+    if params.objective.startswith(("multi:", "binary:")) and not params.reorder_label:
+        layout.check_labels(rows, params.num_class if params.objective.startswith("multi:") else 2)
     return params
 
 
@@ -203,9 +256,35 @@ def train(rows: DataFrame, params: Params, watch: bool = False) -> Forest | list
     if params.mode == "hybrid":
         return train_hybrid(rows, params, n)
     c = propose_cuts(rows, n, params)
+    if params.mode == "horizontal" and params.propose_split == "client_post":
+        own = party_range_cuts(rows, params.max_bins)
+        return boost(with_own_bins(binned(rows, c), rows, own, n), params, c, n_parties=params.n_parties, watch=watch, own_cuts=own)[0]
     return boost(binned(rows, c), params, c, n_parties=params.n_parties, watch=watch)[0]
 
 
+def party_range_cuts(rows: DataFrame, max_bins: int) -> DataFrame:
+    """(party_id, fid, bid, cut, lo, hi): each party's range cuts of its own values, a few rows for each party and feature."""
+    ranges = C.feature_range(rows.select("party_id", "row_id", F.inline("features")), ("party_id", "fid")).collect()
+    spark, out = rows.sparkSession, None
+    for p in sorted({r.party_id for r in ranges}):
+        mine = spark.createDataFrame([(r.fid, r.lo, r.hi) for r in ranges if r.party_id == p], "fid int, lo double, hi double")
+        cuts = C.range_cuts(mine, max_bins).join(F.broadcast(mine), "fid").select(F.lit(p).cast("int").alias("party_id"), "fid", "bid", "cut", "lo", "hi")
+        out = cuts if out is None else out.unionByName(cuts)
+    return spark.createDataFrame(out.collect(), out.schema)
+
+
+def with_own_bins(frame: DataFrame, rows: DataFrame, own_cuts: DataFrame, n_features: int) -> DataFrame:
+    """frame with own_bins: every row's bins by its party's cuts."""
+    found, parts = own_cuts.collect(), None
+    for p in sorted({r.party_id for r in found}):
+        cuts: list[list[float]] = [[] for _ in range(n_features)]
+        for r in sorted((r for r in found if r.party_id == p), key=lambda r: (r.fid, r.bid)):
+            cuts[r.fid].append(r.cut)
+        part = C.bin_rows(rows.where(F.col("party_id") == p), cuts, ["row_id"]).withColumnRenamed("bins", "own_bins")
+        parts = part if parts is None else parts.unionByName(part)
+    return frame.join(parts, "row_id")
+
+
 def merge_forests(forests: list[Forest], params: Params) -> Forest:
     """Parties' forests one after the other; margins add up."""
     return Forest(params, reduce(lambda a, b: a + b.trees, forests, []), max(f.n_features for f in forests), None)
@@ -219,15 +298,12 @@ def train_hybrid(rows: DataFrame, params: Params, n_features: int) -> Forest:
     forest = Forest(params, [], n_features, c)
     parties = sorted(r.party_id for r in current.select("party_id").distinct().collect())  # a row for each party
     for t in range(params.n_trees):
-        g = gradients(current, params, 0).select("party_id", "bins", "g", "h")
+        g = gradients(current, params, 0, t).select("party_id", "bins", "g", "h")
         local = [Grower(g.where(F.col("party_id") == p), params, c, params.seed + t).grow() for p in parties]
         structure = dict(merge_hybrid_order(local, params.depth))
         tree = Grower(g, params, c, params.seed + t).grow(structure=structure)
         forest.trees.append([tree])
-        nxt = current.withColumn("margins", F.array(F.col("margins")[0] + node_weight(tree, by_bin(), params.learning_rate))).persist(StorageLevel.MEMORY_AND_DISK)
-        nxt.count()
-        current.unpersist()
-        current = nxt
+        current = _next(current, F.array(F.col("margins")[0] + node_weight(tree, by_bin(), params.learning_rate)), t)
     return forest
 
 

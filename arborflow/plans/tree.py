@@ -110,10 +110,10 @@ def by_bin(bins: str = "bins"):
     return cond
 
 
-def by_value(values: str = "x"):
-    """Scoring's condition: right iff value - cut >= -RT_EPS; missing goes to the default side."""
+def by_value(values: str = "x", place: dict[int, int] | None = None):
+    """Scoring's condition: right iff value - cut >= -RT_EPS; missing goes to the default side. place: where a feature is in `values`, if not at its number."""
     def cond(x: Node) -> Column:
-        return F.coalesce(F.col(values)[x.fid] - x.cut >= -RT_EPS, F.lit(x.default_right))
+        return F.coalesce(F.col(values)[place[x.fid] if place else x.fid] - x.cut >= -RT_EPS, F.lit(x.default_right))
 
     return cond
 

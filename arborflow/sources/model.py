@@ -25,7 +25,7 @@ def forest_frame(spark: SparkSession, forest: Forest) -> DataFrame:
 
 def save_model(spark: SparkSession, forest: Forest, path: str) -> None:
     forest_frame(spark, forest).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-    meta = json.dumps({"params": dataclasses.asdict(forest.params), "n_features": forest.n_features, "cuts": forest.cuts})
+    meta = json.dumps({"params": dataclasses.asdict(forest.params), "n_features": forest.n_features, "cuts": forest.cuts, "widths": forest.widths})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -37,7 +37,7 @@ def load_model(spark: SparkSession, path: str) -> Forest:
         tree = trees.setdefault((r["round"], r.k), Tree(0, 0, params.reg_lambda))
         tree.nodes[r.nid] = Node(**{f.name: r[f.name] for f in dataclasses.fields(Node)})
     rounds = max((k[0] for k in trees), default=-1) + 1
-    return Forest(params, [[trees[r, k] for k in range(params.classes)] for r in range(rounds)], meta["n_features"], meta["cuts"])
+    return Forest(params, [[trees[r, k] for k in range(params.classes)] for r in range(rounds)], meta["n_features"], meta["cuts"], widths=meta.get("widths"))
 
 
 def write_predictions(predictions: DataFrame, path: str, column: str = "prediction") -> None:
@@ -46,6 +46,7 @@ def write_predictions(predictions: DataFrame, path: str, column: str = "predicti
     predictions.repartitionByRange("row_id").sortWithinPartitions("row_id").select(value.alias("value")).write.mode("overwrite").text(path)
 
 
-def metric_log(spark: SparkSession, forest: Forest) -> DataFrame:
-    """(round, score) of a watched training."""
-    return spark.createDataFrame(list(enumerate(forest.scores)), "round int, score double")
+def metric_log(spark: SparkSession, forest: Forest | list[Forest]) -> DataFrame:
+    """(party_id, round, score) of a watched training; party_id is null unless parties trained forests of their own."""
+    rows = [(k, r, s) for k, f in enumerate(forest) for r, s in enumerate(f.scores)] if isinstance(forest, list) else [(None, r, s) for r, s in enumerate(forest.scores)]
+    return spark.createDataFrame(rows, "party_id int, round int, score double")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arborflow.operators.layout import width
+from arborflow.operators.ranks import running_sum
+
 FEATURES = "array<struct<fid:int,val:double>>"
+#: Row ids that one task gives their groups.
+RUN_BLOCK = 1 << 18
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -50,8 +54,9 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     label = (F.col(f"`{head[0]}`") if head[0] == "Class" else F.col("y")).cast("double") if labelled else F.lit(None).cast("double")
     cells = F.array(*[F.struct(F.lit(k).alias("fid"), F.col(f"`{c}`").cast("double").alias("val")) for k, c in enumerate(head[skip:])])
     features = F.filter(cells, lambda c: c["val"].isNotNull()) if len(head) > skip else F.array().cast(FEATURES)
-    key = F.col("id").cast("long") if head[0] == "id" else F.monotonically_increasing_id()
-    return raw.select(key.alias("row_id"), label.alias("y"), features.alias("features"))
+    if head[0] == "id":
+        return raw.select(F.col("id").cast("long").alias("row_id"), label.alias("y"), features.alias("features"))
+    return _numbered(raw.select(F.struct(label.alias("y"), features.alias("features")).alias("value"))).select("row_id", "value.*")
 
 
 def read_csc(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -75,21 +80,63 @@ def from_columns(df: DataFrame, row_id: str, y: str | None, features: Sequence[s
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """A file of run lengths as (group_id, start, stop): rows start <= row_id < stop belong together."""
     runs = _numbered(spark.read.text(path)).select("row_id", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "n")).where("n <> ''")
-    order = Window.orderBy("row_id", "at")  # one number for each group
-    return runs.select((F.row_number().over(order) - 1).cast("long").alias("group_id"), F.sum(F.col("n").cast("long")).over(order).alias("stop"), F.col("n").cast("long").alias("n")).select("group_id", (F.col("stop") - F.col("n")).alias("start"), "stop")
+    runs = runs.select("row_id", "at", F.col("n").cast("long").alias("n"), F.lit(1).alias("one"))
+    numbered = running_sum(running_sum(runs, "row_id", "one", ["at"], "group_id"), "row_id", "n", ["at"], "start")
+    return numbered.select("group_id", "start", (F.col("start") + F.col("n")).alias("stop"))
 
 
 def assign_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows with group_id, by the run that holds row_id."""
-    return rows.join(groups, (rows["row_id"] >= groups["start"]) & (rows["row_id"] < groups["stop"]), "left").drop("start", "stop")
-
+    """rows with group_id, by the run that holds row_id; null outside all runs.
 
-def read_parties(spark: SparkSession, paths: Sequence[str], reader=read_libsvm) -> DataFrame:
-    """One file for each party, tagged party_id; rows are numbered anew in order of parties."""
-    frames = [reader(spark, p).withColumn("party_id", F.lit(k)) for k, p in enumerate(paths)]
-    return reduce(DataFrame.unionByName, frames)
+    Runs are cut at multiples of RUN_BLOCK, and within a block each row takes the
+    last run that starts at or before it: one exchange, and no pairs.
+    """
+    block = lambda c: F.floor(c / RUN_BLOCK).cast("long")
+    first, last = block(F.col("start")), block(F.col("stop") - 1)
+    cut = groups.where("stop > start").select("group_id", "start", "stop", F.explode(F.sequence(first, last)).alias("__block"))
+    starts = cut.select("__block", F.greatest("start", F.col("__block") * RUN_BLOCK).alias("__at"), F.lit(0).alias("__row"), F.struct("group_id", "stop").alias("__run"), F.lit(None).cast(rows.schema).alias("__data"))
+    data = rows.select(block(F.col("row_id")).alias("__block"), F.col("row_id").alias("__at"), F.lit(1).alias("__row"), F.lit(None).cast(starts.schema["__run"].dataType).alias("__run"), F.struct(*rows.columns).alias("__data"))
+    order = Window.partitionBy("__block").orderBy("__at", "__row")
+    found = starts.unionByName(data).withColumn("__run", F.last("__run", ignorenulls=True).over(order)).where("__row = 1")
+    inside = F.when(F.col("__at") < F.col("__run.stop"), F.col("__run.group_id"))
+    return found.select("__data.*", inside.alias("group_id"))
+
+
+def read_parties(spark: SparkSession, paths: Sequence[str], reader=read_libsvm, groups: bool = False) -> DataFrame:
+    """One file for each party, tagged party_id. Ids of rows (and of groups, from `<path>.group`) go on where the file before ended."""
+    out, rows_before, groups_before = None, 0, 0
+    for k, p in enumerate(paths):
+        frame = reader(spark, p)
+        if groups:
+            frame = assign_groups(frame, read_groups(spark, p + ".group"))
+            frame = frame.withColumn("group_id", F.col("group_id") + F.lit(groups_before))
+        frame = frame.withColumn("row_id", F.col("row_id") + F.lit(rows_before)).withColumn("party_id", F.lit(k))
+        top = frame.agg(F.max("row_id").alias("row"), *([F.max("group_id").alias("group")] if groups else [])).first()
+        rows_before = rows_before if top.row is None else top.row + 1
+        groups_before = top.group + 1 if groups and top.group is not None else groups_before
+        out = frame if out is None else out.unionByName(frame)
+    return out
+
+
+def join_parties(parts: Sequence[DataFrame], widths: Sequence[int]) -> DataFrame:
+    """Features that parties hold apart as one table: rows that all parties have, by row_id, y from the first party that knows it, features shifted past those of the parties before."""
+    out, offset = None, 0
+    for k, (part, n) in enumerate(zip(parts, widths)):
+        moved = F.transform("features", lambda c: F.struct((c["fid"] + F.lit(offset)).cast("int").alias("fid"), c["val"].alias("val")))  # noqa: B023  called at once
+        label = F.col("y") if "y" in part.columns else F.lit(None).cast("double")
+        part = part.select("row_id", label.alias(f"y{k}"), F.coalesce(moved, F.array().cast(FEATURES)).alias(f"f{k}"))
+        out = part if out is None else out.join(part, "row_id")
+        offset += n
+    return out.select("row_id", F.coalesce(*[f"y{k}" for k in range(len(parts))]).alias("y"), F.concat(*[f"f{k}" for k in range(len(parts))]).alias("features"))
+
+
+def read_vertical(spark: SparkSession, paths: Sequence[str], reader=read_libsvm, widths: Sequence[int] | None = None) -> tuple[DataFrame, list[int]]:
+    """(joined table, features of each party) of one file for each party; widths: as a training run found them."""
+    parts = [reader(spark, p) for p in paths]
+    widths = list(widths) if widths else [width(p) for p in parts]
+    return join_parties(parts, widths), widths
 
 
 def concat_files(spark: SparkSession, paths: Sequence[str], reader=read_libsvm) -> DataFrame:
     """Files one after the other as one table, rows numbered through."""
-    return reader(spark, list(paths))
+    return read_parties(spark, paths, reader).drop("party_id")
