@@ -84,8 +84,8 @@ def hash_rank(seed: int, key: str = "row_id") -> Column:
 
 
 def hash_number(seed: int, *key: Column) -> Column:
-    """A number of 48 bits from the MD5 of seed and key, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *key)), 1, 12), 16, 10).cast("long")
+    """A number of 48 bits from the MD5 of key and seed, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *key, F.lit(seed))), 1, 12), 16, 10).cast("long")
 
 
 def train_test_split(rows: DataFrame, portion: float = 0.75, seed: int = 42) -> DataFrame:
