@@ -6,6 +6,7 @@ import random
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,9 +118,9 @@ def lay_4(spark, d):
     return layout.group_labels(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.substring("o_orderpriority", 1, 1).cast("double").alias("y")))
 
 
-@query("lay_7_sorted_columns", f"{W} SELECT fid::INTEGER AS fid, val, row_id FROM long WHERE fid IN (1, 4)")
+@query("lay_7_sorted_columns", f"{W} SELECT fid::INTEGER AS fid, val, row_id FROM long")
 def lay_7(spark, d):
-    return layout.sort_columns(layout.to_columns(rows_of(spark, d)).where("fid in (1, 4)"))
+    return layout.sort_columns(layout.to_columns(rows_of(spark, d)))
 
 
 @query("lay_8_train_test_split", "SELECT (count(*) * 3 // 4)::BIGINT AS n_train, (count(*) - count(*) * 3 // 4)::BIGINT AS n_test FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -198,7 +199,13 @@ def cut_5(spark, d):
     return long_of(spark, d).select("fid", "val").distinct().groupBy("fid").agg(F.count("*").alias("n"))
 
 
-@query("cut_6_sampled_party_cuts")
+POOLED = f"""{W}, vals AS (SELECT DISTINCT row_id % 3 AS p, fid, val FROM long), placed AS (SELECT *, row_number() OVER (PARTITION BY p, fid ORDER BY val DESC) - 1 AS place, count(*) OVER (PARTITION BY p, fid) AS n FROM vals),
+ pooled AS (SELECT DISTINCT fid, val AS cut FROM placed WHERE place % greatest(n // {BINS}, 1) = 0 AND (n < {BINS} OR place // greatest(n // {BINS}, 1) < {BINS})),
+ dealt AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY cut = top DESC, {sqlgen.hashed(0, "fid", "round(cut * 1000)::BIGINT")}, cut) AS r FROM (SELECT *, max(cut) OVER (PARTITION BY fid) AS top FROM pooled))
+ SELECT fid::INTEGER AS fid, (row_number() OVER (PARTITION BY fid ORDER BY cut DESC) - 1)::INTEGER AS bid, cut FROM dealt WHERE r <= {BINS}"""
+
+
+@query("cut_6_sampled_party_cuts", POOLED)
 def cut_6(spark, d):
     return C.sample_party_cuts(C.distinct_cuts(long_of(spark, d, 3), BINS, ("party_id", "fid")), BINS)
 
@@ -270,20 +277,19 @@ def obj_5(spark, d):
 
 def _rank(spark, d, ndcg: bool) -> DataFrame:
     s = scored(spark, d).select("row_id", (F.col("row_id") % 20).alias("group_id"), (F.col("grade") % 4).alias("y"), F.col("margins")[0].alias("margin"))
-    g = objectives.rank_gradients(s, ndcg)
-    return s.join(g, "row_id").groupBy("group_id").agg(F.count("*").alias("n"), F.round(F.abs(F.sum("g")), 6).alias("sum_g"), (F.min("h") >= 0).alias("h_ok"))
+    return objectives.rank_gradients(s, ndcg).select("row_id", (F.round("g", 6) + 0.0).alias("g"), F.round("h", 6).alias("h"))
 
 
-#: Pairs push both rows by the same amount, so gradients cancel within a group.
-RANK_SQL = f"{W} SELECT row_id % 20 AS group_id, count(*)::BIGINT AS n, 0.0::DOUBLE AS sum_g, true AS h_ok FROM feat GROUP BY 1"
+def _rank_sql(ndcg: bool) -> str:
+    return f"{W}, graded AS (SELECT row_id, row_id % 20 AS grp, f1 % 4 AS y, {M} AS s FROM feat), {sqlgen.ranked('graded', ndcg)} SELECT row_id, round(coalesce(g, 0), 6) + 0.0::DOUBLE AS g, round(coalesce(h, 0), 6) AS h FROM graded LEFT JOIN pushed USING (row_id)"
 
 
-@query("obj_6_rank_pairwise", RANK_SQL)
+@query("obj_6_rank_pairwise", _rank_sql(False))
 def obj_6(spark, d):
     return _rank(spark, d, False)
 
 
-@query("obj_7_rank_ndcg", RANK_SQL)
+@query("obj_7_rank_ndcg", _rank_sql(True))
 def obj_7(spark, d):
     return _rank(spark, d, True)
 
@@ -339,6 +345,7 @@ def best_split(spark, d):
 
 def _grown(spark, d, params: Params, parties: int = 1, structure=None):
     rows, c = frame_of(spark, d, params, parties)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read by every level
     keys = privacy.KeyAgreement(parties) if params.privacy == "sa" else privacy.paillier_keys(256) if params.privacy == "he" else None
     return rows, trainer.Grower(rows, params, c, 1, parties, keys).grow(structure=structure)
 
@@ -363,7 +370,10 @@ def tre_14(spark, d):
     return rows.select("row_id", node_id(tree, by_bin()).alias("nid"))
 
 
-@query("tre_17_pruned_tree")
+PRUNED = f"{RB}, {G0}, {sqlgen.tree('grad', 3)}, {sqlgen.pruned(20_000.0)} SELECT nid::INTEGER AS nid, round(-(sum(g)::BIGINT / 1000000.0::DOUBLE) / (sum(h)::BIGINT / 1000000.0::DOUBLE + 1.0), 6) AS weight, count(*)::BIGINT AS n, min(row_id)::BIGINT AS first_row FROM final JOIN grad USING (row_id) GROUP BY final.nid"
+
+
+@query("tre_17_pruned_tree", PRUNED.replace("SELECT nid::INTEGER AS nid, round(-", "SELECT final.nid::INTEGER AS nid, round(-"))
 def tre_17(spark, d):
     return _leaves(spark, *_grown(spark, d, RANGE.replace(gamma=20_000.0)))
 
@@ -470,19 +480,33 @@ def trn_4(spark, d):
     return _margins(trainer.train(rows_of(spark, d, 2), BASE.replace(mode="hybrid", n_parties=2, n_trees=1)), spark, d)
 
 
-@query("trn_5_ensemble")
+def _own_trees(n: int) -> str:
+    """Each party's cuts and first tree of its own rows, and the weights of all rows in it (w0, w1)."""
+    out = [W]
+    for p in range(n):
+        out += [f"long{p} AS (SELECT * FROM long WHERE row_id % {n} = {p})", sqlgen.cuts("distinct", BINS, f"long{p}", str(p)), f"grad{p} AS (SELECT row_id, round((0.0::DOUBLE - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat WHERE row_id % {n} = {p})"]
+        out += [sqlgen.tree(f"grad{p}", 3, f"_p{p}", bins=f"bins{p}"), sqlgen.routed("feat", 3, f"_p{p}", f"w{p}", f"cuts{p}")]
+    return ", ".join(out)
+
+
+@query("trn_5_ensemble", f"{_own_trees(2)} SELECT row_id, round(0.5 * w0.weight + 0.5 * w1.weight, 6) AS margin FROM w0 JOIN w1 USING (row_id)")
 def trn_5(spark, d):
     return _margins(trainer.train(rows_of(spark, d, 2), BASE.replace(mode="ensemble", n_parties=2)), spark, d)
 
 
-@query("trn_6_solo")
+@query("trn_6_solo", f"{_own_trees(2)} SELECT (row_id % 2)::INTEGER AS party_id, round(sqrt(avg((0.5 * w - y) * (0.5 * w - y))), 6) AS rmse FROM (SELECT row_id, y, CASE WHEN row_id % 2 = 0 THEN w0.weight ELSE w1.weight END AS w FROM feat JOIN w0 USING (row_id) JOIN w1 USING (row_id)) GROUP BY 1")
 def trn_6(spark, d):
     forests = trainer.train(rows_of(spark, d, 2), BASE.replace(mode="solo", n_parties=2, n_trees=1))
     rows = rows_of(spark, d, 2)
-    return spark.createDataFrame([(k, P.score(rows.where(F.col("party_id") == k), f)) for k, f in enumerate(forests)], "party_id int, rmse double")
+    return spark.createDataFrame([(k, round(P.score(rows.where(F.col("party_id") == k), f), 6)) for k, f in enumerate(forests)], "party_id int, rmse double")
+
+
+BAGGED = f"""{DB}, g0 AS (SELECT row_id, round((0.0::DOUBLE - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat WHERE {sqlgen.hashed(42, "row_id")} % 2 = 0), {sqlgen.tree("g0", 3, "_a")}, {sqlgen.routed("feat", 3, "_a", "ma", bins="bins")},
+ g1 AS (SELECT row_id, round((0.5 * weight - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat JOIN ma USING (row_id) WHERE {sqlgen.hashed(42, "row_id")} % 2 = 1), {sqlgen.tree("g1", 3, "_b")},
+ {sqlgen.routed("feat", 3, "_a", "w0")}, {sqlgen.routed("feat", 3, "_b", "w1")} SELECT row_id, round(0.25 * w0.weight + 0.25 * w1.weight, 6) AS margin FROM w0 JOIN w1 USING (row_id)"""
 
 
-@query("trn_9_bagging")
+@query("trn_9_bagging", BAGGED)
 def trn_9(spark, d):
     return _margins(trainer.train(rows_of(spark, d), BASE.replace(bagging=True, bagging_fraction=0.5)), spark, d)
 
@@ -589,7 +613,7 @@ def sa_3(spark, d):
 
 @query("he_4_encrypted_merge", MERGED)
 def he_4(spark, d):
-    key = privacy.paillier_keys(256, random.Random(5))
+    key = privacy.paillier_keys(512, random.Random(5))
     enc = privacy.encrypt_columns(_party_hist(spark, d), key.public)
     return privacy.decrypt_columns(privacy.sum_encrypted(enc, key.public, ("nid", "fid", "bid")), key)
 
@@ -599,7 +623,10 @@ def dp_2(spark, d):
     return scored(spark, d).select("row_id", F.round(privacy.clip(F.col("margins")[0] - F.col("y")), 6).alias("g"))
 
 
-@query("dp_4_private_split")
+PRIVATE = f"{L0}, noisy AS (SELECT *, abs(gain) * ({10.0 / 2 / 2 / 3!r}::DOUBLE / 6.0) - ln(-ln(({sqlgen.hashed(3, 'nid', 'fid', 'bid')} + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) AS score FROM gains) SELECT nid::INTEGER AS nid, fid::INTEGER AS fid, bid, NOT gain > 0 AS default_right FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY score DESC, fid, bid) AS r FROM noisy) WHERE r = 1"
+
+
+@query("dp_4_private_split", PRIVATE)
 def dp_4(spark, d):
     rows = frame_of(spark, d)[0]
     b = privacy.split_budget(10.0, 2, 3, 1.0)

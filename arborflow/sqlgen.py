@@ -10,16 +10,16 @@ FEATURES = """feat AS (
 ), long AS (""" + " UNION ALL ".join(f"SELECT row_id, {k} AS fid, f{k} AS val FROM feat WHERE f{k} IS NOT NULL" for k in range(6)) + ")"
 
 
-def cuts(kind: str = "range", bins: int = 16, source: str = "long") -> str:
-    """CTEs cuts(fid, bid, cut) and bins(row_id, fid, bid)."""
+def cuts(kind: str = "range", bins: int = 16, source: str = "long", tag: str = "") -> str:
+    """CTEs cuts<tag>(fid, bid, cut) and bins<tag>(row_id, fid, bid)."""
     if kind == "range":
-        made = f"""ranges AS (SELECT fid, min(val) AS lo, max(val) AS hi FROM {source} GROUP BY fid),
-        cuts AS (SELECT fid, bid::INTEGER AS bid, hi - bid * (hi - lo) / n AS cut FROM (SELECT *, CASE WHEN hi = lo THEN 1 ELSE {bins} END AS n FROM ranges), LATERAL (SELECT unnest(generate_series(0, n - 1)) AS bid))"""
+        made = f"""ranges{tag} AS (SELECT fid, min(val) AS lo, max(val) AS hi FROM {source} GROUP BY fid),
+        cuts{tag} AS (SELECT fid, bid::INTEGER AS bid, hi - bid * (hi - lo) / n AS cut FROM (SELECT *, CASE WHEN hi = lo THEN 1 ELSE {bins} END AS n FROM ranges{tag}), LATERAL (SELECT unnest(generate_series(0, n - 1)) AS bid))"""
     else:
-        made = f"""vals AS (SELECT DISTINCT fid, val FROM {source}), ranked AS (SELECT fid, val, row_number() OVER (PARTITION BY fid ORDER BY val DESC) - 1 AS place, count(*) OVER (PARTITION BY fid) AS n FROM vals),
-        cuts AS (SELECT fid, (place // greatest(n // {bins}, 1))::INTEGER AS bid, val AS cut FROM ranked WHERE place % greatest(n // {bins}, 1) = 0 AND (n < {bins} OR place // greatest(n // {bins}, 1) < {bins}))"""
+        made = f"""vals{tag} AS (SELECT DISTINCT fid, val FROM {source}), ranked{tag} AS (SELECT fid, val, row_number() OVER (PARTITION BY fid ORDER BY val DESC) - 1 AS place, count(*) OVER (PARTITION BY fid) AS n FROM vals{tag}),
+        cuts{tag} AS (SELECT fid, (place // greatest(n // {bins}, 1))::INTEGER AS bid, val AS cut FROM ranked{tag} WHERE place % greatest(n // {bins}, 1) = 0 AND (n < {bins} OR place // greatest(n // {bins}, 1) < {bins}))"""
     return f"""{made},
-    bins AS (SELECT l.row_id, l.fid, least(count(*) FILTER (WHERE c.cut - 1e-6 > l.val), count(*) - 1)::INTEGER AS bid FROM {source} l JOIN cuts c USING (fid) GROUP BY l.row_id, l.fid)"""
+    bins{tag} AS (SELECT l.row_id, l.fid, least(count(*) FILTER (WHERE c.cut - 1e-6 > l.val), count(*) - 1)::INTEGER AS bid FROM {source} l JOIN cuts{tag} c USING (fid) GROUP BY l.row_id, l.fid)"""
 
 
 def _score(g: str, h: str, lam: float) -> str:
@@ -31,11 +31,11 @@ def _gain(lg: str, lh: str, rg: str, rh: str, lam: float, mcw: float) -> str:
     return f"(CASE WHEN ({lh}) / 1000000.0::DOUBLE >= {mcw} AND ({rh}) / 1000000.0::DOUBLE >= {mcw} THEN greatest({raw}, 0) ELSE 0 END)"
 
 
-def level(src: str, tag: str, lam: float = 1.0, mcw: float = 1.0) -> str:
+def level(src: str, tag: str, lam: float = 1.0, mcw: float = 1.0, bins: str = "bins") -> str:
     """CTEs hist, gains and best of the rows (row_id, nid, g, h) of CTE src, with names ending in tag."""
     left = _gain("pg - rg", "ph - rh", "rg", "rh", lam, mcw)
     right = _gain("pg - rg - mg", "ph - rh - mh", "rg + mg", "rh + mh", lam, mcw)
-    return f"""hist{tag} AS (SELECT nid, fid, bid, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h FROM {src} JOIN bins USING (row_id) GROUP BY nid, fid, bid),
+    return f"""hist{tag} AS (SELECT nid, fid, bid, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h FROM {src} JOIN {bins} USING (row_id) GROUP BY nid, fid, bid),
     node{tag} AS (SELECT nid, sum(g)::BIGINT AS pg, sum(h)::BIGINT AS ph FROM {src} GROUP BY nid),
     pre{tag} AS (SELECT nid, fid, bid, g, h, pg, ph, (sum(g) OVER w)::BIGINT AS rg, (sum(h) OVER w)::BIGINT AS rh, (pg - sum(g) OVER a)::BIGINT AS mg, (ph - sum(h) OVER a)::BIGINT AS mh
       FROM hist{tag} JOIN node{tag} USING (nid) WINDOW w AS (PARTITION BY nid, fid ORDER BY bid ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY nid, fid)),
@@ -43,15 +43,15 @@ def level(src: str, tag: str, lam: float = 1.0, mcw: float = 1.0) -> str:
     best{tag} AS (SELECT nid, fid, bid, abs(gain) AS gain, NOT gain > 0 AS default_right, rg, rh, mg, mh FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY abs(gain) DESC, fid, bid) AS r FROM gains{tag}) WHERE r = 1)"""
 
 
-def tree(src: str, depth: int, tag: str = "", lam: float = 1.0, mcw: float = 1.0) -> str:
+def tree(src: str, depth: int, tag: str = "", lam: float = 1.0, mcw: float = 1.0, bins: str = "bins") -> str:
     """CTEs that grow a tree from src (row_id, g, h) and end in leaf<tag>(row_id, nid, weight)."""
     parts = [f"rows{tag}_0 AS (SELECT row_id, 0 AS nid, g, h FROM {src})"]
     for k in range(depth):
         at, nxt = f"rows{tag}_{k}", f"rows{tag}_{k + 1}"
         active = f"active{tag}_{k} AS (SELECT * FROM {at} WHERE nid >= {2**k - 1})"
-        parts += [active, level(f"active{tag}_{k}", f"{tag}_{k}", lam, mcw)]
+        parts += [active, level(f"active{tag}_{k}", f"{tag}_{k}", lam, mcw, bins)]
         parts.append(f"""{nxt} AS (SELECT r.row_id, CASE WHEN s.nid IS NULL THEN r.nid WHEN coalesce(b.bid <= s.bid, s.default_right) THEN 2 * r.nid + 2 ELSE 2 * r.nid + 1 END AS nid, r.g, r.h
-          FROM {at} r LEFT JOIN (SELECT * FROM best{tag}_{k} WHERE gain > 1e-6) s ON r.nid = s.nid LEFT JOIN bins b ON b.row_id = r.row_id AND b.fid = s.fid)""")
+          FROM {at} r LEFT JOIN (SELECT * FROM best{tag}_{k} WHERE gain > 1e-6) s ON r.nid = s.nid LEFT JOIN {bins} b ON b.row_id = r.row_id AND b.fid = s.fid)""")
     parts.append(f"""weights{tag} AS (SELECT nid, -(sum(g)::BIGINT / 1000000.0::DOUBLE) / (sum(h)::BIGINT / 1000000.0::DOUBLE + {lam}::DOUBLE) AS weight FROM rows{tag}_{depth} GROUP BY nid),
     leaf{tag} AS (SELECT row_id, nid, weight FROM rows{tag}_{depth} JOIN weights{tag} USING (nid))""")
     return ",\n".join(parts)
@@ -65,3 +65,44 @@ def boosted(rounds: int, depth: int, rate: float, lam: float = 1.0, source: str
         parts.append(tree(f"grad{tag}_{t}", depth, f"{tag}_t{t}", lam))
         parts.append(f"margin{tag}_{t + 1} AS (SELECT row_id, y, m + {rate}::DOUBLE * weight AS m FROM margin{tag}_{t} JOIN leaf{tag}_t{t} USING (row_id))")
     return ",\n".join(parts)
+
+
+def hashed(seed: int, *key: str) -> str:
+    """The number that operators.layout.hash_number makes."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(key)}, '{seed}')), 1, 12))::BIGINT"
+
+
+def routed(rows: str, depth: int, tag: str, name: str, cuts: str = "cuts", bins: str | None = None) -> str:
+    """CTEs that end in <name>(row_id, weight): rows sent through the tree of tree(..., tag), by values or, if bins are named, by bins."""
+    parts = [f"{name}_0 AS (SELECT row_id, 0 AS nid FROM {rows})"]
+    go, values = ("b.bid <= s.bid", bins) if bins else ("b.val - s.cut >= -1e-6", "long")
+    for k in range(depth):
+        parts.append(f"""{name}_{k + 1} AS (SELECT r.row_id, CASE WHEN s.nid IS NULL THEN r.nid WHEN coalesce({go}, s.default_right) THEN 2 * r.nid + 2 ELSE 2 * r.nid + 1 END AS nid
+          FROM {name}_{k} r LEFT JOIN (SELECT * FROM best{tag}_{k} JOIN {cuts} USING (fid, bid) WHERE gain > 1e-6) s ON r.nid = s.nid LEFT JOIN {values} b ON b.row_id = r.row_id AND b.fid = s.fid)""")
+    parts.append(f"{name} AS (SELECT row_id, coalesce(weight, 0) AS weight FROM {name}_{depth} LEFT JOIN weights{tag} USING (nid))")
+    return ",\n".join(parts)
+
+
+def pruned(gamma: float) -> str:
+    """CTE final(row_id, nid): leaves of the tree of depth 3 of tree('grad', 3) after pruning splits of two leaves whose gain is under gamma."""
+    keep = lambda k, below: f"kept_{k} AS (SELECT nid FROM best_{k} b WHERE gain > 1e-6 AND (gain >= {gamma}{below}))"
+    child = lambda k: f" OR EXISTS (SELECT 1 FROM kept_{k} c WHERE c.nid IN (2 * b.nid + 1, 2 * b.nid + 2))"
+    return f"""{keep(2, "")}, {keep(1, child(2))}, {keep(0, child(1))},
+    final AS (SELECT row_id, CASE WHEN r0.nid NOT IN (SELECT nid FROM kept_0) THEN r0.nid WHEN r1.nid NOT IN (SELECT nid FROM kept_1) THEN r1.nid WHEN r2.nid NOT IN (SELECT nid FROM kept_2) THEN r2.nid ELSE r3.nid END AS nid
+      FROM rows_0 r0 JOIN rows_1 r1 USING (row_id) JOIN rows_2 r2 USING (row_id) JOIN rows_3 r3 USING (row_id))"""
+
+
+def ranked(rows: str, ndcg: bool) -> str:
+    """CTEs that end in pushed(row_id, g, h) of rows (row_id, grp, y, s): the next row of another label in hash order is the partner."""
+    delta = "CASE WHEN idcg = 0 THEN 0 ELSE abs((2 ** hy - 2 ** ly) * (1 / log2(hr + 2.0::DOUBLE) - 1 / log2(lr + 2.0::DOUBLE))) / idcg END" if ndcg else "1.0::DOUBLE"
+    return f"""k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {hashed(0, "row_id")}, row_id) AS pos, row_number() OVER (PARTITION BY grp ORDER BY s DESC, row_id) - 1 AS r,
+      row_number() OVER (PARTITION BY grp ORDER BY y DESC, row_id) - 1 AS best FROM {rows}),
+    ideal AS (SELECT grp, sum((2 ** y - 1) / log2(best + 2.0::DOUBLE)) AS idcg FROM k GROUP BY grp),
+    nxt AS (SELECT a.row_id, min(b.pos) AS pos FROM k a JOIN k b ON a.grp = b.grp AND b.pos > a.pos AND b.y <> a.y GROUP BY a.row_id),
+    turn AS (SELECT grp, min(pos) AS pos FROM (SELECT grp, pos, y, lead(y) OVER (PARTITION BY grp ORDER BY pos) AS ny FROM k) WHERE ny <> y GROUP BY grp),
+    pairs AS (SELECT a.grp, a.row_id AS arow, a.y AS ay, a.s AS s_a, a.r AS ar, b.row_id AS brow, b.y AS b_y, b.s AS bs, b.r AS br
+      FROM k a LEFT JOIN nxt USING (row_id) JOIN turn t ON t.grp = a.grp JOIN k b ON b.grp = a.grp AND b.pos = coalesce(nxt.pos, t.pos) AND b.y <> a.y),
+    ends AS (SELECT idcg, CASE WHEN ay > b_y THEN arow ELSE brow END AS hi, CASE WHEN ay > b_y THEN brow ELSE arow END AS lo, greatest(ay, b_y) AS hy, least(ay, b_y) AS ly,
+      CASE WHEN ay > b_y THEN s_a ELSE bs END AS hs, CASE WHEN ay > b_y THEN bs ELSE s_a END AS ls, CASE WHEN ay > b_y THEN ar ELSE br END AS hr, CASE WHEN ay > b_y THEN br ELSE ar END AS lr FROM pairs JOIN ideal USING (grp)),
+    force AS (SELECT hi, lo, d * rho AS l, 2 * greatest(d * rho * (1 - rho), 1e-16) AS w FROM (SELECT *, {delta} AS d, 1 / (1 + exp(hs - ls)) AS rho FROM ends)),
+    pushed AS (SELECT row_id, sum(g) AS g, sum(h) AS h FROM (SELECT hi AS row_id, -l AS g, w AS h FROM force UNION ALL SELECT lo, l, w FROM force) GROUP BY row_id)"""
