@@ -35,7 +35,7 @@ def test_vertical_run_over_two_files_equals_one_table(spark, tmp_path):
     write(tmp_path / "p0", [(y, x[:2]) for y, x in rows])
     write(tmp_path / "p1", [(y, x[2:]) for y, x in rows], labelled=False)
     write(tmp_path / "all", rows)
-    base = "objective=binary:logistic\ndepth=2\nn_trees=2\nmax_num_bin=8\ngamma=0\nn_parties=2\n"
+    base = "objective=binary:logistic\ndepth=2\nn_trees=1\nmax_num_bin=8\ngamma=0\nn_parties=2\n"
     two, _ = train_from_config(spark, f"{base}mode=vertical\ndata={tmp_path}/p0,{tmp_path}/p1\nmodel_path={tmp_path}/m\n")
     one, _ = train_from_config(spark, f"{base}mode=centralized\ndata={tmp_path}/all\nmodel_path={tmp_path}/n\n")
     assert nodes(spark, two) == nodes(spark, one) and two.widths == [2, 2]
@@ -58,7 +58,7 @@ def test_horizontal_files_with_groups_are_numbered_through(spark, tmp_path):
     want = text.assign_groups(text.read_libsvm(spark, f"{tmp_path}/all"), text.read_groups(spark, f"{tmp_path}/all.group"))
     key = lambda df: [(r.row_id, r.y, r.group_id) for r in df.orderBy("row_id").collect()]
     assert key(got) == key(want) and [r.party_id for r in got.orderBy("row_id").collect()] == [0] * 30 + [1] * 50
-    base = "objective=rank:ndcg\nmode=horizontal\ndepth=2\nn_trees=2\nmax_num_bin=8\ngamma=0\nmin_child_weight=0\n"
+    base = "objective=rank:ndcg\nmode=horizontal\ndepth=2\nn_trees=1\nmax_num_bin=8\ngamma=0\nmin_child_weight=0\n"
     two, _ = train_from_config(spark, f"{base}data={tmp_path}/f0,{tmp_path}/f1\nmodel_path={tmp_path}/m\n")
     one, _ = train_from_config(spark, f"{base}data={tmp_path}/all\nmodel_path={tmp_path}/n\n")
     assert nodes(spark, two) == nodes(spark, one)
