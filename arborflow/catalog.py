@@ -407,7 +407,18 @@ def mrg_1(spark, d):
     return H.merge(_party_hist(spark, d))
 
 
-@query("mrg_2_interpolated_merge")
+#: A party's bin counts for a common bin by the share of its width inside it.
+MOVED = f"""{RB}, {G0}, own AS (SELECT row_id % 3 AS p, fid, min(val) AS l, max(val) AS u FROM long GROUP BY 1, 2),
+ pc AS (SELECT p, fid, bid, u - bid * (u - l) / n AS cut FROM (SELECT *, CASE WHEN u = l THEN 1 ELSE {BINS} END AS n FROM own), LATERAL (SELECT unnest(generate_series(0, n - 1)) AS bid)),
+ pb AS (SELECT row_id, p, pc.fid, least(count(*) FILTER (WHERE cut - 1e-6 > val), count(*) - 1) AS bid FROM long l JOIN pc ON pc.p = l.row_id % 3 AND pc.fid = l.fid GROUP BY row_id, p, pc.fid),
+ ph AS (SELECT p, fid, bid, sum(g)::DOUBLE AS g, sum(h)::DOUBLE AS h FROM pb JOIN grad USING (row_id) GROUP BY p, fid, bid),
+ mine AS (SELECT p, fid, bid, CASE WHEN lead(cut) OVER w IS NULL THEN least(lo, cut) ELSE cut END AS a0, coalesce(lag(cut) OVER w, greatest(hi, cut)) AS a1 FROM pc JOIN ranges USING (fid) WINDOW w AS (PARTITION BY p, fid ORDER BY bid)),
+ ours AS (SELECT fid, bid, CASE WHEN lead(cut) OVER w IS NULL THEN least(lo, cut) ELSE cut END AS b0, coalesce(lag(cut) OVER w, greatest(hi, cut)) AS b1 FROM cuts JOIN ranges USING (fid) WINDOW w AS (PARTITION BY fid ORDER BY bid)),
+ shares AS (SELECT p, fid, m.bid, o.bid AS dest, CASE WHEN a0 = a1 THEN (a0 >= b0 AND (a0 < b1 OR o.bid = 0))::INT::DOUBLE ELSE greatest(least(a1, b1) - greatest(a0, b0), 0) / (a1 - a0) END AS share FROM mine m JOIN ours o USING (fid))
+ SELECT 0 AS nid, fid::INTEGER AS fid, dest AS bid, round(sum(g * share) / 1000000, 3) AS g, round(sum(h * share) / 1000000, 3) AS h FROM ph JOIN shares USING (p, fid, bid) WHERE share > 0 GROUP BY fid, dest"""
+
+
+@query("mrg_2_interpolated_merge", MOVED)
 def mrg_2(spark, d):
     long = long_of(spark, d, 3)
     own = C.feature_range(long, ("party_id", "fid"))
@@ -416,7 +427,8 @@ def mrg_2(spark, d):
     g = frame_of(spark, d, RANGE, 3)[0].select("row_id", "g", "h")
     hist = long.join(F.broadcast(arrays), ["party_id", "fid"]).join(g, "row_id").groupBy("party_id", F.lit(0).alias("nid"), "fid", C.bin_of(F.col("val"), F.col("cuts")).alias("bid")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))  # arrays: parties x features rows
     ranges = C.merge_ranges(own)
-    return H.merge_interpolated(hist, party_cuts, C.range_cuts(ranges, BINS), ranges)
+    moved = H.merge_interpolated(hist, party_cuts, C.range_cuts(ranges, BINS), ranges)
+    return moved.select("nid", "fid", "bid", *[F.round(F.col(c) / H.UNIT, 3).alias(c) for c in ("g", "h")])
 
 
 @query("mrg_4_vertical_concat", MERGED)
@@ -555,7 +567,17 @@ def prd_8(spark, d):
     return scored(spark, d).select("row_id", objectives.OBJECTIVES["binary:logistic"].label(F.col("margins")).alias("label"))
 
 
-@query("prd_10_multiclass_probabilities")
+def _class_trees(classes: int) -> str:
+    """A tree for each label of the embeddings, and the labels' probabilities."""
+    out = ["""WITH feat AS (SELECT vec_id AS row_id, label AS y, embedding FROM embeddings WHERE label IS NOT NULL), long AS (SELECT row_id, unnest(generate_series(0, len(embedding) - 1)) AS fid, unnest(embedding)::DOUBLE AS val FROM feat)""", sqlgen.cuts("distinct", BINS)]
+    for k in range(classes):
+        out += [f"grad{k} AS (SELECT row_id, round((1 / {classes}.0::DOUBLE - (y = {k})::INT) * 1000000)::BIGINT AS g, round(2 / {classes}.0::DOUBLE * (1 - 1 / {classes}.0::DOUBLE) * 1000000)::BIGINT AS h FROM feat)", sqlgen.tree(f"grad{k}", 2, f"_c{k}"), sqlgen.routed("feat", 2, f"_c{k}", f"w{k}")]
+    e = ", ".join(f"exp(0.5 * w{k}.weight)" for k in range(classes))
+    joined = "w0" + "".join(f" JOIN w{k} USING (row_id)" for k in range(1, classes))
+    return f"{', '.join(out)} SELECT row_id, round(list_max(e) / list_sum(e), 6) AS top, (list_position(e, list_max(e)) - 1)::INTEGER AS label FROM (SELECT row_id, [{e}] AS e FROM {joined})"
+
+
+@query("prd_10_multiclass_probabilities", _class_trees(10))
 def prd_10(spark, d):
     e = table(spark, d, "embeddings").where("label is not null")
     rows = e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("y"), F.transform("embedding", lambda v, i: F.struct(i.alias("fid"), v.cast("double").alias("val"))).alias("features"))
