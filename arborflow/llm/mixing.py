@@ -21,6 +21,8 @@ FIT_ROWS, DOMAIN_ROWS, WORDS = 4_000, 100, 3_000
 #: Words' worth of evidence that a text's posterior counts at most: long texts stay soft.
 EVIDENCE = 40.0
 STEPS, PULL, TEMPERATURE = 25, 0.002, 0.7
+#: Slots of a domain's ids that are ranked apart before their heads meet: the last task of a domain gets at most SLOTS samples, whatever the number of input tasks.
+SLOTS = 16
 
 
 def _words(text: Column) -> Column:
@@ -35,8 +37,11 @@ def domain_table(docs: DataFrame, domain: str = "lang", rows: int = FIT_ROWS, wo
     labelled = docs.where(F.col(domain).isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull()).select(F.col(domain).cast("string").alias("d"), "doc_id", "text")
     each = materialize(labelled.select("d", "doc_id").distinct(), "labelled-ids")
     share = max(DOMAIN_ROWS, rows // max(1, each.select("d").distinct().count()))
-    place = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = each.withColumn("k", place).where(F.col("k") <= share).select("d", "doc_id")
+    ids = each.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+    for by in (["d", "slot"], ["d"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ids = ids.withColumn("k", place).where(F.col("k") <= share)
+    ids = ids.select("d", "doc_id")
     some = labelled.join(F.broadcast(ids), ["d", "doc_id"], "left_semi")  # `share` ids a domain
     counts = materialize(some.select("d", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).where("w <> ''").groupBy("d", "w").count(), "word-counts")
     totals = {r.d: r.n for r in counts.groupBy("d").agg(F.sum("count").alias("n")).collect()}

@@ -462,6 +462,17 @@ def test_pipeline_mixing_keeps_mixed_texts(spark):
     assert mix_languages(spark, docs, "").select("doc_id").distinct().count() == len(texts)
 
 
+def test_slots_do_not_change_the_mixing_sample(spark, monkeypatch):
+    rows = [(i, f"word{i % 97} common{i % 5}", "en" if i % 9 else "fr") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = []
+    for slots in (1, 16):
+        monkeypatch.setattr(mixing, "SLOTS", slots)
+        table, domains = mixing.domain_table(docs, rows=60)
+        found.append((sorted((r.w, list(r.l)) for r in table.collect()), domains))
+    assert found[0] == found[1] and found[0][1] == ["en", "fr"]
+
+
 def test_mixing_knows_rare_domains(spark, monkeypatch):
     monkeypatch.setattr(mixing, "DOMAIN_ROWS", 3)
     df = frame(spark, [f"x{i % 9} x y{'abcd'[i % 4]} same words" for i in range(200)] + ["rare zz"] * 2, ["a"] * 200 + ["r"] * 2)
