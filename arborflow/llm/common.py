@@ -44,6 +44,13 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one, as a URI, for files that are not tables; deleted at exit."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that is no longer needed."""
     spark = df.sparkSession
