@@ -13,11 +13,11 @@ filter of fixed size that never fails a frequent pair.
 from __future__ import annotations
 
 import functools
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from arborflow.llm.common import bound_batches, materialize
 from arborflow.workers import ensure_importable
 
-#: Words, with piece ends, that a task lays out before it counts them; one text is never cut.
-SHARD_WORDS = 1 << 20
+#: Bytes of texts that a task lays out at once; one text is never cut.
+SHARD_BYTES = 6 << 20
 #: Positions of a block.
 BLOCK_BITS = 4
 BLOCK = 1 << BLOCK_BITS
@@ -35,35 +35,29 @@ BLOCK = 1 << BLOCK_BITS
 ROWS = 1 << 18
 #: 64-bit words of the filter of frequent pairs at most (32 MB).
 FILTER_WORDS = 1 << 22
+#: Bits by which the hash of a pair's first word is turned.
+TURN = 17
 #: Cells of a language in which its best phrases are found before they are ranked together.
 CELLS = 64
 
-EMPTY, GAP = 0, 1
 _UPPER, _BREAKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _BREAKS + b"\t", _UPPER.lower() + b"\n" * len(_BREAKS) + b" ")
 
 
-class Vocabulary(defaultdict):
-    """Numbers words as they come; 0 is no word and 1 the end of a piece."""
-
-    def __init__(self):
-        super().__init__()
-        self.default_factory = self.__len__
-        self.update({b"": EMPTY, b"\n": GAP})
-
-    def layout(self, text: bytes) -> np.ndarray:
-        """The numbers of a text's words in order, with a 1 after every piece."""
-        words = text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
-        words.append(b"\n")
-        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return ids[ids != EMPTY]
+def layout(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """(ids, names) of the texts' words in order, with a 0 after every piece; names[0] is no word."""
+    spaced = pa.array([b"\n", *(t.translate(_TABLE).replace(b"\n", b" \n ") + b" \n" for t in texts)], pa.large_binary())
+    words = pc.split_pattern(spaced, " ").values.dictionary_encode()
+    ids, names = words.indices.to_numpy(), words.dictionary
+    empty = pc.index(names, pa.scalar(b"", names.type)).as_py()
+    return (ids if empty < 0 else ids[ids != empty]), names.cast(pa.binary()).cast(pa.string())
 
 
 class Bitmaps:
     """The words' bitmaps of a shard: rows (word, block, mask), by word and again by block."""
 
     def __init__(self, ids: np.ndarray):
-        at = np.flatnonzero(ids > GAP)
+        at = np.flatnonzero(ids)
         blocks = (len(ids) >> BLOCK_BITS) + 2
         key = ids[at].astype(np.int64) * blocks + (at >> BLOCK_BITS)
         order = np.argsort(key, kind="stable")
@@ -122,87 +116,86 @@ def _grouped(key: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[order], *(r[order] for r in rest)
 
 
-def count_pairs(ids: np.ndarray, names: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(phrases, counts) of a shard's words and pairs."""
-    maps, v = Bitmaps(ids), len(names)
+def count_pairs(ids: np.ndarray, v: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """(words of phrases, counts) of a shard's words and pairs; v: how many words there are."""
+    maps = Bitmaps(ids)
     word, n = maps.counts()
-    yield [names[w] for w in word.tolist()], n
+    yield (word,), n
     for part in maps.batches():
         a, b, _, mask = maps.extend(maps.word[part], maps.block[part], maps.mask[part])
         key, n = _sums(*_grouped(a * v + b, mask))
-        yield [names[x] + b" " + names[y] for x, y in zip((key // v).tolist(), (key % v).tolist())], n
-
+        yield (key // v, key % v), n
 
-def count_triples(ids: np.ndarray, names: list[bytes], may_be_frequent) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(phrases, counts) of a shard's phrases of three words whose two pairs both pass the test."""
-    maps, v = Bitmaps(ids), len(names)
-    known: dict[int, bool] = {}
-
-    def passes(keys: np.ndarray) -> np.ndarray:
-        found = keys.tolist()
-        for k in found:
-            if k not in known:
-                known[k] = may_be_frequent(names[k // v] + b" " + names[k % v])
-        return np.fromiter((known[k] for k in found), bool, len(found))
 
+def count_triples(ids: np.ndarray, v: int, may_be_frequent) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """(words of phrases, counts) of a shard's phrases of three words whose two pairs both pass the test may_be_frequent(a, b)."""
+    maps = Bitmaps(ids)
     for part in maps.batches():
         a, b, block, mask = maps.extend(maps.word[part], maps.block[part], maps.mask[part])
-        pairs, of = np.unique(a * v + b, return_inverse=True)
-        keep = passes(pairs)[of]
-        of, c, _, mask = maps.extend(of[keep], block[keep], mask[keep])
-        key, n = _sums(*_grouped(of * v + c, mask))
-        pair, c = pairs[key // v] if len(key) else key, key % v
-        tails, of_tail = np.unique(pair % v * v + c, return_inverse=True)
-        keep = passes(tails)[of_tail]
-        yield [names[p // v] + b" " + names[p % v] + b" " + names[w] for p, w in zip(pair[keep].tolist(), c[keep].tolist())], n[keep]
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """(language, layout, names) of runs of texts."""
-    held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
+        keep = may_be_frequent(a, b)
+        pairs, of = np.unique(a[keep] * v + b[keep], return_inverse=True)
+        of, c, _, mask = maps.extend(of, block[keep], mask[keep])
+        keep = may_be_frequent(pairs[of] % v, c) if len(of) else np.zeros(0, bool)
+        key, n = _sums(*_grouped(of[keep] * v + c[keep], mask[keep]))
+        pair = pairs[key // v] if len(key) else key
+        yield (pair // v, pair % v, key % v), n
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+    """(language, ids, names) of runs of texts."""
+    held: dict[str, list[bytes]] = {}
     size = 0
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-            words, laid = held.setdefault(lang, (Vocabulary(), []))
-            laid.append(words.layout(text or b""))
-            size += len(laid[-1])
-            if size >= SHARD_WORDS:
-                yield from ((k, np.concatenate(x), list(w)) for k, (w, x) in held.items())
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+            held.setdefault(lang, []).append(text.as_py() or b"")
+            size += len(held[lang][-1])
+            if size >= SHARD_BYTES:
+                yield from ((k, *layout(x)) for k, x in held.items())
                 held, size = {}, 0
-    yield from ((k, np.concatenate(x), list(w)) for k, (w, x) in held.items())
+    yield from ((k, *layout(x)) for k, x in held.items())
+
+
+def _batch(lang: str, phrases: pa.Array, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int32))), phrases, pa.array(n, pa.int64())], ["lang", "phrase", "a"])
 
 
-def _batch(lang: str, phrases: list, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
+def _named(names: pa.Array, words: tuple[np.ndarray, ...]) -> pa.Array:
+    """The words of phrases, joined by blanks."""
+    taken = [names.take(pa.array(w)) for w in words]
+    return pc.binary_join_element_wise(*taken, " ") if len(taken) > 1 else taken[0]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, ids, names in _shards(batches):
-        yield _batch(lang, [None], [int((ids > GAP).sum())])
-        for phrases, n in count_pairs(ids, names):
-            yield _batch(lang, phrases, n)
+        yield _batch(lang, pa.nulls(1, pa.string()), [int(np.count_nonzero(ids))])
+        for words, n in count_pairs(ids, len(names)):
+            yield _batch(lang, _named(names, words), n)
 
 
 def _triples(bits: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = bits.value
+    known = bits.value
     for lang, ids, names in _shards(batches):
         prefix = f"{lang}\t".encode()
+        hashes = np.array([xxhash.xxh64_intdigest(prefix + w, seed=42) for w in names.cast(pa.binary()).to_pylist()], np.uint64)
+        turned = (hashes << np.uint64(TURN)) | (hashes >> np.uint64(64 - TURN))
 
-        def may_be_frequent(pair: bytes) -> bool:
-            h = xxhash.xxh64_intdigest(prefix + pair, seed=42)  # noqa: B023  used before the next shard
-            return bool(int(words[h & (len(words) - 1)]) >> (h >> 58) & 1)
+        def may_be_frequent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            h = turned[a] ^ hashes[b]  # noqa: B023  used before the next shard
+            return (known[h & np.uint64(len(known) - 1)] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
 
-        for phrases, n in count_triples(ids, names, may_be_frequent):
-            yield _batch(lang, phrases, n)
+        for words, n in count_triples(ids, len(names), may_be_frequent):
+            yield _batch(lang, _named(names, words), n)
 
 
 def frequent_filter(pairs: DataFrame) -> Broadcast:
-    """A bit for each (lang, phrase) of pairs, in at most FILTER_WORDS 64-bit words whatever their number; other phrases may share bits."""
+    """A bit for each (lang, phrase of two words) of pairs, in at most FILTER_WORDS 64-bit words whatever their number; other phrases may share bits."""
     want = pairs.count() // 4
     size = 1
     while size < min(want, FILTER_WORDS):
         size *= 2
-    hashed = pairs.select(F.xxhash64(F.concat("lang", F.lit("\t"), "phrase")).alias("h"))
+    word = lambda k: F.xxhash64(F.concat("lang", F.lit("\t"), F.split("phrase", " ")[k]))
+    turned = pairs.select(word(0).alias("a"), word(1).alias("b"))
+    hashed = turned.select(F.shiftleft("a", TURN).bitwiseOR(F.shiftrightunsigned("a", 64 - TURN)).bitwiseXOR(F.col("b")).alias("h"))
     set_bits = hashed.select(F.col("h").bitwiseAND(size - 1).alias("i"), F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))").alias("bit"))
     found = set_bits.groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most `size` rows
     words = np.zeros(size, np.uint64)

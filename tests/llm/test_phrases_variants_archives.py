@@ -66,7 +66,7 @@ def test_phrases_equal_brute_force(spark, monkeypatch):
 
 
 def test_phrases_of_many_shards_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "SHARD_WORDS", 100)
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 100)
     monkeypatch.setattr(phrases, "FILTER_WORDS", 1)  # a filter that passes all
     docs = [("en", "one two three four. " * 3000), ("en", " ".join(f"n{k % 7} n{k % 11}" for k in range(20000)))] + [("en", "one two")] * 30
     assert sorted(tuple(r) for r in phrases.collocations(phrase_frame(spark, docs)).collect()) == brute_phrases(docs)
