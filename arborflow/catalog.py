@@ -17,8 +17,8 @@ from arborflow.operators import histogram as H
 from arborflow.operators import layout, partition, splits
 from arborflow.params import Params
 from arborflow.plans import predict as P
-from arborflow.plans import trainer
-from arborflow.plans.tree import by_bin, node_id
+from arborflow.plans import trainer, vertical
+from arborflow.plans.tree import Node, Tree, by_bin, node_id
 from arborflow.sources import text
 from arborflow.workers import ensure_importable
 
@@ -388,10 +388,23 @@ def tre_20(spark, d):
 @query("tre_21_predefined_structure", f"{RB}, {G0}, {sqlgen.level('grad', '')} SELECT 0 AS nid, 2 AS fid, bid, round(abs(gain), 6) AS gain FROM (SELECT *, row_number() OVER (ORDER BY abs(gain) DESC, bid) AS r FROM gains WHERE fid = 2) WHERE r = 1")
 def tre_21(spark, d):
     rows, c = frame_of(spark, d)
-    hist = H.structured_histogram(rows, spark.createDataFrame([(0, 2)], "nid int, fid int"))
+    hist = H.structured_histogram(rows, {0: 2})
     return splits.best_splits(splits.with_gain(hist, H.node_sums(rows), 1.0, 1.0)).select("nid", "fid", "bid", (F.round("gain", 6) + 0.0).alias("gain"))
 
 
+PASSED = f"""{W}, long1 AS (SELECT * FROM long WHERE fid <> 0), {sqlgen.cuts("range", BINS, "long1", "1")}, {G0}, structure AS (SELECT * FROM (VALUES (0, 1), (1, 0), (2, 3), (3, 2), (5, 4)) v(nid, fid)), passing AS (SELECT nid FROM structure WHERE fid NOT IN (SELECT fid FROM cuts1)),
+ {sqlgen.tree("grad", 3, lam=0.0, bins="bins1", structure="structure", passing="passing")} SELECT nid::INTEGER AS nid, round(weight, 6) AS weight, count(*)::BIGINT AS n, min(row_id)::BIGINT AS first_row FROM leaf GROUP BY nid, weight"""
+
+
+@query("tre_22_pass_through", PASSED)
+def tre_22(spark, d):
+    """A predefined structure over rows that lack one of its features: that node hands all rows on to the next."""
+    rows = rows_of(spark, d).withColumn("features", F.filter("features", lambda c: c["fid"] != 0))
+    c = trainer.propose_cuts(rows, N, RANGE)
+    b = trainer.gradients(trainer.binned(rows, c).withColumn("margins", F.array(F.lit(0.0))), RANGE, 0).persist(StorageLevel.MEMORY_AND_DISK)
+    return _leaves(spark, b, trainer.Grower(b, RANGE.replace(reg_lambda=0.0), c, 1).grow(structure={0: 1, 1: 0, 2: 3, 3: 2, 5: 4}))
+
+
 # merges
 
 
@@ -484,12 +497,33 @@ def trn_2_sa(spark, d):
 
 @query("trn_3_vertical", _trained_sql(DB))
 def trn_3(spark, d):
-    return _training_margins(spark, d, BASE.replace(mode="vertical", n_parties=2))
+    """Two parties with three features each, the second with the labels; their features never meet in a frame."""
+    t = feature_table(spark, d)
+    parts = [text.from_columns(t, "row_id", y, [f"f{k}" for k in range(a, a + 3)]) for a, y in ((0, None), (3, "y"))]
+    _, out = vertical.train_vertical(parts, BASE.replace(mode="vertical", n_parties=2), [3, 3])
+    return out.select("row_id", F.round(F.col("margins")[0], 6).alias("margin"))
+
+
+#: Party 1 lacks feature 0, which party 0's own tree splits.
+HYBRID = BASE.replace(mode="hybrid", n_parties=2, n_trees=1, depth=2, reg_lambda=0.0)
+
+
+def _hybrid_sql() -> str:
+    out = [W]
+    for p in range(2):
+        out += [f"long{p} AS (SELECT * FROM long WHERE row_id % 2 = {p}{' AND fid <> 0' if p else ''})", sqlgen.cuts("distinct", BINS, f"long{p}", str(p)), f"grad{p} AS (SELECT row_id, round((0.0::DOUBLE - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat WHERE row_id % 2 = {p})"]
+        out.append(sqlgen.tree(f"grad{p}", 2, f"_l{p}", 0.0, bins=f"bins{p}"))
+    out.append(sqlgen.merged_structure(["_l0", "_l1"], ["grad0", "grad1"]))
+    for p in range(2):
+        out += [f"passing{p} AS (SELECT nid FROM structure WHERE fid NOT IN (SELECT fid FROM cuts{p}))", sqlgen.tree(f"grad{p}", 2, f"_h{p}", 0.0, bins=f"bins{p}", structure="structure", passing=f"passing{p}"), sqlgen.routed(f"grad{p}", 2, f"_h{p}", f"w{p}", f"cuts{p}", passing=f"passing{p}")]
+    return f"{', '.join(out)} SELECT row_id, round(0.5 * weight, 6) AS margin FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1)"
 
 
-@query("trn_4_hybrid")
+@query("trn_4_hybrid", _hybrid_sql())
 def trn_4(spark, d):
-    return _margins(trainer.train(rows_of(spark, d, 2), BASE.replace(mode="hybrid", n_parties=2, n_trees=1)), spark, d)
+    """Each row by its own party's forest, over the structure merged from both."""
+    rows = rows_of(spark, d, 2).withColumn("features", F.filter("features", lambda c: ~((F.col("party_id") == 1) & (c["fid"] == 0))))
+    return P.margins_by_party(rows, trainer.train(rows, HYBRID)).select("row_id", F.round(F.col("margins")[0], 6).alias("margin"))
 
 
 def _own_trees(n: int) -> str:
@@ -508,9 +542,10 @@ def trn_5(spark, d):
 
 @query("trn_6_solo", f"{_own_trees(2)} SELECT (row_id % 2)::INTEGER AS party_id, round(sqrt(avg((0.5 * w - y) * (0.5 * w - y))), 6) AS rmse FROM (SELECT row_id, y, CASE WHEN row_id % 2 = 0 THEN w0.weight ELSE w1.weight END AS w FROM feat JOIN w0 USING (row_id) JOIN w1 USING (row_id)) GROUP BY 1")
 def trn_6(spark, d):
-    forests = trainer.train(rows_of(spark, d, 2), BASE.replace(mode="solo", n_parties=2, n_trees=1))
     rows = rows_of(spark, d, 2)
-    return spark.createDataFrame([(k, round(P.score(rows.where(F.col("party_id") == k), f), 6)) for k, f in enumerate(forests)], "party_id int, rmse double")
+    scored = P.margins_by_party(rows, trainer.train(rows, BASE.replace(mode="solo", n_parties=2, n_trees=1)))
+    e = F.col("margins")[0] - F.col("y")
+    return scored.groupBy("party_id").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"))
 
 
 BAGGED = f"""{DB}, g0 AS (SELECT row_id, round((0.0::DOUBLE - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat WHERE {sqlgen.hashed(42, "row_id")} % 2 = 0), {sqlgen.tree("g0", 3, "_a")}, {sqlgen.routed("feat", 3, "_a", "ma", bins="bins")},
@@ -557,6 +592,43 @@ def prd_5(spark, d):
     return P.predict_leaves(rows_of(spark, d), _stump(spark, d)).select("row_id", F.col("leaves")[0][0].alias("leaf"))
 
 
+#: Where a large forest made by rule cuts each feature, from and how far.
+SPANS = [(-1000, 11000), (0, 25), (1, 12), (1, 31), (1, 5), (1, 4)]
+LARGE_TREES, LARGE_DEPTH = 40, 6
+
+
+def large_forest() -> trainer.Forest:
+    """40 trees of depth 6 by rule: 2,560 leaves, whose weights are 64ths, so sums are exact in any order."""
+    trees = []
+    for t in range(LARGE_TREES):
+        tree = Tree(0, 0, 1.0)
+        for nid in range(2 ** (LARGE_DEPTH + 1) - 1):
+            lo, far = SPANS[(t + nid) % N]
+            leaf = nid >= 2**LARGE_DEPTH - 1
+            tree.nodes[nid] = Node(nid, 0, 0, weight=((31 * t + 17 * nid) % 101 - 50) / 64, fid=-1 if leaf else (t + nid) % N, cut=lo + far * ((7 * t + 13 * nid) % 16) / 16, default_right=(t + nid) % 2 == 1, is_leaf=leaf)
+        trees.append([tree])
+    return trainer.Forest(BASE.replace(n_trees=LARGE_TREES, depth=LARGE_DEPTH, learning_rate=0.5), trees, N)
+
+
+def _large_sql() -> str:
+    spans = ", ".join(f"({k}, {lo}, {far})" for k, (lo, far) in enumerate(SPANS))
+    out = [f"{W}, span AS (SELECT * FROM (VALUES {spans}) v(fid, lo, far))", f"node AS (SELECT t, nid, fid, lo + far * ((7 * t + 13 * nid) % 16) / 16.0::DOUBLE AS cut, (t + nid) % 2 = 1 AS dr FROM range({LARGE_TREES}) a(t), range({2**LARGE_DEPTH - 1}) b(nid) JOIN span ON span.fid = (t + nid) % {N})"]
+    out.append(f"at_0 AS (SELECT row_id, t, 0 AS nid FROM feat, range({LARGE_TREES}) a(t))")
+    out += [f"at_{k + 1} AS (SELECT a.row_id, a.t, 2 * a.nid + CASE WHEN coalesce(l.val - n.cut >= -1e-6, n.dr) THEN 2 ELSE 1 END AS nid FROM at_{k} a JOIN node n ON n.t = a.t AND n.nid = a.nid LEFT JOIN long l ON l.row_id = a.row_id AND l.fid = n.fid)" for k in range(LARGE_DEPTH)]
+    return ", ".join(out)
+
+
+@query("prd_1_large_forest", f"{_large_sql()} SELECT row_id, round(sum(0.5 * ((31 * t + 17 * nid) % 101 - 50) / 64.0::DOUBLE), 6) AS margin FROM at_{LARGE_DEPTH} GROUP BY row_id")
+def prd_1_large(spark, d):
+    return _margins(large_forest(), spark, d)
+
+
+@query("prd_5_large_forest", f"{_large_sql()} SELECT row_id, string_agg(nid::VARCHAR, ',' ORDER BY t) AS leaves FROM at_{LARGE_DEPTH} GROUP BY row_id")
+def prd_5_large(spark, d):
+    leaves = F.transform(F.flatten("leaves"), lambda x: x.cast("string"))
+    return P.predict_leaves(rows_of(spark, d), large_forest()).select("row_id", F.array_join(leaves, ",").alias("leaves"))
+
+
 @query("prd_7_score", f"{PRD} SELECT round(sqrt(avg((0.5 * weight - y) * (0.5 * weight - y))), 6) AS rmse FROM w JOIN feat USING (row_id)")
 def prd_7(spark, d):
     return metrics.rmse(P.margins(rows_of(spark, d), _stump(spark, d)).withColumn("margin", F.col("margins")[0])).select(F.round("rmse", 6).alias("rmse"))

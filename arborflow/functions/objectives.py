@@ -77,32 +77,35 @@ def needs_groups(name: str) -> bool:
     return name.startswith("rank:")
 
 
-def needs_labels_in_order(name: str) -> bool:
-    return name.startswith(("binary:", "multi:"))
-
-
 def rank_gradients(rows: DataFrame, ndcg: bool = False, seed: int = 0) -> DataFrame:
     """(row_id, g, h) of LambdaRank over rows (row_id, group_id, y, margin).
 
-    Within a group each row meets one row of another label, the next in hash
-    order that has one, so a group costs a sort and not all its pairs. The pair
-    pushes the better row up and the other down by |delta| / (1 + exp(s_hi - s_lo)).
+    Within a group each row meets one row of another label, drawn evenly from all
+    of them: in order of labels a row's own label fills one run of places, so a
+    number below the count of the others, taken from the row's hash, names a
+    place outside that run, and an equi-join finds who stands there. A group
+    costs a sort, whatever its size and labels. The pair pushes the better row
+    up and the other down by |delta| / (1 + exp(s_hi - s_lo)). A row whose group
+    has one label gets zeros.
     """
-    by = Window.partitionBy("group_id")
-    ranked = rows.select("row_id", "group_id", "y", "margin", (F.row_number().over(by.orderBy(F.desc("margin"), "row_id")) - 1).alias("rank"))
-    ideal = F.row_number().over(by.orderBy(F.desc("y"), "row_id")) - 1
+    by, alike = Window.partitionBy("group_id"), Window.partitionBy("group_id", "y")
     gain = lambda y: F.pow(F.lit(2.0), y) - 1
     discount = lambda r: F.log2(r + 2.0)
-    ranked = ranked.withColumn("idcg", F.sum(gain(F.col("y")) / discount(ideal)).over(by)) if ndcg else ranked.withColumn("idcg", F.lit(1.0))
-    chain = by.orderBy(hash_number(seed, F.col("row_id")), "row_id")
-    me = F.struct("row_id", "y", "margin", "rank")
-    following = chain.rowsBetween(1, Window.unboundedFollowing)
-    runs = ranked.withColumn("me", me).withColumn("next", F.lead("me").over(chain))
-    jump = F.first(F.when(F.col("next.y") != F.col("y"), F.col("next")), ignorenulls=True)
-    partner = F.coalesce(F.when(F.col("next.y") != F.col("y"), F.col("next")), jump.over(following))
-    start = F.first(F.when(F.col("next.y") != F.col("y"), F.col("me")), ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pairs = runs.withColumn("other", F.coalesce(partner, F.when(start["y"] != F.col("y"), start))).where(F.col("other").isNotNull())
-    hi, lo = F.when(F.col("y") > F.col("other.y"), F.col("me")).otherwise(F.col("other")), F.when(F.col("y") > F.col("other.y"), F.col("other")).otherwise(F.col("me"))
+    up = by.orderBy("y", "row_id")
+    placed = rows.select("row_id", "group_id", "y", "margin", (F.row_number().over(up) - 1).alias("place"), (F.rank().over(by.orderBy("y")) - 1).alias("start"), F.count("*").over(alike).alias("same"), F.count("*").over(by).alias("n"))
+    if ndcg:
+        placed = placed.withColumn("rank", F.row_number().over(by.orderBy(F.desc("margin"), "row_id")) - 1)
+        ideal = F.row_number().over(by.orderBy(F.desc("y"), "row_id")) - 1
+        placed = placed.withColumn("ideal", ideal).withColumn("idcg", F.sum(gain(F.col("y")) / discount(F.col("ideal"))).over(by)).drop("ideal")
+    else:
+        placed = placed.withColumns({"rank": F.lit(0), "idcg": F.lit(1.0)})
+    drawn = F.pmod(hash_number(seed, F.col("row_id")), F.col("n") - F.col("same"))
+    met = F.when(drawn < F.col("start"), drawn).otherwise(drawn + F.col("same"))
+    mine = placed.where("n > same").select("group_id", met.cast("int").alias("place"), "idcg", F.struct("row_id", "y", "margin", "rank").alias("me"))
+    others = placed.where("n > same").select("group_id", "place", F.struct("row_id", "y", "margin", "rank").alias("other"))
+    pairs = mine.join(others, ["group_id", "place"])
+    above = F.col("me.y") > F.col("other.y")
+    hi, lo = F.when(above, F.col("me")).otherwise(F.col("other")), F.when(above, F.col("other")).otherwise(F.col("me"))
     pairs = pairs.select("idcg", hi.alias("hi"), lo.alias("lo"))
     rho = 1 / (1 + F.exp(F.col("hi.margin") - F.col("lo.margin")))
     swap = F.abs((gain(F.col("hi.y")) - gain(F.col("lo.y"))) * (1 / discount(F.col("hi.rank")) - 1 / discount(F.col("lo.rank"))))

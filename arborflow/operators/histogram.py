@@ -40,10 +40,11 @@ def with_siblings(small: DataFrame, parents: DataFrame, family: list[tuple[int,
     return cells.agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).where("n > 0")
 
 
-def structured_histogram(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The histogram of the (nid, fid) pairs of a predefined structure only."""
-    cells = rows.select("nid", "g", "h", F.posexplode("bins").alias("fid", "bid")).where(F.col("bid").isNotNull())
-    return cells.join(F.broadcast(wanted.select("nid", "fid")), ["nid", "fid"]).groupBy("nid", "fid", "bid").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))  # wanted: a row for each node of a tree
+def structured_histogram(rows: DataFrame, wanted: dict[int, int]) -> DataFrame:
+    """The histogram of the feature that a predefined structure gives each node, wanted[nid]; a row is one cell, whatever the number of features."""
+    fid = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("nid")]
+    cells = rows.where(F.col("nid").isin(list(wanted))).select("nid", "g", "h", fid.alias("fid"), F.get("bins", fid).alias("bid"))
+    return cells.where("bid is not null").groupBy("nid", "fid", "bid").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
 def node_histogram(rows: DataFrame) -> DataFrame:

@@ -36,11 +36,10 @@ def dense(features: Column, n: int) -> Column:
 
 
 def values_of(features: Column, fids: Sequence[int]) -> Column:
-    """ARRAY<DOUBLE> of the values of some features, in the order given, null where absent."""
+    """ARRAY<DOUBLE> of the values of some features, in the order given, null where absent; of a feature's several entries the last counts."""
     if not len(fids):
         return F.array().cast("array<double>")
-    as_map = F.map_from_entries(features)
-    return F.array(*[F.try_element_at(as_map, F.lit(f)) for f in fids])
+    return F.array(*[F.try_element_at(F.filter(features, lambda c: c["fid"] == f), F.lit(-1))["val"] for f in fids])  # noqa: B023  called at once
 
 
 def with_values(rows: DataFrame, n: int) -> DataFrame:

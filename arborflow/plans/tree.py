@@ -27,6 +27,7 @@ class Node:
     default_right: bool = False
     is_leaf: bool = True
     is_pruned: bool = False
+    passes: bool = False  # hands all rows on to the left child
 
 
 def leaf_weight(g: float, h: float, reg_lambda: float) -> float:
@@ -55,6 +56,13 @@ class Tree:
             self.nodes[i] = Node(i, g, h, 0, leaf_weight(g, h, self.reg_lambda))
         return True
 
+    def pass_on(self, nid: int, fid: int) -> None:
+        """Make a leaf hand all its rows on to its left child, where a predefined structure names a feature that no row here has."""
+        node = self.nodes[nid]
+        node.fid, node.is_leaf, node.passes = fid, False, True
+        self.nodes[2 * nid + 1] = Node(2 * nid + 1, node.g, node.h, node.n, node.weight)
+        self.nodes[2 * nid + 2] = Node(2 * nid + 2, 0, 0, 0, leaf_weight(0, 0, self.reg_lambda))
+
     def prune(self, gamma: float) -> int:
         """Bottom-up: a split of two leaves whose gain is under gamma becomes a leaf. Returns how many did."""
         count = 0
@@ -63,7 +71,7 @@ class Tree:
             if not node.is_leaf and not node.is_pruned:
                 kids = [self.nodes[2 * nid + 1], self.nodes[2 * nid + 2]]
                 if all(k.is_leaf for k in kids) and node.gain < gamma:
-                    node.is_leaf = True
+                    node.is_leaf, node.passes = True, False
                     for k in kids:
                         k.is_pruned = True
                     count += 1
@@ -81,6 +89,8 @@ class Tree:
         node = self.nodes[nid]
         if node.is_leaf:
             return leaf(node)
+        if node.passes:
+            return self.fold(go_right, leaf, 2 * nid + 1)
         return F.when(go_right(node), self.fold(go_right, leaf, 2 * nid + 2)).otherwise(self.fold(go_right, leaf, 2 * nid + 1))
 
     def dump(self, depth: int | None = None) -> str:
@@ -93,6 +103,10 @@ class Tree:
                 out.append(f"{pad}{nid}:leaf={node.weight:.6g}")
             else:
                 left, right = 2 * nid + 1, 2 * nid + 2
+                if node.passes:
+                    out.append(f"{pad}{nid}:[f{node.fid + 1} absent] all={left}")
+                    walk(left, level + 1)
+                    return
                 out.append(f"{pad}{nid}:[f{node.fid + 1}<{node.cut:.6g}] yes={left},no={right},missing={right if node.default_right else left}")
                 walk(left, level + 1)
                 walk(right, level + 1)
@@ -122,6 +136,43 @@ def node_id(tree: Tree, cond) -> Column:
     return tree.fold(cond, lambda x: F.lit(x.nid))
 
 
+def by_tree(tid: Column, n: int, value) -> Column:
+    """value(t) of the tree t that tid names, found by halving."""
+
+    def pick(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return value(lo)
+        mid = (lo + hi) // 2
+        return F.when(tid < mid, pick(lo, mid)).otherwise(pick(mid, hi))
+
+    return pick(0, n)
+
+
+#: Leaves beyond which generated code would be too long.
+CASE_LEAVES = 400
+
+
+def node_number(trees: list[Tree], tid: Column, stride: int, bins: str = "bins") -> Column:
+    """tid x stride + the node that a row of bins is in: one nested CASE, or for many leaves a walk over arrays of the nodes."""
+    if sum(len(t.leaves()) for t in trees) <= CASE_LEAVES:
+        return by_tree(tid, len(trees), lambda t: trees[t].fold(by_bin(bins), lambda x: F.lit(t * stride + x.nid)))
+    fid, bid, right = [-1] * (len(trees) * stride), [0] * (len(trees) * stride), [False] * (len(trees) * stride)
+    for t, tree in enumerate(trees):
+        for x in tree.nodes.values():
+            if not x.is_leaf and not x.is_pruned:
+                at = t * stride + x.nid
+                fid[at], bid[at], right[at] = max(0, x.fid), -1 if x.passes else x.bid, x.default_right and not x.passes
+    fids, bids, rights = F.lit(fid), F.lit(bid), F.lit(right)
+    base = (tid * stride).cast("int")
+
+    def step(at: Column, _: Column) -> Column:
+        go = F.when(F.coalesce(F.get(F.col(bins), fids[at]) <= bids[at], rights[at]), 2).otherwise(1)
+        return F.when(fids[at] < 0, at).otherwise(2 * at - base + go).cast("int")
+
+    levels = max(x.nid + 1 for t in trees for x in t.nodes.values()).bit_length() - 1
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, levels))), base, step)
+
+
 def node_weight(tree: Tree, cond, rate: float) -> Column:
     return tree.fold(cond, lambda x: F.lit(float(rate * x.weight)))
 

@@ -12,7 +12,7 @@ from arborflow.params import Params
 from arborflow.plans.trainer import Forest
 from arborflow.plans.tree import Node, Tree
 
-NODES = "round int, k int, nid int, g long, h long, n long, weight double, gain double, fid int, bid int, cut double, default_right boolean, is_leaf boolean, is_pruned boolean"
+NODES = "round int, k int, nid int, g long, h long, n long, weight double, gain double, fid int, bid int, cut double, default_right boolean, is_leaf boolean, is_pruned boolean, passes boolean"
 
 
 def forest_frame(spark: SparkSession, forest: Forest) -> DataFrame:
@@ -35,7 +35,7 @@ def load_model(spark: SparkSession, path: str) -> Forest:
     trees: dict[tuple[int, int], Tree] = {}
     for r in spark.read.parquet(f"{path}/nodes").collect():  # a model is small by its depth and rounds
         tree = trees.setdefault((r["round"], r.k), Tree(0, 0, params.reg_lambda))
-        tree.nodes[r.nid] = Node(**{f.name: r[f.name] for f in dataclasses.fields(Node)})
+        tree.nodes[r.nid] = Node(**{f.name: r[f.name] for f in dataclasses.fields(Node) if f.name in r})
     rounds = max((k[0] for k in trees), default=-1) + 1
     return Forest(params, [[trees[r, k] for k in range(params.classes)] for r in range(rounds)], meta["n_features"], meta["cuts"], widths=meta.get("widths"))
 

@@ -16,16 +16,27 @@ RUN_BLOCK = 1 << 18
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def _scanned(spark: SparkSession, paths: str | Sequence[str], read, make) -> DataFrame:
+    """make(read(path)) of every path with __file (its place, or its name in a folder) and __at (of the part of the file)."""
+    out = None
+    for k, p in enumerate([paths] if isinstance(paths, str) else paths):
+        one = read(p)
+        one = make(one.select("*", F.struct(F.lit(k).alias("k"), F.col("_metadata.file_path").alias("path")).alias("__file"), F.col("_metadata.file_block_start").alias("__at")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
-    """value with row_id: its place among all lines, in order of files, then of places in them.
+    """lines (value, __file, __at) as (row_id, value): the place among all lines, in order of paths, of file names in a folder, and of places in a file.
 
-    Ids come from a count by input partition, so no single task sees all rows.
+    Spark packs parts of files in an order of its own, so ids come from a count
+    by part of a file; no single task sees all rows.
     """
-    tagged = lines.select("value", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
-    sizes = tagged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__m").alias("base"))
-    before = F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each input partition
-    starts = sizes.select("__p", "base", F.coalesce(before, F.lit(0)).alias("start"))
-    return tagged.join(F.broadcast(starts), "__p").select((F.col("start") + F.col("__m") - F.col("base")).alias("row_id"), "value")
+    tagged = lines.select("value", "__file", "__at", F.monotonically_increasing_id().alias("__m"))
+    sizes = tagged.groupBy("__file", "__at").agg(F.count("*").alias("n"), F.min("__m").alias("base"))
+    before = F.sum("n").over(Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part of a file
+    starts = sizes.select("__file", "__at", "base", F.coalesce(before, F.lit(0)).alias("start"))
+    return tagged.join(F.broadcast(starts), ["__file", "__at"]).select((F.col("start") + F.col("__m") - F.col("base")).alias("row_id"), "value")  # starts: a row for 128 MB of text
 
 
 def read_libsvm(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -34,7 +45,7 @@ def read_libsvm(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     `#` starts a comment; blank lines are skipped; a line that begins with a pair
     is unlabelled (y null); later tokens that are not number:number are ignored.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("value")).where("value <> ''")
+    lines = _scanned(spark, path, spark.read.text, lambda t: t.withColumn("value", F.trim(F.regexp_replace("value", "#.*$", ""))).where("value <> ''"))
     tokens = F.split("value", r"\s+")
     numbered = _numbered(lines).withColumn("tokens", tokens)
     label = F.col("tokens")[0]
@@ -56,7 +67,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     features = F.filter(cells, lambda c: c["val"].isNotNull()) if len(head) > skip else F.array().cast(FEATURES)
     if head[0] == "id":
         return raw.select(F.col("id").cast("long").alias("row_id"), label.alias("y"), features.alias("features"))
-    return _numbered(raw.select(F.struct(label.alias("y"), features.alias("features")).alias("value"))).select("row_id", "value.*")
+    cells = lambda t: t.select(F.struct(label.alias("y"), features.alias("features")).alias("value"), "__file", "__at")
+    return _numbered(_scanned(spark, path, lambda p: spark.read.csv(p, header=True, inferSchema=False), cells)).select("row_id", "value.*")
 
 
 def read_csc(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -79,7 +91,7 @@ def from_columns(df: DataFrame, row_id: str, y: str | None, features: Sequence[s
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """A file of run lengths as (group_id, start, stop): rows start <= row_id < stop belong together."""
-    runs = _numbered(spark.read.text(path)).select("row_id", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "n")).where("n <> ''")
+    runs = _numbered(_scanned(spark, path, spark.read.text, lambda t: t)).select("row_id", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "n")).where("n <> ''")
     runs = runs.select("row_id", "at", F.col("n").cast("long").alias("n"), F.lit(1).alias("one"))
     numbered = running_sum(running_sum(runs, "row_id", "one", ["at"], "group_id"), "row_id", "n", ["at"], "start")
     return numbered.select("group_id", "start", (F.col("start") + F.col("n")).alias("stop"))

@@ -31,8 +31,8 @@ def _gain(lg: str, lh: str, rg: str, rh: str, lam: float, mcw: float) -> str:
     return f"(CASE WHEN ({lh}) / 1000000.0::DOUBLE >= {mcw} AND ({rh}) / 1000000.0::DOUBLE >= {mcw} THEN greatest({raw}, 0) ELSE 0 END)"
 
 
-def level(src: str, tag: str, lam: float = 1.0, mcw: float = 1.0, bins: str = "bins") -> str:
-    """CTEs hist, gains and best of the rows (row_id, nid, g, h) of CTE src, with names ending in tag."""
+def level(src: str, tag: str, lam: float = 1.0, mcw: float = 1.0, bins: str = "bins", structure: str = "") -> str:
+    """CTEs hist, gains and best of the rows (row_id, nid, g, h) of CTE src, with names ending in tag. structure: a CTE (nid, fid) of the only feature of each node."""
     left = _gain("pg - rg", "ph - rh", "rg", "rh", lam, mcw)
     right = _gain("pg - rg - mg", "ph - rh - mh", "rg + mg", "rh + mh", lam, mcw)
     return f"""hist{tag} AS (SELECT nid, fid, bid, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h FROM {src} JOIN {bins} USING (row_id) GROUP BY nid, fid, bid),
@@ -40,17 +40,22 @@ def level(src: str, tag: str, lam: float = 1.0, mcw: float = 1.0, bins: str = "b
     pre{tag} AS (SELECT nid, fid, bid, g, h, pg, ph, (sum(g) OVER w)::BIGINT AS rg, (sum(h) OVER w)::BIGINT AS rh, (pg - sum(g) OVER a)::BIGINT AS mg, (ph - sum(h) OVER a)::BIGINT AS mh
       FROM hist{tag} JOIN node{tag} USING (nid) WINDOW w AS (PARTITION BY nid, fid ORDER BY bid ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY nid, fid)),
     gains{tag} AS (SELECT *, CASE WHEN gl > gr THEN gl ELSE -gr END AS gain FROM (SELECT *, {left} AS gl, {right} AS gr FROM pre{tag})),
-    best{tag} AS (SELECT nid, fid, bid, abs(gain) AS gain, NOT gain > 0 AS default_right, rg, rh, mg, mh FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY abs(gain) DESC, fid, bid) AS r FROM gains{tag}) WHERE r = 1)"""
+    best{tag} AS (SELECT nid, fid, bid, abs(gain) AS gain, NOT gain > 0 AS default_right, rg, rh, mg, mh FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY abs(gain) DESC, fid, bid) AS r FROM gains{tag}{f" JOIN {structure} USING (nid, fid)" if structure else ""}) WHERE r = 1)"""
 
 
-def tree(src: str, depth: int, tag: str = "", lam: float = 1.0, mcw: float = 1.0, bins: str = "bins") -> str:
-    """CTEs that grow a tree from src (row_id, g, h) and end in leaf<tag>(row_id, nid, weight)."""
+def tree(src: str, depth: int, tag: str = "", lam: float = 1.0, mcw: float = 1.0, bins: str = "bins", structure: str = "", passing: str = "") -> str:
+    """CTEs that grow a tree from src (row_id, g, h) and end in leaf<tag>(row_id, nid, weight).
+
+    structure: a CTE (nid, fid) of the only feature of each node; nodes not in it
+    are leaves. passing: a CTE (nid) of nodes that hand all rows to their left child.
+    """
+    here = f"WHEN r.nid IN (SELECT nid FROM {passing}) THEN 2 * r.nid + 1 " if passing else ""
     parts = [f"rows{tag}_0 AS (SELECT row_id, 0 AS nid, g, h FROM {src})"]
     for k in range(depth):
         at, nxt = f"rows{tag}_{k}", f"rows{tag}_{k + 1}"
         active = f"active{tag}_{k} AS (SELECT * FROM {at} WHERE nid >= {2**k - 1})"
-        parts += [active, level(f"active{tag}_{k}", f"{tag}_{k}", lam, mcw, bins)]
-        parts.append(f"""{nxt} AS (SELECT r.row_id, CASE WHEN s.nid IS NULL THEN r.nid WHEN coalesce(b.bid <= s.bid, s.default_right) THEN 2 * r.nid + 2 ELSE 2 * r.nid + 1 END AS nid, r.g, r.h
+        parts += [active, level(f"active{tag}_{k}", f"{tag}_{k}", lam, mcw, bins, structure)]
+        parts.append(f"""{nxt} AS (SELECT r.row_id, CASE {here}WHEN s.nid IS NULL THEN r.nid WHEN coalesce(b.bid <= s.bid, s.default_right) THEN 2 * r.nid + 2 ELSE 2 * r.nid + 1 END AS nid, r.g, r.h
           FROM {at} r LEFT JOIN (SELECT * FROM best{tag}_{k} WHERE gain > 1e-6) s ON r.nid = s.nid LEFT JOIN {bins} b ON b.row_id = r.row_id AND b.fid = s.fid)""")
     parts.append(f"""weights{tag} AS (SELECT nid, -(sum(g)::BIGINT / 1000000.0::DOUBLE) / (sum(h)::BIGINT / 1000000.0::DOUBLE + {lam}::DOUBLE) AS weight FROM rows{tag}_{depth} GROUP BY nid),
     leaf{tag} AS (SELECT row_id, nid, weight FROM rows{tag}_{depth} JOIN weights{tag} USING (nid))""")
@@ -72,17 +77,33 @@ def hashed(seed: int, *key: str) -> str:
     return f"('0x' || substr(md5(concat_ws(':', {', '.join(key)}, '{seed}')), 1, 12))::BIGINT"
 
 
-def routed(rows: str, depth: int, tag: str, name: str, cuts: str = "cuts", bins: str | None = None) -> str:
+def routed(rows: str, depth: int, tag: str, name: str, cuts: str = "cuts", bins: str | None = None, passing: str = "") -> str:
     """CTEs that end in <name>(row_id, weight): rows sent through the tree of tree(..., tag), by values or, if bins are named, by bins."""
+    here = f"WHEN r.nid IN (SELECT nid FROM {passing}) THEN 2 * r.nid + 1 " if passing else ""
     parts = [f"{name}_0 AS (SELECT row_id, 0 AS nid FROM {rows})"]
     go, values = ("b.bid <= s.bid", bins) if bins else ("b.val - s.cut >= -1e-6", "long")
     for k in range(depth):
-        parts.append(f"""{name}_{k + 1} AS (SELECT r.row_id, CASE WHEN s.nid IS NULL THEN r.nid WHEN coalesce({go}, s.default_right) THEN 2 * r.nid + 2 ELSE 2 * r.nid + 1 END AS nid
+        parts.append(f"""{name}_{k + 1} AS (SELECT r.row_id, CASE {here}WHEN s.nid IS NULL THEN r.nid WHEN coalesce({go}, s.default_right) THEN 2 * r.nid + 2 ELSE 2 * r.nid + 1 END AS nid
           FROM {name}_{k} r LEFT JOIN (SELECT * FROM best{tag}_{k} JOIN {cuts} USING (fid, bid) WHERE gain > 1e-6) s ON r.nid = s.nid LEFT JOIN {values} b ON b.row_id = r.row_id AND b.fid = s.fid)""")
     parts.append(f"{name} AS (SELECT row_id, coalesce(weight, 0) AS weight FROM {name}_{depth} LEFT JOIN weights{tag} USING (nid))")
     return ",\n".join(parts)
 
 
+def merged_structure(tags: list[str], sources: list[str], places: int = 3) -> str:
+    """CTE structure(nid, fid) for `places` nodes: parties' best splits of tree(..., tag) of depth 2, the one of largest gain for its party's share of rows first; a split may follow once its parent there was taken."""
+    items = " UNION ALL ".join(f"SELECT {p} AS p, nid, fid, gain * (SELECT sum(c) FROM totals) / (SELECT c FROM totals WHERE p = {p}) AS key FROM {best} WHERE gain > 1e-6" for p, tag in enumerate(tags) for best in (f"best{tag}_0", f"best{tag}_1"))
+    totals = " UNION ALL ".join(f"SELECT {p} AS p, count(*) AS c FROM {src}" for p, src in enumerate(sources))
+    parts = [f"totals AS ({totals})", f"items AS ({items})"]
+    taken = []
+    for k in range(places):
+        free = " AND ".join(f"(p, nid) NOT IN (SELECT (p, nid) FROM {t})" for t in taken)
+        ready = " OR ".join(["nid = 0", *(f"(p, (nid - 1) // 2) IN (SELECT (p, nid) FROM {t})" for t in taken)])
+        parts.append(f"pick_{k} AS (SELECT * FROM items WHERE ({ready}){' AND ' + free if free else ''} ORDER BY key DESC, p, nid LIMIT 1)")
+        taken.append(f"pick_{k}")
+    parts.append("structure AS (" + " UNION ALL ".join(f"SELECT {k} AS nid, fid FROM {t}" for k, t in enumerate(taken)) + ")")
+    return ",\n".join(parts)
+
+
 def pruned(gamma: float) -> str:
     """CTE final(row_id, nid): leaves of the tree of depth 3 of tree('grad', 3) after pruning splits of two leaves whose gain is under gamma."""
     keep = lambda k, below: f"kept_{k} AS (SELECT nid FROM best_{k} b WHERE gain > 1e-6 AND (gain >= {gamma}{below}))"
@@ -93,15 +114,13 @@ def pruned(gamma: float) -> str:
 
 
 def ranked(rows: str, ndcg: bool) -> str:
-    """CTEs that end in pushed(row_id, g, h) of rows (row_id, grp, y, s): the next row of another label in hash order is the partner."""
+    """CTEs that end in pushed(row_id, g, h) of rows (row_id, grp, y, s): a row's hash names its partner among the rows of other labels."""
     delta = "CASE WHEN idcg = 0 THEN 0 ELSE abs((2 ** hy - 2 ** ly) * (1 / log2(hr + 2.0::DOUBLE) - 1 / log2(lr + 2.0::DOUBLE))) / idcg END" if ndcg else "1.0::DOUBLE"
-    return f"""k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {hashed(0, "row_id")}, row_id) AS pos, row_number() OVER (PARTITION BY grp ORDER BY s DESC, row_id) - 1 AS r,
-      row_number() OVER (PARTITION BY grp ORDER BY y DESC, row_id) - 1 AS best FROM {rows}),
+    return f"""k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY s DESC, row_id) - 1 AS r, row_number() OVER (PARTITION BY grp ORDER BY y DESC, row_id) - 1 AS best FROM {rows}),
     ideal AS (SELECT grp, sum((2 ** y - 1) / log2(best + 2.0::DOUBLE)) AS idcg FROM k GROUP BY grp),
-    nxt AS (SELECT a.row_id, min(b.pos) AS pos FROM k a JOIN k b ON a.grp = b.grp AND b.pos > a.pos AND b.y <> a.y GROUP BY a.row_id),
-    turn AS (SELECT grp, min(pos) AS pos FROM (SELECT grp, pos, y, lead(y) OVER (PARTITION BY grp ORDER BY pos) AS ny FROM k) WHERE ny <> y GROUP BY grp),
-    pairs AS (SELECT a.grp, a.row_id AS arow, a.y AS ay, a.s AS s_a, a.r AS ar, b.row_id AS brow, b.y AS b_y, b.s AS bs, b.r AS br
-      FROM k a LEFT JOIN nxt USING (row_id) JOIN turn t ON t.grp = a.grp JOIN k b ON b.grp = a.grp AND b.pos = coalesce(nxt.pos, t.pos) AND b.y <> a.y),
+    others AS (SELECT a.y AS label, b.*, row_number() OVER (PARTITION BY a.grp, a.y ORDER BY b.y, b.row_id) - 1 AS nth FROM (SELECT DISTINCT grp, y FROM k) a JOIN k b ON b.grp = a.grp AND b.y <> a.y),
+    drawn AS (SELECT k.*, {hashed(0, "row_id")} % n AS nth FROM k JOIN (SELECT grp, label, count(*) AS n FROM others GROUP BY grp, label) c ON c.grp = k.grp AND c.label = k.y),
+    pairs AS (SELECT a.grp, a.row_id AS arow, a.y AS ay, a.s AS s_a, a.r AS ar, b.row_id AS brow, b.y AS b_y, b.s AS bs, b.r AS br FROM drawn a JOIN others b ON b.grp = a.grp AND b.label = a.y AND b.nth = a.nth),
     ends AS (SELECT idcg, CASE WHEN ay > b_y THEN arow ELSE brow END AS hi, CASE WHEN ay > b_y THEN brow ELSE arow END AS lo, greatest(ay, b_y) AS hy, least(ay, b_y) AS ly,
       CASE WHEN ay > b_y THEN s_a ELSE bs END AS hs, CASE WHEN ay > b_y THEN bs ELSE s_a END AS ls, CASE WHEN ay > b_y THEN ar ELSE br END AS hr, CASE WHEN ay > b_y THEN br ELSE ar END AS lr FROM pairs JOIN ideal USING (grp)),
     force AS (SELECT hi, lo, d * rho AS l, 2 * greatest(d * rho * (1 - rho), 1e-16) AS w FROM (SELECT *, {delta} AS d, 1 / (1 + exp(hs - ls)) AS rho FROM ends)),

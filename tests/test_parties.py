@@ -99,7 +99,7 @@ def test_merging_parties_own_cuts(spark):
 def test_subtraction_gives_the_same_tree(spark, monkeypatch):
     rows = table(spark)
     want = nodes(spark, trainer.train(rows, BASE.replace(mode="centralized", depth=4)))
-    monkeypatch.setattr(trainer.Grower, "level_histogram", lambda self, tree, level, active: self.histogram(tree, active))
+    monkeypatch.setattr(trainer.Grower, "level_histogram", lambda self, active: self.histogram(active))
     assert nodes(spark, trainer.train(rows, BASE.replace(mode="centralized", depth=4))) == want
 
 
