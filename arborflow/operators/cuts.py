@@ -17,6 +17,8 @@ from arborflow.operators.ranks import cells_of
 from arborflow.workers import ensure_importable
 
 SLACK = 1e-6
+#: Distinct values of a feature beyond which one task doesn't rank them all.
+LARGE = 1 << 20
 
 
 def feature_range(long: DataFrame, by: tuple[str, ...] = ("fid",)) -> DataFrame:
@@ -47,23 +49,50 @@ def range_cuts(ranges: DataFrame, max_bins: int) -> DataFrame:
 def distinct_cuts(long: DataFrame, max_bins: int, by: tuple[str, ...] = ("fid",)) -> DataFrame:
     """(fid[, party_id], bid, cut): every floor(distinct / max_bins)-th distinct value from the largest; all if there are fewer.
 
-    Values are placed by cells of approximate quantiles, of which the driver
-    reads a few for each feature, so no task ranks all values of a feature.
+    A feature's distinct values are ranked in one task up to about LARGE of them;
+    those of a larger feature, of which there is at most one for each LARGE
+    values, are dealt to cells of approximate quantiles first, and their places
+    follow from the cells' sizes.
     """
-    values = long.select(*by, "val").distinct()
+    values = long.select(*by, "val").where("val is not null").distinct()
+    large = [tuple(r)[:-1] for r in long.groupBy(*by).agg(F.approx_count_distinct("val").alias("n")).where(F.col("n") > LARGE).collect()]
+    whole = Window.partitionBy(*by)
+    if not large:
+        ranked = values.select(*by, "val", (F.row_number().over(whole.orderBy(F.desc("val"))) - 1).alias("place"), F.count("*").over(whole).alias("n"))
+        return _every_gap(ranked, max_bins, by)
     cells = cells_of(long)
-    bounds = values.groupBy(*by).agg(F.percentile_approx("val", [k / cells for k in range(1, cells)] or [0.5], 10 * cells).alias("bounds"), F.count("*").alias("n")).where("n > 0")
-    bounds = long.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
-    tagged = values.join(F.broadcast(bounds), list(by)).withColumn("cell", F.size(F.filter("bounds", lambda b: b > F.col("val")))).drop("bounds")
+    named = long.sparkSession.createDataFrame(large, values.select(*by).schema)
+    bounds = values.join(F.broadcast(named), list(by)).groupBy(*by).agg(F.percentile_approx("val", [k / cells for k in range(1, cells)] or [0.5], 10 * cells).alias("bounds"))
+    edges = {tuple(r)[:-1]: np.unique(r.bounds) for r in bounds.collect()}
+    schema = T.StructType([*values.schema, T.StructField("cell", T.IntegerType())])
+    ensure_importable(long.sparkSession)
+    tagged = values.mapInArrow(functools.partial(_cells, edges, by), schema)
+    sizes = tagged.groupBy(*by, "cell").count()  # a row for each feature and cell
+    start = sizes.select(*by, "cell", (F.sum("count").over(whole.orderBy("cell")) - F.col("count")).alias("start"), F.sum("count").over(whole).alias("n"))
     inside = F.row_number().over(Window.partitionBy(*by, "cell").orderBy(F.desc("val"))) - 1
-    sizes = tagged.groupBy(*by, "cell").count()
-    start = sizes.select(*by, "cell", (F.sum("count").over(Window.partitionBy(*by).orderBy("cell")) - F.col("count")).alias("start"))  # a row for each cell
-    ranked = tagged.withColumn("inside", inside).join(F.broadcast(start), [*by, "cell"]).withColumn("place", F.col("start") + F.col("inside"))
+    ranked = tagged.withColumn("inside", inside).join(start, [*by, "cell"]).select(*by, "val", (F.col("start") + F.col("inside")).alias("place"), "n")
+    return _every_gap(ranked, max_bins, by)
+
+
+def _every_gap(ranked: DataFrame, max_bins: int, by: tuple[str, ...]) -> DataFrame:
+    """Of values by place, the places that are multiples of the gap."""
     ranked = ranked.withColumn("gap", F.greatest(F.floor(F.col("n") / max_bins), F.lit(1)))
     kept = ranked.where((F.col("place") % F.col("gap") == 0) & ((F.col("place") / F.col("gap") < max_bins) | (F.col("n") < max_bins)))
     return kept.select(*by, (F.col("place") / F.col("gap")).cast("int").alias("bid"), F.col("val").alias("cut"))
 
 
+def _cells(edges: dict, by: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the number of bounds above each value, 0 for features without bounds."""
+    for b in batches:
+        value = b.column("val").to_numpy(zero_copy_only=False)
+        cell = np.zeros(b.num_rows, np.int32)
+        keys = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in by])
+        for key, own in edges.items():
+            here = np.flatnonzero((keys == np.array(key)[:, None]).all(axis=0))
+            cell[here] = len(own) - np.searchsorted(own, value[here], side="right")
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
+
+
 def quantile_cuts(long: DataFrame, max_bins: int, accuracy: int = 10_000) -> DataFrame:
     """(fid, bid, cut) at approximate quantiles: bounded memory for any number of values."""
     shares = [1 - k / max_bins for k in range(max_bins)]

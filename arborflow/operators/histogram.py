@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed point of gradients.
 UNIT = 1_000_000
+#: Nodes whose sums are looked up in a literal; more are joined.
+MAP_NODES = 256
 
 
 def fixed(x: Column) -> Column:
@@ -31,13 +33,12 @@ def with_siblings(small: DataFrame, parents: DataFrame, family: list[tuple[int,
     family: (parent, smaller child, other child). A cell travels twice, under its
     own node and subtracted under its sibling, so no join is needed.
     """
-    sibling = F.create_map(*[F.lit(x) for _, a, b in family for x in (a, b)])
-    other = F.create_map(*[F.lit(x) for p, _, b in family for x in (p, b)])
-    less = F.struct(sibling[F.col("nid")].alias("nid"), *[(-F.col(c)).alias(c) for c in ("g", "h", "n")])
-    both = small.select("fid", "bid", F.inline(F.array(F.struct("nid", "g", "h", "n"), less)))
-    up = parents.where(F.col("nid").isin([p for p, _, _ in family])).select("fid", "bid", other[F.col("nid")].alias("nid"), "g", "h", "n")
+    sibling = f"map({', '.join(f'{a}, {b}' for _, a, b in family)})[nid]"
+    other = f"map({', '.join(f'{p}, {b}' for p, _, b in family)})[nid]"
+    both = small.selectExpr("fid", "bid", f"inline(array(struct(nid, g, h, n), struct({sibling} AS nid, -g AS g, -h AS h, -n AS n)))")
+    up = parents.where(f"nid IN ({', '.join(str(p) for p, _, _ in family)})").selectExpr("fid", "bid", f"{other} AS nid", "g", "h", "n")
     cells = both.unionByName(up).repartition("nid", "fid").groupBy("nid", "fid", "bid")
-    return cells.agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).where("n > 0")
+    return cells.agg(F.expr("sum(g) AS g"), F.expr("sum(h) AS h"), F.expr("sum(n) AS n")).where("n > 0")
 
 
 def structured_histogram(rows: DataFrame, wanted: dict[int, int]) -> DataFrame:
@@ -60,15 +61,21 @@ def subtract(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 def prefix_sums(hist: DataFrame) -> DataFrame:
     """hist with rg, rh: sums over values >= the cut, the right child without missing rows."""
-    w = Window.partitionBy("nid", "fid").orderBy("bid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return hist.withColumns({"rg": F.sum("g").over(w), "rh": F.sum("h").over(w)})
-
-
-def missing_sums(hist: DataFrame, nodes: DataFrame) -> DataFrame:
-    """hist (prefix sums or not) with the node's sums pg, ph and the feature's missing sums mg, mh."""
-    w = Window.partitionBy("nid", "fid")
-    n = nodes.select("nid", F.col("g").alias("pg"), F.col("h").alias("ph"))
-    return hist.join(F.broadcast(n), "nid").withColumns({"mg": F.col("pg") - F.sum("g").over(w), "mh": F.col("ph") - F.sum("h").over(w)})  # nodes: at most 2^level rows
+    w = "OVER (PARTITION BY nid, fid ORDER BY bid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return hist.selectExpr("*", f"sum(g) {w} AS rg", f"sum(h) {w} AS rh")
+
+
+def missing_sums(hist: DataFrame, nodes: DataFrame | dict[int, tuple[int, int]]) -> DataFrame:
+    """hist (prefix sums or not) with the node's sums pg, ph and the feature's missing sums mg, mh. nodes: (nid, g, h), as a frame or on the driver."""
+    if isinstance(nodes, dict) and len(nodes) <= MAP_NODES:
+        of = lambda k: f"map({', '.join(f'{n}, {s[k]}L' for n, s in nodes.items())})[nid]"
+        joined = hist.where(f"nid IN ({', '.join(map(str, nodes))})").selectExpr("*", f"{of(0)} AS pg", f"{of(1)} AS ph")
+    else:
+        if isinstance(nodes, dict):
+            nodes = hist.sparkSession.createDataFrame([(n, *s) for n, s in nodes.items()], "nid int, g long, h long")
+        joined = hist.join(F.broadcast(nodes.select("nid", F.col("g").alias("pg"), F.col("h").alias("ph"))), "nid")  # nodes: at most 2^level rows
+    w = "OVER (PARTITION BY nid, fid)"
+    return joined.selectExpr("*", f"pg - sum(g) {w} AS mg", f"ph - sum(h) {w} AS mh")
 
 
 def merge(hist: DataFrame) -> DataFrame:

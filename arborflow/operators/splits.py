@@ -2,42 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborflow.operators.layout import hash_number
 from arborflow.operators.histogram import UNIT, missing_sums, prefix_sums
 
 
-def _score(g: Column, h: Column, reg_lambda: float) -> Column:
+def _score(g: str, h: str, reg_lambda: float) -> str:
     """g^2 / (h + lambda), 0 where nothing is there to divide by."""
-    gd, hd = g / UNIT, h / UNIT + reg_lambda
-    return F.when(hd == 0, 0.0).otherwise(gd * gd / hd)
+    gd, hd = f"(({g}) / {UNIT}D)", f"(({h}) / {UNIT}D + {reg_lambda!r}D)"
+    return f"(CASE WHEN {hd} = 0 THEN 0.0D ELSE {gd} * {gd} / {hd} END)"
 
 
-def _gain(lg, lh, rg, rh, reg_lambda: float, min_child_weight: float) -> Column:
-    both = (lh / UNIT >= min_child_weight) & (rh / UNIT >= min_child_weight)
-    raw = _score(lg, lh, reg_lambda) + _score(rg, rh, reg_lambda) - _score(lg + rg, lh + rh, reg_lambda)
-    return F.when(both, F.greatest(raw, F.lit(0.0))).otherwise(0.0)
+def _gain(lg: str, lh: str, rg: str, rh: str, reg_lambda: float, min_child_weight: float) -> str:
+    enough = f"({lh}) / {UNIT}D >= {min_child_weight!r}D AND ({rh}) / {UNIT}D >= {min_child_weight!r}D"
+    raw = f"{_score(lg, lh, reg_lambda)} + {_score(rg, rh, reg_lambda)} - {_score(f'({lg}) + ({rg})', f'({lh}) + ({rh})', reg_lambda)}"
+    return f"CASE WHEN {enough} THEN greatest({raw}, 0.0D) ELSE 0.0D END"
 
 
-def with_gain(hist: DataFrame, nodes: DataFrame, reg_lambda: float, min_child_weight: float) -> DataFrame:
+def with_gain(hist: DataFrame, nodes: DataFrame | dict[int, tuple[int, int]], reg_lambda: float, min_child_weight: float) -> DataFrame:
     """hist with prefix, missing and node sums, and the signed gain: negative where missing rows go right.
 
-    They go left only where that is strictly better.
+    They go left only where that is strictly better. The formulas are SQL text,
+    which is read in one call.
     """
     full = missing_sums(prefix_sums(hist), nodes)
-    c = F.col
-    left = _gain(c("pg") - c("rg"), c("ph") - c("rh"), c("rg"), c("rh"), reg_lambda, min_child_weight)
-    right = _gain(c("pg") - c("rg") - c("mg"), c("ph") - c("rh") - c("mh"), c("rg") + c("mg"), c("rh") + c("mh"), reg_lambda, min_child_weight)
-    return full.withColumns({"gain_left": left, "gain_right": right}).withColumn("gain", F.when(c("gain_left") > c("gain_right"), c("gain_left")).otherwise(-c("gain_right"))).drop("gain_left", "gain_right")
+    left = _gain("pg - rg", "ph - rh", "rg", "rh", float(reg_lambda), float(min_child_weight))
+    right = _gain("pg - rg - mg", "ph - rh - mh", "rg + mg", "rh + mh", float(reg_lambda), float(min_child_weight))
+    both = full.selectExpr("*", f"{left} AS gain_left", f"{right} AS gain_right")
+    return both.selectExpr(*full.columns, "CASE WHEN gain_left > gain_right THEN gain_left ELSE -gain_right END AS gain")
 
 
 def with_left_gain(hist: DataFrame, nodes: DataFrame, reg_lambda: float, min_child_weight: float) -> DataFrame:
     """hist with prefix and node sums, and the gain with missing rows on the left only."""
     full = missing_sums(prefix_sums(hist), nodes)
-    c = F.col
-    return full.withColumn("gain", _gain(c("pg") - c("rg"), c("ph") - c("rh"), c("rg"), c("rh"), reg_lambda, min_child_weight))
+    return full.selectExpr("*", f"{_gain('pg - rg', 'ph - rh', 'rg', 'rh', float(reg_lambda), float(min_child_weight))} AS gain")
 
 
 def best_splits(gains: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from arborflow.functions.objectives import OBJECTIVES, sigmoid, softmax
 from arborflow.operators import layout
 from arborflow.plans.flat import FlatForest, lists, used_features
 from arborflow.plans.trainer import Forest
-from arborflow.plans.tree import CASE_LEAVES, by_tree, by_value, node_id, node_weight
+from arborflow.plans.tree import CASE_LEAVES, by_tree, by_value, node_id, weight_sql
 from arborflow.plans.vertical import score_parts
 from arborflow.workers import ensure_importable
 
@@ -63,14 +63,11 @@ def margins(rows: DataFrame, forest: Forest) -> DataFrame:
     if not _small(forest):
         return _by_arrays(rows, forest, False)
     base, values = _with_used(rows, forest)
+    return base.withColumn("margins", F.expr(f"array({', '.join(_total(forest, k, values) for k in range(forest.params.classes))})")).drop("__used")
 
-    def total(k):
-        out = F.lit(0.0)
-        for trees in forest.trees:
-            out = out + node_weight(trees[k], values, forest.rate)
-        return out
 
-    return base.withColumn("margins", F.array(*[total(k) for k in range(forest.params.classes)])).drop("__used")
+def _total(forest: Forest, k: int, values) -> str:
+    return " + ".join(["0.0D", *(weight_sql(trees[k], values, forest.rate) for trees in forest.trees)])
 
 
 def margins_by_party(rows: DataFrame, forests: list[Forest]) -> DataFrame:
@@ -78,9 +75,8 @@ def margins_by_party(rows: DataFrame, forests: list[Forest]) -> DataFrame:
     if all(map(_small, forests)) and sum(len(t.leaves()) for f in forests for trees in f.trees for t in trees) <= CASE_LEAVES:
         used = sorted({x for f in forests for x in used_features(f)})
         base, values = rows.withColumn("__used", layout.values_of(F.col("features"), used)), by_value("__used", {f: k for k, f in enumerate(used)})
-        total = lambda f, k: sum((node_weight(trees[k], values, f.rate) for trees in f.trees), F.lit(0.0))
-        by_class = [by_tree(F.col("party_id"), len(forests), lambda p: total(forests[p], k)) for k in range(forests[0].params.classes)]  # noqa: B023  called at once
-        return base.withColumn("margins", F.array(*by_class)).drop("__used")
+        by_class = [by_tree("party_id", len(forests), lambda p: _total(forests[p], k, values)) for k in range(forests[0].params.classes)]  # noqa: B023  called at once
+        return base.withColumn("margins", F.expr(f"array({', '.join(by_class)})")).drop("__used")
     parts = [margins(rows.where(F.col("party_id") == p), f) for p, f in enumerate(forests)]
     return functools.reduce(DataFrame.unionByName, parts)
 

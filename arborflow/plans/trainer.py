@@ -18,7 +18,7 @@ from arborflow.operators import histogram as H
 from arborflow.operators import layout, splits
 from arborflow.operators.layout import hash_number
 from arborflow.params import Params
-from arborflow.plans.tree import Tree, by_bin, by_tree, merge_hybrid, node_id, node_number, node_weight
+from arborflow.plans.tree import Tree, by_bin, by_tree, merge_hybrid, node_id, node_number, weight_sql
 
 #: Rounds between checkpoints, which bound the plan's growth.
 CHECKPOINT_ROUNDS = 5
@@ -136,7 +136,7 @@ class Grower:
         """The nodes' histogram: parties' own, protected as asked, then merged."""
         p, by = self.params, ("nid", "fid", "bid")
         at = self.rows if self.sealed is None else self.sealed
-        at = at.withColumn("nid", node_number(self.trees, F.col("tid"), self.stride)).where(F.col("nid").isin(active))
+        at = at.withColumn("nid", node_number(self.trees, "tid", self.stride)).where(F.col("nid").isin(active))
         if self.sealed is not None:
             cells = at.select("nid", F.col("eg").alias("g"), F.col("eh").alias("h"), F.posexplode("bins").alias("fid", "bid")).where(F.col("bid").isNotNull())
             return privacy.decrypt_columns(privacy.sum_encrypted(cells, self.keys.public, by), self.keys)
@@ -173,14 +173,14 @@ class Grower:
         """The histogram of one feature a node."""
         if self.params.privacy in ("sa", "he") or self.own_cuts is not None:
             return self.histogram(active).where(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("nid")] == F.col("fid"))
-        return H.structured_histogram(self.rows.withColumn("nid", node_number(self.trees, F.col("tid"), self.stride)), wanted)
+        return H.structured_histogram(self.rows.withColumn("nid", node_number(self.trees, "tid", self.stride)), wanted)
 
     def _best(self, gains: DataFrame) -> DataFrame:
         return splits.private_splits(gains, self.budget.level, self.budget.delta_g, self.rng.getrandbits(62)) if self.budget else splits.best_splits(gains)
 
     def grow_level(self, level: int, only: list[dict[int, int]] | None = None, more: bool = True) -> bool:
         """Split the level's leaves; only: the feature that each tree's predefined structure gives a node; more: whether levels follow. Whether any node split or passed its rows on."""
-        p, spark = self.params, self.rows.sparkSession
+        p = self.params
         open_nodes = [(t, x) for t, tree in enumerate(self.trees) for x in tree.level(level) if x.is_leaf and (only is None or x.nid in only[t])]
         passed = 0
         if only is not None:
@@ -200,7 +200,7 @@ class Grower:
         before, self.last = self.last, None
         if more and only is None and "n" in hist.columns:
             self.last = hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-        gains = splits.with_gain(hist, spark.createDataFrame(nodes, "nid int, g long, h long"), p.reg_lambda, p.min_child_weight)
+        gains = splits.with_gain(hist, {n: (g, h) for n, g, h in nodes}, p.reg_lambda, p.min_child_weight)
         done = []
         for r in sorted(self._best(gains).collect(), key=lambda r: r.nid):  # a row for each node of the level
             t = r.nid // self.stride
@@ -288,8 +288,8 @@ class _Rounds:
     def move(self, trees: list[Tree], t: int) -> None:
         """Add the trees' weights to the margins; the rows of the round before are no longer held."""
         k, rate = self.params.classes, self.params.learning_rate
-        weight = lambda c: by_tree(F.col("party_id"), self.learners, lambda p: node_weight(trees[p * k + c], by_bin(), rate))
-        moved = F.array(*[F.col("margins")[c] + weight(c) for c in range(k)])
+        weight = lambda c: by_tree("party_id", self.learners, lambda p: weight_sql(trees[p * k + c], by_bin(), rate))
+        moved = F.expr(f"array({', '.join(f'margins[{c}] + {weight(c)}' for c in range(k))})")
         self.frame = _cut_plan(self.frame.withColumn("margins", moved).drop("work"), t, self.params)
         while len(self.held) > 1:
             self.held.pop(0).unpersist()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import heapq
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,14 +86,14 @@ class Tree:
     def leaves(self) -> list[Node]:
         return [x for x in self.nodes.values() if x.is_leaf and not x.is_pruned]
 
-    def fold(self, go_right, leaf, nid: int = 0) -> Column:
-        """One nested CASE: go_right(node) conditions, leaf(node) values."""
+    def fold(self, go_right: Callable[[Node], str], leaf: Callable[[Node], str], nid: int = 0) -> str:
+        """SQL of one nested CASE: go_right(node) conditions, leaf(node) values. Text, for a call a node would cost more than a level's job on small tables."""
         node = self.nodes[nid]
         if node.is_leaf:
             return leaf(node)
         if node.passes:
             return self.fold(go_right, leaf, 2 * nid + 1)
-        return F.when(go_right(node), self.fold(go_right, leaf, 2 * nid + 2)).otherwise(self.fold(go_right, leaf, 2 * nid + 1))
+        return f"CASE WHEN {go_right(node)} THEN {self.fold(go_right, leaf, 2 * nid + 2)} ELSE {self.fold(go_right, leaf, 2 * nid + 1)} END"
 
     def dump(self, depth: int | None = None) -> str:
         """Preorder text with 1-based features."""
@@ -115,35 +117,33 @@ class Tree:
         return "\n".join(out) + "\n"
 
 
-def by_bin(bins: str = "bins"):
-    """Training's condition: right iff missing and the default is right, or bin <= the split's."""
-    def cond(x: Node) -> Column:
-        b = F.col(bins)[x.fid]
-        return F.coalesce(b <= x.bid, F.lit(x.default_right))
+def number(x: float) -> str:
+    """A DOUBLE of SQL, exactly."""
+    return f"({x!r}D)" if math.isfinite(x) else f"double('{x}')"
+
 
-    return cond
+def by_bin(bins: str = "bins") -> Callable[[Node], str]:
+    """Training's condition: right iff missing and the default is right, or bin <= the split's."""
+    return lambda x: f"coalesce({bins}[{x.fid}] <= {x.bid}, {x.default_right})"
 
 
-def by_value(values: str = "x", place: dict[int, int] | None = None):
+def by_value(values: str = "x", place: dict[int, int] | None = None) -> Callable[[Node], str]:
     """Scoring's condition: right iff value - cut >= -RT_EPS; missing goes to the default side. place: where a feature is in `values`, if not at its number."""
-    def cond(x: Node) -> Column:
-        return F.coalesce(F.col(values)[place[x.fid] if place else x.fid] - x.cut >= -RT_EPS, F.lit(x.default_right))
-
-    return cond
+    return lambda x: f"coalesce({values}[{place[x.fid] if place else x.fid}] - {number(x.cut)} >= {number(-RT_EPS)}, {x.default_right})"
 
 
-def node_id(tree: Tree, cond) -> Column:
-    return tree.fold(cond, lambda x: F.lit(x.nid))
+def node_id(tree: Tree, cond: Callable[[Node], str]) -> Column:
+    return F.expr(tree.fold(cond, lambda x: str(x.nid)))
 
 
-def by_tree(tid: Column, n: int, value) -> Column:
-    """value(t) of the tree t that tid names, found by halving."""
+def by_tree(tid: str, n: int, value: Callable[[int], str]) -> str:
+    """SQL of value(t) of the tree t that tid names, found by halving."""
 
-    def pick(lo: int, hi: int) -> Column:
+    def pick(lo: int, hi: int) -> str:
         if hi - lo == 1:
             return value(lo)
         mid = (lo + hi) // 2
-        return F.when(tid < mid, pick(lo, mid)).otherwise(pick(mid, hi))
+        return f"CASE WHEN {tid} < {mid} THEN {pick(lo, mid)} ELSE {pick(mid, hi)} END"
 
     return pick(0, n)
 
@@ -152,10 +152,10 @@ def by_tree(tid: Column, n: int, value) -> Column:
 CASE_LEAVES = 400
 
 
-def node_number(trees: list[Tree], tid: Column, stride: int, bins: str = "bins") -> Column:
+def node_number(trees: list[Tree], tid: str, stride: int, bins: str = "bins") -> Column:
     """tid x stride + the node that a row of bins is in: one nested CASE, or for many leaves a walk over arrays of the nodes."""
     if sum(len(t.leaves()) for t in trees) <= CASE_LEAVES:
-        return by_tree(tid, len(trees), lambda t: trees[t].fold(by_bin(bins), lambda x: F.lit(t * stride + x.nid)))
+        return F.expr(by_tree(tid, len(trees), lambda t: trees[t].fold(by_bin(bins), lambda x: str(t * stride + x.nid))))
     fid, bid, right = [-1] * (len(trees) * stride), [0] * (len(trees) * stride), [False] * (len(trees) * stride)
     for t, tree in enumerate(trees):
         for x in tree.nodes.values():
@@ -163,7 +163,7 @@ def node_number(trees: list[Tree], tid: Column, stride: int, bins: str = "bins")
                 at = t * stride + x.nid
                 fid[at], bid[at], right[at] = max(0, x.fid), -1 if x.passes else x.bid, x.default_right and not x.passes
     fids, bids, rights = F.lit(fid), F.lit(bid), F.lit(right)
-    base = (tid * stride).cast("int")
+    base = (F.col(tid) * stride).cast("int")
 
     def step(at: Column, _: Column) -> Column:
         go = F.when(F.coalesce(F.get(F.col(bins), fids[at]) <= bids[at], rights[at]), 2).otherwise(1)
@@ -173,8 +173,8 @@ def node_number(trees: list[Tree], tid: Column, stride: int, bins: str = "bins")
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, levels))), base, step)
 
 
-def node_weight(tree: Tree, cond, rate: float) -> Column:
-    return tree.fold(cond, lambda x: F.lit(float(rate * x.weight)))
+def weight_sql(tree: Tree, cond: Callable[[Node], str], rate: float) -> str:
+    return tree.fold(cond, lambda x: number(float(rate * x.weight)))
 
 
 def merge_hybrid(trees: list[Tree], totals: list[int], depth: int) -> list[tuple[int, int]]:

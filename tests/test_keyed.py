@@ -110,7 +110,7 @@ def test_long_walks_number_nodes_as_short_ones(spark, monkeypatch):
     trees = [trainer.Grower(g, SMALL.replace(depth=d), c, 1).grow() for d in (3, 1)]
     trees[1].pass_on(1, 5)
     both = g.select("row_id", "bins", F.explode(F.array(F.lit(0), F.lit(1))).alias("tid"))
-    number = lambda: {(r.row_id, r.tid): r.n for r in both.select("row_id", "tid", node_number(trees, F.col("tid"), 16).alias("n")).collect()}
+    number = lambda: {(r.row_id, r.tid): r.n for r in both.select("row_id", "tid", node_number(trees, "tid", 16).alias("n")).collect()}
     by_case = number()
     monkeypatch.setattr("arborflow.plans.tree.CASE_LEAVES", 0)
     assert number() == by_case and {n // 16 for n in by_case.values()} == {0, 1} and 16 + 3 in by_case.values()
