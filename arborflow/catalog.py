@@ -210,9 +210,16 @@ def cut_6(spark, d):
     return C.sample_party_cuts(C.distinct_cuts(long_of(spark, d, 3), BINS, ("party_id", "fid")), BINS)
 
 
-@query("cut_9_quantile_cuts")
+@query("cut_9_sketch_cuts", f"{W} SELECT fid::INTEGER AS fid, count(*)::BIGINT AS n, max(val) AS top, true AS in_bound FROM long GROUP BY fid")
 def cut_9(spark, d):
-    return C.quantile_cuts(long_of(spark, d), BINS)
+    """Cuts by merged sketches of three parties, against exact ranks: as many values as its share lie at or below a cut, but for a hundredth of them and the values equal to it."""
+    long = long_of(spark, d, 3)
+    cuts = C.sketch_cuts(C.party_sketches(long), BINS)
+    near = long.join(F.broadcast(cuts), "fid")  # cuts: features x bins rows
+    ranks = near.groupBy("fid", "bid", "cut").agg(F.sum((F.col("val") < F.col("cut")).cast("long")).alias("below"), F.sum((F.col("val") <= F.col("cut")).cast("long")).alias("upto"), F.count("*").alias("n"))
+    shares = F.array(*[F.lit(1 - k / BINS) for k in range(BINS)])
+    fits = F.exists(shares, lambda s: (s >= F.col("below") / F.col("n") - 0.01) & (s <= F.col("upto") / F.col("n") + 0.01))
+    return ranks.withColumn("fits", fits).groupBy("fid").agg(F.max("n").alias("n"), F.max("cut").alias("top"), F.bool_and("fits").alias("in_bound"))
 
 
 @query("bin_1_bins", f"{RB} SELECT fid::INTEGER AS fid, bid, count(*)::BIGINT AS n, min(row_id)::BIGINT AS first_row FROM bins GROUP BY fid, bid")
@@ -548,9 +555,16 @@ def trn_6(spark, d):
     return scored.groupBy("party_id").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"))
 
 
-BAGGED = f"""{DB}, g0 AS (SELECT row_id, round((0.0::DOUBLE - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat WHERE {sqlgen.hashed(42, "row_id")} % 2 = 0), {sqlgen.tree("g0", 3, "_a")}, {sqlgen.routed("feat", 3, "_a", "ma", bins="bins")},
- g1 AS (SELECT row_id, round((0.5 * weight - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat JOIN ma USING (row_id) WHERE {sqlgen.hashed(42, "row_id")} % 2 = 1), {sqlgen.tree("g1", 3, "_b")},
- {sqlgen.routed("feat", 3, "_a", "w0")}, {sqlgen.routed("feat", 3, "_b", "w1")} SELECT row_id, round(0.25 * w0.weight + 0.25 * w1.weight, 6) AS margin FROM w0 JOIN w1 USING (row_id)"""
+def _slice(t: int, margin: str) -> str:
+    """CTEs of a round's slice of the rows: its cuts, gradients and tree."""
+    mine = f"{sqlgen.hashed(42, 'row_id')} % 2 = {t}"
+    grad = f"g{t} AS (SELECT row_id, round(({margin} - y) * 1000000)::BIGINT AS g, 1000000::BIGINT AS h FROM feat JOIN m{t} USING (row_id) WHERE {mine})"
+    return f"long{t} AS (SELECT * FROM long WHERE {mine}), {sqlgen.cuts('distinct', BINS, f'long{t}', str(t))}, {grad}, {sqlgen.tree(f'g{t}', 3, f'_s{t}', bins=f'bins{t}')}"
+
+
+#: The second round's cuts come from other rows than the first's; trees move all rows by value.
+BAGGED = f"""{W}, m0 AS (SELECT row_id, 0.0::DOUBLE AS m FROM feat), {_slice(0, "m")}, {sqlgen.routed("feat", 3, "_s0", "w0", "cuts0")}, m1 AS (SELECT row_id, 0.5 * weight AS m FROM w0), {_slice(1, "m")}, {sqlgen.routed("feat", 3, "_s1", "w1", "cuts1")}
+ SELECT row_id, round(0.25 * w0.weight + 0.25 * w1.weight, 6) AS margin FROM w0 JOIN w1 USING (row_id)"""
 
 
 @query("trn_9_bagging", BAGGED)

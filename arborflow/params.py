@@ -33,7 +33,7 @@ class Params:
     partition: bool = False
     privacy: str = "none"  # none, dp, sa, he
     privacy_budget: float = 10.0
-    propose_split: str = "server"  # server: range cuts; party: distinct-value cuts, pooled; client_post: those, and histograms over each party's range cuts, moved when merged
+    propose_split: str = "server"  # server: range cuts; party: distinct-value cuts, pooled; client_post: those, and histograms over each party's range cuts, moved when merged; sketch: quantiles of merged sketches, in any mode
     key_length: int = 512
     data: str = ""
     test_data: str = ""
@@ -61,8 +61,8 @@ class Params:
             raise ValueError("max_bins must be from 1 to 255")
         if self.depth < 1 or self.n_trees < 1:
             raise ValueError("depth and n_trees must be positive")
-        if self.propose_split not in ("server", "party", "client_post"):
-            raise ValueError("propose_split is server, party or client_post")
+        if self.propose_split not in ("server", "party", "client_post", "sketch"):
+            raise ValueError("propose_split is server, party, client_post or sketch")
         if self.propose_split == "client_post" and self.privacy in ("sa", "he"):
             raise ValueError("histograms over parties' own cuts can't be merged under masks or encryption")
         if not 0 < self.bagging_fraction <= 1:

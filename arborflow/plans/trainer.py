@@ -18,7 +18,7 @@ from arborflow.operators import histogram as H
 from arborflow.operators import layout, splits
 from arborflow.operators.layout import hash_number
 from arborflow.params import Params
-from arborflow.plans.tree import Tree, by_bin, by_tree, merge_hybrid, node_id, node_number, weight_sql
+from arborflow.plans.tree import Tree, by_bin, by_tree, by_value, merge_hybrid, node_id, node_number, weight_sql
 
 #: Rounds between checkpoints, which bound the plan's growth.
 CHECKPOINT_ROUNDS = 5
@@ -50,7 +50,9 @@ def with_party(rows: DataFrame) -> DataFrame:
 def propose_cuts(rows: DataFrame, n_features: int, params: Params) -> Cuts:
     """Cuts as the mode proposes them; on the driver, at most features x bins numbers."""
     long = rows.select("party_id", "row_id", F.inline("features"))
-    if params.mode == "horizontal":
+    if params.propose_split == "sketch":
+        found = C.sketch_cuts(C.party_sketches(long), params.max_bins)
+    elif params.mode == "horizontal":
         if params.propose_split != "server":
             found = C.sample_party_cuts(C.distinct_cuts(long, params.max_bins, ("party_id", "fid")), params.max_bins, params.seed)
         else:
@@ -330,6 +332,31 @@ def boost_parties(frame: DataFrame, params: Params, party_cuts: list[Cuts], roun
     return _run(_Rounds(frame, params, party_cuts[0], party_cuts), rounds or params.n_trees, watch)
 
 
+def boost_slices(rows: DataFrame, params: Params, n_features: int, watch: bool = False) -> Forest:
+    """Bagging: each round proposes cuts from its own slice of the rows, bins the slice and grows on it; the trees then move all rows' margins by value."""
+    keep = [c for c in ("row_id", "party_id", "y", "group_id") if c in rows.columns]
+    current, held = rows.select(*keep, "features", F.array(*[F.lit(0.0)] * params.classes).alias("margins")), []
+    forest = Forest(params, [], n_features)
+    for t in range(params.n_trees):
+        part = current.where(_bag("row_id", params, t))
+        cuts = propose_cuts(part, n_features, params)
+        rounds = _Rounds(C.bin_rows(part, cuts, [*keep, "margins"]), params, cuts, None, params.n_parties)
+        rounds.begin(t)
+        trees = rounds.grower(t).grow_all()
+        forest.trees.append(trees)
+        used = sorted({x.fid for tree in trees for x in tree.nodes.values() if not x.is_leaf})
+        values = by_value("__used", {f: k for k, f in enumerate(used)})
+        moved = ", ".join(f"margins[{c}] + {weight_sql(tree, values, params.learning_rate)}" for c, tree in enumerate(trees))
+        current = _cut_plan(current.withColumn("__used", layout.values_of(F.col("features"), used)).withColumn("margins", F.expr(f"array({moved})")).drop("__used"), t, params)
+        current = current.persist(StorageLevel.MEMORY_AND_DISK)
+        if watch:
+            forest.scores.append(evaluate(current, params.metric or OBJECTIVES[params.objective].metric))
+        held += [rounds.frame, current]
+        while len(held) > 3:
+            held.pop(0).unpersist()
+    return forest
+
+
 def checked(rows: DataFrame, params: Params) -> Params:
     """params with the number of classes, if the labels are fit for the objective."""
     if params.objective.startswith("multi:") and params.num_class < 2:
@@ -362,6 +389,8 @@ def train(rows: DataFrame, params: Params, watch: bool = False) -> Forest | list
         if params.n_trees % params.n_parties:
             raise ValueError("an ensemble needs n_trees divisible by n_parties")
         return merge_forests(boost_parties(frame, params.replace(n_trees=params.n_trees // params.n_parties), c, watch=watch)[0], params)
+    if params.bagging and params.bagging_fraction < 1 and params.propose_split != "client_post":
+        return boost_slices(rows, params, n, watch)
     c = propose_cuts(rows, n, params)
     if params.mode == "horizontal" and params.propose_split == "client_post":
         own = party_range_cuts(rows, params.max_bins)

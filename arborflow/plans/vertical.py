@@ -3,9 +3,10 @@
 Every party's bins lie in a frame (row_id, bins), dealt and sorted by row_id and
 held. The coordinator holds (row_id, y, margins, work, at): gradients and the
 node of each row, and no feature. In a level each party gives the histogram of
-its features; the owner of a node's best split tells which of the node's rows go
-right, a bit a row, and that is all of its features that enters the
-coordinator's frame. All frames are dealt alike, so their joins move no row.
+its features; the owner of a split tells by a bit a row which way the row would
+go there, as (row_id, bits), and that is all that leaves it. Where a row is
+follows from the bits of all splits so far. All frames are dealt alike, so their
+joins move no row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +30,7 @@ from arborflow.operators import layout
 from arborflow.params import Params
 from arborflow.plans.flat import FlatForest, lists
 from arborflow.plans.trainer import Forest, Grower, _bag, _cut_plan, checked, with_work
-from arborflow.plans.tree import Tree
+from arborflow.plans.tree import Tree, number
 from arborflow.workers import ensure_importable
 
 
@@ -64,7 +65,8 @@ class VerticalGrower(Grower):
         super().__init__(state.select(F.inline("work")), params.replace(privacy="none" if params.privacy == "he" else params.privacy), cuts, round_seed, keys=keys, rng=rng, n_trees=n_trees)
         self.parts, self.widths, self.owner = parts, widths, owner
         self.offsets = [sum(widths[:p]) for p in range(len(widths))]
-        self.state = state.withColumn("at", F.array(*[F.lit(t * self.stride) for t in range(n_trees)]))
+        self.frame, self.routes = state, {}
+        self.state = self.placed()
         self.held: list[DataFrame] = []
         self.secret = None
         if params.privacy == "he":  # the label's owner seals gradients once a round; the other parties see no others
@@ -97,28 +99,33 @@ class VerticalGrower(Grower):
 
     def after_level(self, level: int) -> None:
         """Each owner of a split sends route bits; the rows' nodes follow from them."""
-        split: dict[int, dict[int, tuple]] = {}
         for t, tree in enumerate(self.trees):
             for x in tree.level(level):
                 if not x.is_leaf:
                     p = self.owner_of(x.fid)
-                    split.setdefault(p, {})[t * self.stride + x.nid] = (x.fid - self.offsets[p], x.bid, x.default_right)
-        if not split:
-            return
-        size = self.n_trees * self.stride
-        base = F.lit([n - n % self.stride for n in range(size)])
-        for p, nodes in sorted(split.items()):
-            bit = self._bit(nodes, size)
-            child = lambda n: F.when(bit(n).isNull(), n).otherwise(2 * n - base[n] + F.when(bit(n), 2).otherwise(1)).cast("int")  # noqa: B023, E731  called at once
-            self.state = self.state.join(self.parts[p], "row_id").withColumn("at", F.transform("at", child)).drop("bins")
-        self.state = self.state.persist(StorageLevel.MEMORY_AND_DISK)
+                    self.routes.setdefault(p, {})[t * self.stride + x.nid] = f"coalesce(bins[{x.fid - self.offsets[p]}] <= {x.bid}, {x.default_right})"
+        self.state = self.placed().persist(StorageLevel.MEMORY_AND_DISK)
         self.held.append(self.state)
 
-    @staticmethod
-    def _bit(nodes: dict[int, tuple], size: int):
-        """Node -> whether a row of bins goes right there; null where the node is another's or no one's to split."""
-        fids, bids, rights = (F.lit([nodes.get(n, (-1, -1, False))[k] for n in range(size)]) for k in range(3))
-        return lambda n: F.when(fids[n] >= 0, F.coalesce(F.get("bins", fids[n]) <= bids[n], rights[n]))
+    def bits(self, p: int) -> DataFrame:
+        """(row_id, bits ARRAY<BOOLEAN>) from party p: for each of its splits whether the row goes right there."""
+        return self.parts[p].selectExpr("row_id", f"array({', '.join(self.routes[p].values())}) AS bits{p}")
+
+    def placed(self) -> DataFrame:
+        """The coordinator's frame with at ARRAY<INT>: the number of each tree's node that the row is in, by the parties' bits."""
+        out, where = self.frame, {}
+        for p in sorted(self.routes):
+            out = out.join(self.bits(p), "row_id")
+            where.update({n: f"bits{p}[{k}]" for k, n in enumerate(self.routes[p])})
+
+        def walk(n: int) -> str:
+            if n not in where:
+                return str(n)
+            base = n - n % self.stride
+            return f"CASE WHEN {where[n]} THEN {walk(2 * n - base + 2)} ELSE {walk(2 * n - base + 1)} END"
+
+        at = f"array({', '.join(walk(t * self.stride) for t in range(self.n_trees))})"
+        return out.select(*self.frame.columns, F.expr(at).alias("at"))
 
     def weights(self) -> list[float]:
         """By number: the weight of the leaf that a row in this node counts for, its own or, after pruning, an ancestor's."""
@@ -140,7 +147,8 @@ def train_vertical(parts: Sequence[DataFrame], params: Params, widths: Sequence[
     """(forest, (row_id, y, margins)) of parties that hold features of the same rows: parts (row_id, features[, y, group_id]).
 
     The trees are those of centralized training on the joined table. Features
-    are numbered through, the first party's first; rows that a party lacks are left out.
+    are numbered through, the first party's first; rows that a party lacks are left
+    out. With bagging all rounds share one proposal of cuts, from all rows.
     """
     rows = _dealt(common_rows(parts))
     params = checked(rows, params.replace(mode="vertical"))
@@ -164,8 +172,8 @@ def train_vertical(parts: Sequence[DataFrame], params: Params, widths: Sequence[
         for old in before:
             old.unpersist()
         before = [frame, *grower.held]
-        weight = F.lit(grower.weights())
-        moved = F.zip_with("margins", "at", lambda m, n: m + params.learning_rate * weight[n])  # noqa: B023  called at once
+        weight = f"array({', '.join(number(params.learning_rate * w) for w in grower.weights())})"
+        moved = F.expr(f"zip_with(margins, at, (m, n) -> m + {weight}[n])")
         frame = _cut_plan(grower.state.withColumn("margins", moved).drop("work", "at"), t, params)
         if watch:
             forest.scores.append(evaluate(frame, params.metric or OBJECTIVES[params.objective].metric))

@@ -155,7 +155,7 @@ def test_vertical_of_three_parties_and_classes_with_rows_missing(spark):
     rows = table(spark, classes=3)
     parts = parts_of(rows, [(0, 2), (2, 3), (3, 6)])
     parts[1] = parts[1].where("row_id % 7 <> 0")
-    p = SMALL.replace(objective="multi:softprob", num_class=3, bagging=True, bagging_fraction=0.5)
+    p = SMALL.replace(objective="multi:softprob", num_class=3)
     forest, out = vertical.train_vertical(parts, p, [2, 1, 3])
     kept = rows.where("row_id % 7 <> 0")
     assert dumps(forest) == dumps(trainer.train(kept, p)) and out.count() == kept.count()
@@ -293,3 +293,81 @@ def test_class_first_csv_is_numbered_in_order_of_files(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("Class,u\n" + "".join(f"{i},{i}.5\n" for i in rows))
     got = text.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert got.where("row_id <> y").count() == 0 and got.count() == 900
+
+
+# sketches
+
+
+def test_sketched_ranks_are_near_exact_ones(spark):
+    from arborflow.operators import cuts as C
+
+    rng = np.random.default_rng(3)
+    values = {0: rng.normal(size=30_000), 1: rng.exponential(size=30_000), 2: rng.integers(0, 5, 30_000).astype(float)}
+    long = spark.createDataFrame([(int(i % 4), f, float(x)) for f, v in values.items() for i, x in enumerate(v)], "party_id int, fid int, val double")
+    found = {f: [] for f in values}
+    for r in C.sketch_cuts(C.party_sketches(long), 16).orderBy("fid", "bid").collect():
+        found[r.fid].append(r.cut)
+    for f in (0, 1):
+        assert len(found[f]) == 16 and found[f][0] == values[f].max()
+        for k, cut in enumerate(found[f]):
+            assert abs((values[f] <= cut).mean() - (1 - k / 16)) < 0.004
+    assert found[2] == [4.0, 3.0, 2.0, 1.0, 0.0]
+    rows = table(spark)
+    sketched = trainer.train(rows, SMALL.replace(propose_split="sketch", max_bins=32))
+    assert P.score(rows, sketched, "rmse") < 1.2 * P.score(rows, trainer.train(rows, SMALL.replace(max_bins=32)), "rmse")
+
+
+def test_features_of_many_values_are_ranked_by_cells(spark, monkeypatch):
+    from arborflow.operators import cuts as C
+
+    rng = random.Random(8)
+    long = spark.createDataFrame([(p, f, float(rng.randrange(10 ** (f + 1)))) for f in range(4) for p in range(2) for _ in range(800)], "party_id int, fid int, val double")
+    whole = [sorted(C.distinct_cuts(long, 16, by).collect()) for by in (("fid",), ("party_id", "fid"))]
+    monkeypatch.setattr(C, "LARGE", 50)
+    assert [sorted(C.distinct_cuts(long, 16, by).collect()) for by in (("fid",), ("party_id", "fid"))] == whole
+
+
+# cuts by round
+
+
+def test_each_round_of_bagging_proposes_its_own_cuts(spark, monkeypatch):
+    seen, propose = [], trainer.propose_cuts
+    monkeypatch.setattr(trainer, "propose_cuts", lambda rows, n, p: (seen.append((rows.count(), propose(rows, n, p))), seen[-1][1])[1])
+    rows = table(spark)
+    forest = trainer.train(rows, SMALL.replace(bagging=True, bagging_fraction=0.5, n_trees=3), watch=True)
+    assert len(seen) == 3 and seen[0][0] + seen[1][0] == 300 and seen[0][1] != seen[1][1] and len(forest.scores) == 3
+
+
+# models of another program
+
+
+def binary_model(real, size, trees, objective=b"reg:linear", rate=0.5, classes=1):
+    import struct
+
+    kind, out = model.record_type(real, size), struct.pack("<i", len(objective)) + objective + struct.pack("<fii?i", rate, classes, len(trees), False, len(trees))
+    for nodes in trees:
+        out += struct.pack("<iQ", 1, len(nodes))
+        records = np.zeros(len(nodes), kind)
+        for i, n in enumerate(nodes):
+            for name, value in n.items():
+                records[name][i] = value
+        raw = bytearray(records.tobytes())
+        for i in range(len(nodes)):  # what lies behind the known fields is not read
+            tail = i * size + kind.fields["is_pruned"][1] + 1
+            raw[tail : (i + 1) * size] = b"\xa5" * (size - (tail - i * size))
+        out += bytes(raw)
+    return out
+
+
+@pytest.mark.parametrize("real, size", [("f4", 56), ("f4", 64), ("f4", 120), ("f8", 96)])
+def test_a_binary_model_gives_known_margins(spark, tmp_path, real, size):
+    leaf = lambda w: {"weight": w, "is_leaf": 1, "fid": -1, "left": -1, "right": -1}
+    first = [{"fid": 2, "cut": 1.5, "left": 1, "right": 2, "default_right": 1, "bid": 3}, leaf(4.0), {"fid": 0, "cut": -1.0, "left": 4, "right": 3}, leaf(8.0), leaf(-2.0)]
+    second = [leaf(0.25)]
+    (tmp_path / "m.bin").write_bytes(binary_model(real, size, [first, second]))
+    forest = model.import_model(spark, str(tmp_path / "m.bin"))
+    assert forest.n_features == 3 and forest.params.learning_rate == 0.5 and len(forest.trees) == 2
+    rows = spark.createDataFrame([(0, 0, 0.0, [(2, 1.0)]), (1, 0, 0.0, [(0, 0.0), (2, 2.0)]), (2, 0, 0.0, [(0, -3.0)]), (3, 0, 0.0, [])], ROWS)
+    assert margins(P.margins(rows, forest)) == {0: [2.125], 1: [4.125], 2: [-0.875], 3: [-0.875]}
+    with pytest.raises(ValueError, match="record size"):
+        model.decode_binary((tmp_path / "m.bin").read_bytes()[:-3])
