@@ -118,14 +118,21 @@ def lay_4(spark, d):
     return layout.group_labels(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.substring("o_orderpriority", 1, 1).cast("double").alias("y")))
 
 
-@query("lay_7_sorted_columns", f"{W} SELECT fid::INTEGER AS fid, val, row_id FROM long")
+@query("lay_7_sorted_columns", f"{W} SELECT fid::INTEGER AS fid, val, row_id, (row_number() OVER (ORDER BY fid, val DESC, row_id) - 1)::BIGINT AS place FROM long")
 def lay_7(spark, d):
-    return layout.sort_columns(layout.to_columns(rows_of(spark, d)))
+    """With each value's place in the sorted table: the tasks before it count whole, its own up to it."""
+    tagged = layout.sort_columns(layout.to_columns(rows_of(spark, d))).select("fid", "val", "row_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = tagged.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("base"))
+    starts = sizes.select("p", "base", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("start"))  # a row for each task
+    return tagged.join(F.broadcast(starts), "p").select("fid", "val", "row_id", (F.col("start") + F.col("m") - F.col("base")).alias("place"))
 
 
-@query("lay_8_train_test_split", "SELECT (count(*) * 3 // 4)::BIGINT AS n_train, (count(*) - count(*) * 3 // 4)::BIGINT AS n_test FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("lay_8_train_test_split", "SELECT o_orderkey AS row_id FROM orders JOIN customer ON o_custkey = c_custkey")
 def lay_8(spark, d):
-    return layout.train_test_split(rows_of(spark, d)).agg(F.sum(F.col("is_train").cast("long")).alias("n_train"), F.sum((~F.col("is_train")).cast("long")).alias("n_test"))
+    """Members: what both parts hold together, each row once, if the training part has its three quarters."""
+    split = layout.train_test_split(rows_of(spark, d)).select("row_id", "is_train").persist(StorageLevel.MEMORY_AND_DISK)
+    n, train = split.agg(F.count("*"), F.sum(F.col("is_train").cast("long"))).first()
+    return split.where("is_train").select("row_id").unionByName(split.where("NOT is_train").select("row_id")) if train == n * 3 // 4 else split.limit(0).select("row_id")
 
 
 # partitioners
@@ -353,8 +360,7 @@ def best_split(spark, d):
 def _grown(spark, d, params: Params, parties: int = 1, structure=None):
     rows, c = frame_of(spark, d, params, parties)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read by every level
-    keys = privacy.KeyAgreement(parties) if params.privacy == "sa" else privacy.paillier_keys(256) if params.privacy == "he" else None
-    return rows, trainer.Grower(rows, params, c, 1, parties, keys).grow(structure=structure)
+    return rows, trainer.Grower(rows, params, c, 1, parties).grow(structure=structure)
 
 
 LEAVES = f"{RB}, {G0}, {sqlgen.tree('grad', 3)} SELECT nid::INTEGER AS nid, round(weight, 6) AS weight, count(*)::BIGINT AS n, min(row_id)::BIGINT AS first_row FROM leaf GROUP BY nid, weight"
@@ -392,6 +398,11 @@ def tre_20(spark, d):
     return routed.groupBy("nid").agg(F.count("*").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
+@query("tre_21_below_the_root", f"{RB}, {G0}, structure AS (SELECT * FROM (VALUES (0, 2), (1, 3), (2, 0), (6, 4)) v(nid, fid)), {sqlgen.tree('grad', 3, lam=0.0, structure='structure')} SELECT nid::INTEGER AS nid, round(weight, 6) AS weight, count(*)::BIGINT AS n, min(row_id)::BIGINT AS first_row FROM leaf GROUP BY nid, weight")
+def tre_21_below(spark, d):
+    return _leaves(spark, *_grown(spark, d, RANGE.replace(reg_lambda=0.0), structure={0: 2, 1: 3, 2: 0, 6: 4}))
+
+
 @query("tre_21_predefined_structure", f"{RB}, {G0}, {sqlgen.level('grad', '')} SELECT 0 AS nid, 2 AS fid, bid, round(abs(gain), 6) AS gain FROM (SELECT *, row_number() OVER (ORDER BY abs(gain) DESC, bid) AS r FROM gains WHERE fid = 2) WHERE r = 1")
 def tre_21(spark, d):
     rows, c = frame_of(spark, d)
@@ -648,9 +659,17 @@ def prd_7(spark, d):
     return metrics.rmse(P.margins(rows_of(spark, d), _stump(spark, d)).withColumn("margin", F.col("margins")[0])).select(F.round("rmse", 6).alias("rmse"))
 
 
-@query("prd_8_labels", f"{W} SELECT row_id, ({M} > 0)::INTEGER::DOUBLE AS label FROM feat")
+#: A stump over labels of two classes: the balance's sign and the month.
+PRD8 = f"""{RB}, y2 AS (SELECT row_id, (f1 % 2)::DOUBLE AS y FROM feat), gb AS (SELECT row_id, 0 AS nid, round((0.5::DOUBLE - y) * 1000000)::BIGINT AS g, 250000::BIGINT AS h FROM y2), {sqlgen.tree("gb", 2, "_b")}, {sqlgen.routed("feat", 2, "_b", "wb")} SELECT row_id, (0.5 * weight > 0)::INTEGER::DOUBLE AS label FROM wb"""
+
+
+@query("prd_8_labels", PRD8)
 def prd_8(spark, d):
-    return scored(spark, d).select("row_id", objectives.OBJECTIVES["binary:logistic"].label(F.col("margins")).alias("label"))
+    """Labels by the sign of a trained forest's margins."""
+    t = feature_table(spark, d).withColumn("y", F.col("f1") % 2)
+    rows = text.from_columns(t, "row_id", "y", [f"f{k}" for k in range(N)]).withColumn("party_id", F.lit(0))
+    forest = trainer.train(rows, RANGE.replace(objective="binary:logistic", n_trees=1, depth=2, n_parties=1))
+    return P.predict(rows, forest).select("row_id", "label")
 
 
 def _class_trees(classes: int) -> str:
@@ -731,6 +750,20 @@ def dp_2(spark, d):
     return scored(spark, d).select("row_id", F.round(privacy.clip(F.col("margins")[0] - F.col("y")), 6).alias("g"))
 
 
+def _unit(seed: int) -> str:
+    return f"(({sqlgen.hashed(seed, 'row_id')} + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+
+
+@query("dp_6_gaussian_noise", f"{W} SELECT row_id, round(y + sqrt(-2 * ln({_unit(7)})) * cos(2 * pi() * {_unit(8)}) * 1.5, 6) AS y FROM feat")
+def dp_6(spark, d):
+    return privacy.gaussian_noise(rows_of(spark, d).select("row_id", "y"), "y", 2.25, 7).select("row_id", F.round("y", 6).alias("y"))
+
+
+@query("dp_7_laplace_noise", f"{W} SELECT row_id, round(y - 0.5 * sign(u) * ln(1 - 2 * abs(u)), 6) AS y FROM (SELECT row_id, y, {_unit(7)} - 0.5 AS u FROM feat)")
+def dp_7(spark, d):
+    return privacy.laplace_noise(rows_of(spark, d).select("row_id", "y"), "y", 0.5, 7).select("row_id", F.round("y", 6).alias("y"))
+
+
 PRIVATE = f"{L0}, noisy AS (SELECT *, abs(gain) * ({10.0 / 2 / 2 / 3!r}::DOUBLE / 6.0) - ln(-ln(({sqlgen.hashed(3, 'nid', 'fid', 'bid')} + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) AS score FROM gains) SELECT nid::INTEGER AS nid, fid::INTEGER AS fid, bid, NOT gain > 0 AS default_right FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY score DESC, fid, bid) AS r FROM noisy) WHERE r = 1"
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborflow.operators.layout import hash_number
 from arborflow.workers import ensure_importable
 
 
@@ -43,13 +44,20 @@ def laplace(scale: float, rng: random.Random) -> float:
     return scale * (rng.expovariate(1.0) - rng.expovariate(1.0))
 
 
-def gaussian_noise(rows: DataFrame, column: str, variance: float, seed: int) -> DataFrame:
-    """rows with noise added to column, fresh for each row."""
-    return rows.withColumn(column, F.col(column) + F.randn(seed) * math.sqrt(variance))
+def _uniform(seed: int, key: str) -> Column:
+    """Between 0 and 1, from the hash of key and seed: the same when a lost task runs again."""
+    return (hash_number(seed, F.col(key)) + 0.5) / float(1 << 48)
 
 
-def laplace_noise(rows: DataFrame, column: str, scale: float, seed: int) -> DataFrame:
-    u = F.rand(seed) - 0.5
+def gaussian_noise(rows: DataFrame, column: str, variance: float, seed: int, key: str = "row_id") -> DataFrame:
+    """rows with normal noise added to column, one draw for each key. Who knows the seed knows the noise, so draw it from a secret source."""
+    draw = F.sqrt(-2 * F.log(_uniform(seed, key))) * F.cos(2 * math.pi * _uniform(seed + 1, key))
+    return rows.withColumn(column, F.col(column) + draw * math.sqrt(variance))
+
+
+def laplace_noise(rows: DataFrame, column: str, scale: float, seed: int, key: str = "row_id") -> DataFrame:
+    """As gaussian_noise, from the Laplace distribution of this scale."""
+    u = _uniform(seed, key) - 0.5
     return rows.withColumn(column, F.col(column) - scale * F.signum(u) * F.log(1 - 2 * F.abs(u)))
 
 

@@ -31,14 +31,18 @@ def with_siblings(small: DataFrame, parents: DataFrame, family: list[tuple[int,
     """Histograms (nid, fid, bid, g, h, n) of both children from those of the smaller ones and of the parents; exact.
 
     family: (parent, smaller child, other child). A cell travels twice, under its
-    own node and subtracted under its sibling, so no join is needed.
+    own node and subtracted under its sibling, so no join is needed. Histograms
+    that were merged under masks or encryption have no n; their cells without
+    rows stay, with sums of 0, which add no better split.
     """
+    sums = [c for c in ("g", "h", "n") if c in small.columns]
     sibling = f"map({', '.join(f'{a}, {b}' for _, a, b in family)})[nid]"
     other = f"map({', '.join(f'{p}, {b}' for p, _, b in family)})[nid]"
-    both = small.selectExpr("fid", "bid", f"inline(array(struct(nid, g, h, n), struct({sibling} AS nid, -g AS g, -h AS h, -n AS n)))")
-    up = parents.where(f"nid IN ({', '.join(str(p) for p, _, _ in family)})").selectExpr("fid", "bid", f"{other} AS nid", "g", "h", "n")
+    both = small.selectExpr("fid", "bid", f"inline(array(struct(nid, {', '.join(sums)}), struct({sibling} AS nid, {', '.join(f'-{c} AS {c}' for c in sums)})))")
+    up = parents.where(f"nid IN ({', '.join(str(p) for p, _, _ in family)})").selectExpr("fid", "bid", f"{other} AS nid", *sums)
     cells = both.unionByName(up).repartition("nid", "fid").groupBy("nid", "fid", "bid")
-    return cells.agg(F.expr("sum(g) AS g"), F.expr("sum(h) AS h"), F.expr("sum(n) AS n")).where("n > 0")
+    found = cells.agg(*[F.expr(f"sum({c}) AS {c}") for c in sums])
+    return found.where("n > 0") if "n" in sums else found
 
 
 def structured_histogram(rows: DataFrame, wanted: dict[int, int]) -> DataFrame:

@@ -53,8 +53,3 @@ def private_splits(gains: DataFrame, epsilon: float, delta_g: float, seed: int)
     noisy = F.abs("gain") * (epsilon / (2 * delta_g)) - F.log(-F.log(u))
     record = F.struct("fid", "bid", F.abs("gain").alias("gain"), (~(F.col("gain") > 0)).alias("default_right"), "rg", "rh", "mg", "mh")
     return gains.groupBy("nid").agg(F.max_by(record, F.struct(noisy, -F.col("fid"), -F.col("bid"))).alias("s")).select("nid", "s.*")
-
-
-def with_cut(splits: DataFrame, cuts: DataFrame) -> DataFrame:
-    """splits with the value of the cut."""
-    return splits.join(cuts, ["fid", "bid"])

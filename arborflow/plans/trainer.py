@@ -160,8 +160,12 @@ class Grower:
         return moved.select("nid", "fid", "bid", F.round("g").cast("long").alias("g"), F.round("h").cast("long").alias("h"))
 
     def level_histogram(self, active: list[int]) -> DataFrame:
-        """As histogram(), but of two children only the lighter one is summed over rows; the other is the parent's rest."""
-        if self.last is None or self.params.privacy in ("sa", "he") or self.own_cuts is not None:
+        """As histogram(), but of two children only the lighter one is summed over rows; the other is the parent's rest.
+
+        Under masks or encryption the merged sums are subtracted, so parties mask
+        or encrypt, and the server adds, the cells of half the nodes only.
+        """
+        if self.last is None or self.own_cuts is not None:
             return self.histogram(active)
         family, known = [], set(active)
         for left in active:
@@ -200,7 +204,7 @@ class Grower:
         else:
             hist = self.structured(active, {n: only[n // self.stride][n % self.stride] for n in active})
         before, self.last = self.last, None
-        if more and only is None and "n" in hist.columns:
+        if more and only is None and self.own_cuts is None:
             self.last = hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
         gains = splits.with_gain(hist, {n: (g, h) for n, g, h in nodes}, p.reg_lambda, p.min_child_weight)
         done = []

@@ -91,9 +91,6 @@ class VerticalGrower(Grower):
                 made.append(H.level_histogram(rows, count=self.secret is None))
         return H.concat_vertical(made, list(self.widths))
 
-    def level_histogram(self, active: list[int]) -> DataFrame:
-        return self.histogram(active) if self.secret is not None else super().level_histogram(active)
-
     def owner_of(self, fid: int) -> int:
         return max(p for p, start in enumerate(self.offsets) if start <= fid)
 
