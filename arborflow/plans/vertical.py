@@ -55,7 +55,9 @@ def label_owner(parts: Sequence[DataFrame]) -> int:
 def _dealt(frame: DataFrame) -> DataFrame:
     """frame by row_id over the shuffle partitions, sorted and held; frames dealt so join without an exchange or a sort."""
     n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frame.repartition(n, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    out = frame.repartition(n, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()  # Spark knows how a held frame is dealt once it is computed
+    return out
 
 
 class VerticalGrower(Grower):
@@ -81,13 +83,13 @@ class VerticalGrower(Grower):
         plain = self.state.select("row_id", placed.alias("placed"))
         for p, part in enumerate(self.parts):
             if self.secret is not None and p != self.owner:
-                at = part.join(self.secret, "row_id").join(self.state.select("row_id", "at"), "row_id")
+                at = part.join(self.secret, "row_id").join(self.state.select("row_id", "at").hint("merge"), "row_id")
                 cells = at.select(F.get("at", F.col("tid")).alias("nid"), F.col("eg").alias("g"), F.col("eh").alias("h"), "bins").where(F.col("nid").isin(active))
                 cells = cells.select("nid", "g", "h", F.posexplode("bins").alias("fid", "bid")).where("bid is not null")
                 sums = privacy.decrypt_columns(privacy.sum_encrypted(cells, self.keys.public, ("nid", "fid", "bid")), self.keys)
                 made.append(sums.select("nid", "fid", "bid", "g", "h"))
             else:
-                rows = part.join(plain, "row_id").select("bins", F.inline("placed")).where(F.col("nid").isin(active))
+                rows = part.join(plain.hint("merge"), "row_id").select("bins", F.inline("placed")).where(F.col("nid").isin(active))
                 made.append(H.level_histogram(rows, count=self.secret is None))
         return H.concat_vertical(made, list(self.widths))
 
@@ -102,6 +104,7 @@ class VerticalGrower(Grower):
                     p = self.owner_of(x.fid)
                     self.routes.setdefault(p, {})[t * self.stride + x.nid] = f"coalesce(bins[{x.fid - self.offsets[p]}] <= {x.bid}, {x.default_right})"
         self.state = self.placed().persist(StorageLevel.MEMORY_AND_DISK)
+        self.state.count()  # as in _dealt
         self.held.append(self.state)
 
     def bits(self, p: int) -> DataFrame:
@@ -112,7 +115,7 @@ class VerticalGrower(Grower):
         """The coordinator's frame with at ARRAY<INT>: the number of each tree's node that the row is in, by the parties' bits."""
         out, where = self.frame, {}
         for p in sorted(self.routes):
-            out = out.join(self.bits(p), "row_id")
+            out = out.join(self.bits(p).hint("merge"), "row_id")  # both are dealt and sorted by row_id, so nothing is sent
             where.update({n: f"bits{p}[{k}]" for k, n in enumerate(self.routes[p])})
 
         def walk(n: int) -> str:
