@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from arborflow.llm.common import map_columns
 
 END = "</w>"
+#: Symbols up to which a plain list merges faster than a heap.
+SHORT = 64
 #: Words that one generation of a worker's memory holds; the generation before is kept as well.
 CACHE_WORDS = 300_000
 #: Below this code point no character composes, so NFC changes nothing.
@@ -90,6 +93,8 @@ class SpeculativeBPE:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Join the adjacent pair of lowest rank, leftmost first, until none is left."""
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
         ids, get, none = list(ids), self.rank_of.get, len(self.made)
         ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks and (least := min(ranks)) < none:
@@ -102,6 +107,32 @@ class SpeculativeBPE:
                 ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """merge() over a heap of (rank, place) and linked places, so that n symbols cost n log n."""
+        n, get, none = len(ids), self.rank_of.get, len(self.made)
+        ids, before, after = list(ids), list(range(-1, n - 1)), list(range(1, n + 1))
+        ranks = [*(get(a << 32 | b, none) for a, b in zip(ids, ids[1:])), none]  # of the pair that starts at a place
+        heap = [r * n + i for i, r in enumerate(ranks) if r < none]
+        heapq.heapify(heap)
+        while heap:
+            least, i = divmod(heapq.heappop(heap), n)
+            if ranks[i] != least:  # the pair was joined or changed since
+                continue
+            gone = after[i]
+            ids[i], ids[gone], ranks[gone] = self.made[least], -1, none
+            right, left = after[gone], before[i]
+            after[i] = right
+            ranks[i] = none
+            if right < n:
+                before[right] = i
+                ranks[i] = get(ids[i] << 32 | ids[right], none)
+            if left >= 0:
+                ranks[left] = get(ids[left] << 32 | ids[i], none)
+            for k in (left, i):
+                if k >= 0 and ranks[k] < none:
+                    heapq.heappush(heap, ranks[k] * n + k)
+        return [t for t in ids if t >= 0]
+
     def _token_symbols(self, token: int) -> list[int]:
         if (x := self.symbols_of.get(token)) is None:
             t = self.text_of[token]

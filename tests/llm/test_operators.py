@@ -4,6 +4,7 @@ import hashlib
 import io
 import os
 import random
+import time
 import wave
 import zlib
 from collections import Counter
@@ -111,6 +112,26 @@ def test_bpe_equals_the_library(spark):
     assert b.repaired <= b.proposed and len(b.known) > 0
 
 
+def test_bpe_of_very_long_words(spark):
+    """A word of 200,000 letters costs seconds, and heap and list merge alike."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=200_000)), "a" * 50_001, "the" * 9_000 + " end", "".join(rng.choices("abé漢", k=5_000))]
+    began = time.time()
+    got = {r.doc_id: r.ids for r in bpe.bpe_encode(frame(spark, texts), path).collect()}
+    assert time.time() - began < 60
+    assert all(got[i] == t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts))
+    b = bpe.load(path)
+    for k in (1, 2, 3, 9, 40, 64):
+        for _ in range(40):
+            ids = b.symbols("".join(rng.choices("aabethn", k=k)))
+            assert b._merge_long(ids) == b.merge(ids)
+
+
 # line dedup
 
 
