@@ -77,6 +77,14 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """name, with underscores behind it until no column of df is called so (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
     """Inner join of rows with table, which has each key once. hot: the keys with very many rows, at most one for each HOT rows; their part of the table is broadcast, so they gather nowhere."""
     on = list(on)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborflow.llm import bloom
-from arborflow.llm.common import HOT, bound_batches, join_hot, map_columns, materialize
+from arborflow.llm.common import HOT, bound_batches, fresh, join_hot, map_columns, materialize
 
 LEAST = 10
 BLANK = " \t\n\x0b\x0c\r"
@@ -109,8 +109,8 @@ def _apply_digest():
     return fn
 
 
-def with_drops(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
-    """docs with the column __drops: digests of the keys whose lines this document loses (null: none). Lines of more than `hot` documents are joined by broadcast."""
+def with_drops(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES, hot: int = HOT, name: str = "__drops") -> DataFrame:
+    """docs with the column `name`, which docs must not have: digests of the keys whose lines this document loses (null: none). Lines of more than `hot` documents are joined by broadcast."""
     suspects = materialize(suspected_lines(docs, broadcast_bytes), "suspected-lines")
     kept = (
         suspects.groupBy("key").agg(F.min("doc_id").alias("__least"), F.max("doc_id").alias("__most"), F.min("digest").alias("digest"), F.count("*").alias("__n"))
@@ -119,9 +119,9 @@ def with_drops(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES, ho
     kept = materialize(kept, "repeated-lines")
     drops = (
         join_hot(suspects.select("doc_id", "digest"), kept.drop("__n"), ["digest"], kept.where(F.col("__n") > hot)).where(F.col("doc_id") != F.col("__least"))
-        .groupBy("doc_id").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("doc_id", "__doc")
+        .groupBy("doc_id").agg(F.collect_set("digest").alias(name))
     )
-    return docs.join(drops, docs["doc_id"] == drops["__doc"], "left").drop("__doc")
+    return docs.join(drops, docs["doc_id"] == drops["doc_id"], "left").select(*[docs[c] for c in docs.columns], drops[name])
 
 
 def dedup_lines(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES) -> DataFrame:
@@ -131,12 +131,12 @@ def dedup_lines(docs: DataFrame, broadcast_bytes: int = bloom.BROADCAST_BYTES) -
     one document: they never make each other's lines repeats, and lose the same
     keys. Rows without doc_id keep all lines and hold no first occurrence.
     """
-    return map_columns(with_drops(docs, broadcast_bytes), ["doc_id", "text", "__drops"], _apply, "doc_id long, n_lines long, n_dropped long, kept string")
+    return map_columns(with_drops(docs.select("doc_id", "text"), broadcast_bytes), ["doc_id", "text", "__drops"], _apply, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def dedup_lines_digest(docs: DataFrame) -> DataFrame:
     """dedup_lines with the kept text reduced to its SHA-256 in the same task."""
-    return map_columns(with_drops(docs), ["doc_id", "text", "__drops"], _apply_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_columns(with_drops(docs.select("doc_id", "text")), ["doc_id", "text", "__drops"], _apply_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_lines_in_place(docs: DataFrame) -> DataFrame:
@@ -146,6 +146,7 @@ def dedup_lines_in_place(docs: DataFrame) -> DataFrame:
         drops = [None if d is None else list(d) for d in drops]
         return pd.Series(_apply()(range(len(texts)), texts.tolist(), drops)[3], dtype=object)
 
-    out = with_drops(docs)
-    out = out.withColumn("text", F.when(F.col("__drops").isNull(), F.col("text")).otherwise(keep("text", "__drops"))).drop("__drops")
+    name = fresh("__drops", docs)
+    out = with_drops(docs, name=name)
+    out = out.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(keep("text", name))).drop(name)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

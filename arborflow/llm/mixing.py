@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborflow.llm.common import materialize
+from arborflow.llm.common import fresh, materialize
 
 #: Labelled rows used for counting words, shared evenly by the domains, those of least hash of each; DOMAIN_ROWS is the least share. Words kept of them at most, those of most weight in some domain.
 FIT_ROWS, DOMAIN_ROWS, WORDS = 4_000, 100, 3_000
@@ -143,6 +143,8 @@ def mixing_rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float
 
 def mix(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
     """docs, all columns, each row as often as its copies say (0 drops it; with least 1 none is dropped). Rows without doc_id stay once."""
-    take = mixing_rates(docs, domain, weights, least=least).select(F.col("doc_id").alias("__doc"), F.col("copies").alias("__copies"))
-    joined = docs.join(take, docs["doc_id"] == take["__doc"], "left")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1))))).where(F.col("__copy") > 0).select(*[joined[c] for c in docs.columns])
+    doc, copies, copy = (fresh(name, docs) for name in ("doc", "copies", "copy"))
+    take = mixing_rates(docs, domain, weights, least=least).select(F.col("doc_id").alias(doc), F.col("copies").alias(copies))
+    joined = docs.join(take, F.col("doc_id") == F.col(doc), "left")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)))).alias(copy)
+    return joined.select(*docs.columns, each).where(F.col(copy) > 0).drop(copy)

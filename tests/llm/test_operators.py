@@ -23,7 +23,7 @@ def frame(spark, texts, langs=None, extra=False):
     rows = [(i, t, (langs[i] if langs else "en"), f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOCS)
     if extra:
-        for c in ("key", "id", "rank", "copies", "shares", "tokens", "__x", "component", "digest"):
+        for c in ("key", "id", "rank", "copies", "shares", "tokens", "__x", "component", "digest", "__drops", "__doc", "__copies", "copy", "__copy", "__keep", "__label"):
             df = df.withColumn(c, F.lit(7))
     return df
 
@@ -190,6 +190,17 @@ def test_twice_seen_filter_never_misses(spark):
     assert filters.agg(F.sum("n")).first()[0] == len(texts)
 
 
+def test_columns_of_any_name_stay(spark):
+    """Stages that return all columns keep those whose names they use themselves."""
+    texts = ["one long line here\nand another one", "one long line here", None, ""]
+    df = frame(spark, texts, extra=True)
+    plain = frame(spark, texts)
+    for stage in (linededup.dedup_lines_in_place, lambda d: mixing.mix(d, least=1.0), minhash.keep_representatives):
+        got = stage(df)
+        assert got.columns == df.columns and got.where("__drops = 7 and __copies = 7 and copy = 7").count() == got.count()
+        assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, stage(plain).collect()))
+
+
 def test_line_dedup_repeated_ids_and_in_place(spark):
     df = frame(spark, ["one long line here\nand another one", "one long line here"])
     both = df.unionByName(df)
