@@ -12,16 +12,18 @@ be another word have numbers of their own. A logistic model over these turns the
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import functools
 import math
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborflow.llm.common import crc_mod, map_columns
+from arborflow.llm.common import crc_mod, map_columns, materialize
 from arborflow.llm.quality import labelled_sample, one_of_each
 
 #: Labelled rows used for fitting at most, those of least hash.
@@ -30,13 +32,17 @@ FIT_ROWS = 30_000
 TERMS = 4_000
 #: Terms of fewer than EDIT_LETTERS letters may have one letter replaced, terms of LONG_LETTERS or more two edits, the others one.
 EDIT_LETTERS, LONG_LETTERS = 5, 10
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Share of the lexicon that may be chance.
+CHANCE = 0.1
 WINDOW = 8
 THRESHOLD = 0.7
 WORD = re.compile(r"[\w@$*]+")
-QUOTES = frozenset("\"“”„«»‘’‹›")
-#: Quotations: what stands in them is reported speech and teaches no terms.
-QUOTED = re.compile(r"[\"“”„«»][^\"“”„«»\n]{1,200}[\"“”„«»]")
+#: Letters of scripts written without blanks (South-East Asian, kana, Han): their runs are read as overlapping pairs and triples.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+#: Quotations, by pairs of marks within a line; an apostrophe between letters is none. What stands in them is reported speech and teaches no terms.
+QUOTED = re.compile("|".join([*(f"{a}[^{a}{b}\n]{{1,200}}{b}" for a, b in ('""', "“”", "„“", "„”", "«»", "»«", "‹›")), r"(?<!\w)['‘](?:[^'‘’\n]|(?<=\w)['’](?=\w)){1,200}['’](?!\w)"]))
+SHINGLE = 5
 MEMORY = 300_000
 #: Trie nodes that an automaton's states may hold.
 NODES = 500_000
@@ -141,10 +147,10 @@ class Lexicon:
         self.__post_init__()
 
     def misspelt(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term that the word may be, ties to the longest."""
+        """(term, edits) of the nearest term that the word may be, ties to the longest. Terms of one or two letters and pieces of unspaced scripts have no misspellings."""
         if self.automata is None:
-            size = lambda least, stop: [t for t in self.terms if least <= len(t) < stop]
-            self.automata = [LevenshteinTrie(size(LONG_LETTERS, 1 << 30), 2), LevenshteinTrie(size(EDIT_LETTERS, LONG_LETTERS)), LevenshteinTrie(size(1, EDIT_LETTERS), replace_only=True)]
+            size = lambda least, stop: [t for t in self.terms if least <= len(t) < stop and not UNSPACED.match(t)]
+            self.automata = [LevenshteinTrie(size(LONG_LETTERS, 1 << 30), 2), LevenshteinTrie(size(EDIT_LETTERS, LONG_LETTERS)), LevenshteinTrie(size(3, EDIT_LETTERS), replace_only=True)]
         found = [x for a in self.automata if (x := a.match(word))]
         return min(found, key=lambda x: x[1], default=None)
 
@@ -177,10 +183,32 @@ class Lexicon:
         return found
 
 
+def words_of(low: str) -> list[tuple[str, int, int]]:
+    """(word, start, stop) in order of start; a run of an unspaced script gives its overlapping pairs and triples, or itself if it is one letter."""
+    out = []
+    for m in WORD.finditer(low):
+        at, word = m.start(), m.group()
+        if word.isascii() or not UNSPACED.search(word):
+            out.append((word, at, m.end()))
+            continue
+        done = 0
+        for run in UNSPACED.finditer(word):
+            if done < run.start():
+                out.append((word[done : run.start()], at + done, at + run.start()))
+            i, done = run.span()
+            out.extend((word[k : k + n], at + k, at + k + n) for k in range(i, done) for n in (2, 3) if k + n <= done)
+            if done == i + 1:
+                out.append((word[i], at + i, at + done))
+        if done < len(word):
+            out.append((word[done:], at + done, m.end()))
+    return out
+
+
 def context(text: str | None, lexicon: Lexicon) -> list[float]:
     """Numbers about the hits of a text, all zero without hits."""
     low = (text or "").lower()
-    words = WORD.findall(low)
+    spans = words_of(low)
+    words = [w for w, _, _ in spans]
     found = lexicon.find(words)
     if not found:
         return [0.0] * 12
@@ -189,14 +217,13 @@ def context(text: str | None, lexicon: Lexicon) -> list[float]:
     found = {w: x for w, x in found.items() if w not in doubtful}
     if not found:
         return [0.0] * 10 + weak
-    at = [(i, m, *found[m.group()]) for i, m in enumerate(WORD.finditer(low)) if m.group() in found]
+    at = [(i, span, *found[span[0]]) for i, span in enumerate(spans) if span[0] in found]
     place = [a[0] for a in at]
-    quoted = 0
-    for _, m, _, _ in at:
-        left, right = low[max(0, m.start() - 60) : m.start()], low[m.end() : m.end() + 60]
-        quoted += any(c in QUOTES for c in left) and any(c in QUOTES for c in right)
+    quotes = [m.span() for m in QUOTED.finditer(low)]
+    opened = [q[0] for q in quotes]
+    quoted = sum((k := bisect.bisect_right(opened, start)) > 0 and stop <= quotes[k - 1][1] for _, (_, start, stop), _, _ in at)
     near = max(sum(abs(p - q) <= WINDOW for q in place[max(0, k - WINDOW) : k + WINDOW + 1]) - 1 for k, p in enumerate(place))
-    kinds = [{m.group() for _, m, _, kind in at if kind == k} for k in range(3)]
+    kinds = [{word for _, (word, _, _), _, kind in at if kind == k} for k in range(3)]
     best = [max((w for _, _, w, kind in at if kind == k), default=0.0) for k in range(3)]
     return [best[0], best[1], best[2], *(math.log1p(len(k)) for k in kinds), math.log1p(len(at)), quoted / len(at), math.log1p(near), math.log(len(at) / len(words)), *weak]
 
@@ -213,30 +240,50 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -40, 40)))
 
 
-def _terms(ids, texts):
-    """Distinct words outside quotations, and stems marked by a trailing blank."""
-    out = []
+def _sketch(words: list[str]) -> int:
+    """Least hash of SHINGLE words in a row, which near copies mostly share."""
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + SHINGLE]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - SHINGLE + 1))) - (1 << 63)
+
+
+def _terms(ids, labels, texts):
+    """Distinct words outside quotations, and stems marked by a trailing blank; with the sketch of all words."""
+    sketches, out = [], []
     for t in texts:
-        words = {w for w in WORD.findall(QUOTED.sub(" ", (t or "").lower())) if len(w) >= 3}
+        low = (t or "").lower()
+        sketches.append(_sketch(WORD.findall(low)))
+        words = {w for w, _, _ in words_of(QUOTED.sub(" ", low))}
         out.append([*words, *{w[:k] + " " for w in words for k in STEMS if len(w) >= k}])
-    return ids, out
+    return ids, labels, sketches, out
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Terms whose smoothed log-odds of toxic rows, less two standard errors, exceed 1.5. sample: __label, text."""
-    counts = sample.groupBy().agg(F.sum("__label").alias("t"), F.count("*").alias("n")).first()
+    """Terms whose smoothed log-odds of toxic rows, less two standard errors, exceed 1.5, and whose toxic rows chance does not explain.
+
+    Of rows with one sketch and label, near copies, only the first by id teaches, so
+    that a copied text is no evidence of its words. Chernoff's bound on the chance
+    that a term of n rows has t toxic ones is held, by Benjamini and Hochberg, to the
+    number of candidates, so that at most CHANCE of the terms are expected to be
+    chance. sample: doc_id, __label, text.
+    """
+    rows = map_columns(sample, ["doc_id", "__label", "text"], lambda: _terms, "id long, y int, sketch long, words array<string>")
+    first = rows.groupBy("sketch", "y").agg(F.min_by("words", "id").alias("words"))
+    first = materialize(first, "teaching-rows")
+    counts = first.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     toxic, rest = int(counts.t or 0), int(counts.n - (counts.t or 0))
     if not toxic or not rest:
         return Lexicon({}, {})
+    terms = materialize(first.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n")), "terms")
+    many = terms.count()
     t, o = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     odds = F.log(t / (toxic + 1)) - F.log(o / (rest + 1))
+    share, p = F.col("t") / F.col("n"), toxic / (toxic + rest)
+    chance = F.col("t") * F.log(share / p) + F.when(share < 1, (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - p))).otherwise(0.0)
     rows = (
-        map_columns(sample, ["__label", "text"], lambda: _terms, "y int, words array<string>")
-        .select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
-        .where(F.col("t") >= 4)
-        .select("w", odds.alias("odds"), (odds - 2 * F.sqrt(1 / t + 1 / o)).alias("sure"))
-        .where("sure > 1.5").orderBy(F.desc("sure"), "w").limit(TERMS).collect()
+        terms.where((F.col("t") > 0) & (share > p))
+        .select("w", odds.alias("odds"), (odds - 2 * F.sqrt(1 / t + 1 / o)).alias("sure"), chance.alias("chance"))
+        .where("sure > 1.5").orderBy(F.desc("chance"), "w").limit(TERMS).collect()
     )
+    rows = rows[: max((k for k, r in enumerate(rows, 1) if r.chance >= math.log(many / (CHANCE * k))), default=0)]
     terms = {r.w: r.odds for r in rows if not r.w.endswith(" ")}
     stems = {r.w[:-1]: r.odds for r in rows if r.w.endswith(" ")}
     return Lexicon(terms, stems)
@@ -251,7 +298,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> To
 
     Rows with crc32(doc_id) mod 3 = 1 are held out. None without both labels.
     """
-    sample = labelled_sample(docs, labels, "toxic", rows, 3, 1).withColumn("__third", F.pmod(F.xxhash64(F.col("text"), F.lit(3)), F.lit(3)) == 0)
+    sample = materialize(labelled_sample(docs, labels, "toxic", rows, 3, 1), "toxicity-sample").withColumn("__third", F.pmod(F.xxhash64(F.col("text"), F.lit(3)), F.lit(3)) == 0)
     lexicon = learn_lexicon(sample.where(~F.col("__third")))
     got = one_of_each(map_columns(sample.where("__third"), ["doc_id", "__label", "text"], functools.partial(_features, lexicon), "id long, y int, x array<double>"))
     y = np.array([r[1] for r in got], float)

@@ -762,3 +762,86 @@ def test_forward_backward_is_exact():
         total += (j / j.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         at += n
     assert np.allclose(joint, total)
+
+
+def test_quotation_marks_come_in_pairs():
+    lexicon = toxicity.Lexicon({"blorptwat": 3.0}, {})
+    quoted = lambda text: toxicity.context(text, lexicon)[7]
+    for open_, close in ('""', "“”", "„“", "«»", "''", "‘’"):
+        assert quoted(f"it’s what they said: {open_}you blorptwat, it’s you{close} and left") == 1.0
+        assert quoted(f"{open_}well{close} you blorptwat {open_}bye{close}") == 0.0
+    assert quoted("it’s said that a blorptwat isn’t one") == quoted("it's said that a blorptwat isn't one") == 0.0
+
+
+def test_unspaced_scripts_and_short_words_are_learned(spark):
+    rng = random.Random(53)
+    han = lambda n: "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往") for _ in range(n))
+    texts, y = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = prose(rng, 20)
+        texts.append(han(15) + ("笨蛋" if bad else "") + han(15) if i % 2 else words + (" zq " if bad else " ") + prose(rng, 5))
+        y.append(int(bad))
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, texts), labels_frame(spark, [(i, 1, y[i]) for i in range(900)])).collect()}
+    held = [i for i in rows if rows[i].held_out]
+    assert np.mean([rows[i].predicted == y[i] for i in held]) > 0.97
+    assert [w for w, _, _ in toxicity.words_of("ab漢字かc d 猫")] == ["ab", "漢字", "漢字か", "字か", "c", "d", "猫"]
+    assert all("ab漢字かc d 猫"[a:b] == w for w, a, b in toxicity.words_of("ab漢字かc d 猫"))
+
+
+def test_copies_of_one_toxic_text_teach_no_terms(spark):
+    rng = random.Random(54)
+    copied = prose(rng, 60) + " harmless oddword"
+    texts, y = [], []
+    for i in range(900):
+        toxic = i % 4 == 0
+        texts.append(copied if i % 20 == 0 else prose(rng, 30) + (" you idiot " if toxic else " ") + prose(rng, 8))
+        y.append(int(toxic))
+    sample = frame(spark, texts).select("doc_id", "text").join(labels_frame(spark, [(i, 1, y[i]) for i in range(900)]).select("doc_id", F.col("toxic").alias("__label")), "doc_id")
+    lexicon = toxicity.learn_lexicon(sample)
+    assert "idiot" in lexicon.terms and "oddword" not in lexicon.terms
+
+
+def test_toxicity_scores_against_plain_code(spark):
+    """Features by edit distance to every term and marks by scanning, scored by the fitted weights."""
+    rng = random.Random(55)
+    bad = ["stupid", "idiot", "worthless", "disgusting"]
+    texts = [prose(rng, 20) + (f" you {rng.choice(bad)} " if i % 4 == 0 else " ") + prose(rng, 5) for i in range(600)]
+    labels = labels_frame(spark, [(i, 1, int(i % 4 == 0)) for i in range(600)])
+    texts += ["stuupid one", 'say "idiot" now', "idi0t idiot worthles", *ODD]
+    df = frame(spark, texts)
+    model = toxicity.fit_toxicity(df, labels)
+    terms, stems = model.lexicon.terms, model.lexicon.stems
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, last = [i, *row[1:]], row
+            for j, d in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d))
+        return row[-1]
+
+    def kind(w):
+        if w in terms:
+            return terms[w], 0
+        if found := [stems[w[:k]] for k in toxicity.STEMS if w[:k] in stems]:
+            return max(found), 1
+        reach = lambda t: 2 if len(t) >= 10 else 1
+        near = [(distance(w, t), -len(t), t) for t in terms if len(t) >= 3]
+        near = [x for x in near if x[0] <= reach(x[2]) and (len(x[2]) >= 5 or len(x[2]) == len(w))]
+        if not near:
+            return None
+        edits = min(x[0] for x in near)
+        sure = lambda t: t.isalpha() and not w.isalpha() or edits == 1 and min(len(t), len(w)) >= 5
+        return {(terms[t], 2 if sure(t) else 3) for d, _, t in near if d == edits}
+
+    for text in texts[580:]:
+        words = toxicity.WORD.findall((text or "").lower())
+        got = {w: model.lexicon.look(w) for w in set(words)}
+        for w, x in got.items():
+            want = kind(w)
+            assert x in want if isinstance(want, set) else x == want, w
+    rows = {r.doc_id: r.score for r in toxicity.score_toxicity(df, labels).collect()}
+    for i, text in enumerate(texts):
+        x = (np.array(toxicity.context(text, model.lexicon)) - model.mean) / model.scale
+        assert abs(rows[i] - 1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1])))) < 1e-9
