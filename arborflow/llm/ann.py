@@ -119,12 +119,19 @@ def _to_centroids(index: Index, unit: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((unit**2).sum(axis=1)[:, None] + (index.centroids**2).sum(axis=1) - 2 * unit @ index.centroids.T, 0, None))
 
 
+def _portions(index: Index, frames):
+    """The frames in pieces that give at most about PAIRS rows, were each row to meet every list."""
+    step = max(1, PAIRS // len(index.centroids))
+    for f in frames:
+        for at in range(0, len(f), step):
+            yield f.iloc[at : at + step]
+
+
 def _probe(index: Index, frames):
     """The nearest lists of each query."""
-    for f in frames:
-        if len(f):
-            lists = np.argsort(_to_centroids(index, _unit(f["x"])), axis=1, kind="stable")[:, : index.probes]
-            yield pd.DataFrame({"list": lists.ravel(), "query_id": np.repeat(f["vec_id"].to_numpy(), lists.shape[1]), "x": [x for x in f["x"] for _ in range(lists.shape[1])]})
+    for f in _portions(index, frames):
+        lists = np.argsort(_to_centroids(index, _unit(f["x"])), axis=1, kind="stable")[:, : index.probes]
+        yield pd.DataFrame({"list": lists.ravel(), "query_id": np.repeat(f["vec_id"].to_numpy(), lists.shape[1]), "x": [x for x in f["x"] for _ in range(lists.shape[1])]})
 
 
 def _limit(known: np.ndarray) -> np.ndarray:
@@ -134,11 +141,10 @@ def _limit(known: np.ndarray) -> np.ndarray:
 
 def _reach(index: Index, radii: np.ndarray, frames):
     """The lists that may hold a vector as near as the cosine `known` of each query."""
-    for f in frames:
-        if len(f):
-            known = f["known"].to_numpy(float)
-            q, lists = np.nonzero(_to_centroids(index, _unit(f["x"])) - radii <= _limit(known)[:, None])
-            yield pd.DataFrame({"list": lists, "query_id": f["vec_id"].to_numpy()[q], "x": f["x"].to_numpy()[q], "known": known[q]})
+    for f in _portions(index, frames):
+        known = f["known"].to_numpy(float)
+        q, lists = np.nonzero(_to_centroids(index, _unit(f["x"])) - radii <= _limit(known)[:, None])
+        yield pd.DataFrame({"list": lists, "query_id": f["vec_id"].to_numpy()[q], "x": f["x"].to_numpy()[q], "known": known[q]})
 
 
 def _steps(queries: pd.DataFrame, block: pd.DataFrame):

@@ -463,6 +463,7 @@ def test_bounds_let_far_lists_and_codes_go():
     frame = pd.DataFrame({"vec_id": [0, 1], "x": list(x[:2]), "known": [0.999, np.nan]})
     (out,) = ann._reach(index, radii, [frame])
     near = {int(at[i]) for i in np.flatnonzero(unit @ unit[0] >= 0.999)}
+    assert max(len(p) for p in ann._reach(index, radii, [pd.concat([frame] * 5_000)])) <= ann.PAIRS  # a batch's rows never meet all lists at once
     assert near <= set(out["list"][out["query_id"] == 0]) and (out["query_id"] == 0).sum() < 0.2 * len(radii) and (out["query_id"] == 1).sum() == len(radii)
 
 
